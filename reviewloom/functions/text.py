@@ -23,6 +23,11 @@ TAG_PATTERN = r"<[^<>]*>"
 KEEP_PATTERN = r"[^a-zA-Z0-9\x09-\x0D\x1C-\x20.,!?-]"
 
 
+def sql_words(words: Iterable[str]) -> str:
+    """A word list as SQL text, for lists too long to pass literal by literal."""
+    return "(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.dictionaries import API_STOPWORDS, ENGLISH_STOPWORDS
 from reviewloom.functions.rounding import round_exact
-from reviewloom.functions.text import analysis_text, split_words
+from reviewloom.functions.text import analysis_text, split_words, sql_words
 from reviewloom.operators.ranking import PRODUCT, first_rows
 
 # Token rule, minimum length, stopwords, list size and share of
@@ -41,29 +41,34 @@ PLACE = "decimal(38,0)"
 PLACES_PER_REVIEW = 2**32
 
 
+def _words(reviews: DataFrame, form: str, keys: Sequence[str]) -> DataFrame:
+    words = F.posexplode(split_words(analysis_text(form))).alias("pos", "word")
+    return reviews.select(*keys, "seq", words)
+
+
 def tokens(reviews: DataFrame, variant: str = "default", keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Words of all reviews with their place: ``(keys, seq, pos, word)``."""
     rule = RULES[variant]
-    words = F.posexplode(split_words(analysis_text(rule.form))).alias("pos", "word")
-    return reviews.select(*keys, "seq", words).filter(F.col("word").rlike(rule.word))
+    return _words(reviews, rule.form, keys).filter(F.col("word").rlike(rule.word))
 
 
 def keyword_tokens(reviews: DataFrame, variant: str = "default", keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Words that count as keywords: long enough and no stopword."""
+    """Words that count as keywords; the cheap tests come before the pattern."""
     rule = RULES[variant]
-    words = F.col("word")
-    return tokens(reviews, variant, keys).filter(
-        (F.length(words) >= rule.min_length) & ~words.isin(*rule.stopwords)
-    )
+    kept = (F.length("word") >= rule.min_length) & F.expr(f"word NOT IN {sql_words(rule.stopwords)}")
+    return _words(reviews, rule.form, keys).filter(kept & F.col("word").rlike(rule.word))
+
+
+def first_place() -> Column:
+    return (F.col("seq").cast(PLACE) * PLACES_PER_REVIEW + F.col("pos")).cast(PLACE)
 
 
 def keyword_counts(reviews: DataFrame, variant: str = "default", keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Frequency and first place of each keyword, combined inside the tasks first."""
-    place = (F.col("seq").cast(PLACE) * PLACES_PER_REVIEW + F.col("pos")).cast(PLACE)
     return (
         keyword_tokens(reviews, variant, keys)
         .groupBy(*keys, "word")
-        .agg(F.count("*").alias("frequency"), F.min(place).alias("first_place"))
+        .agg(F.count("*").alias("frequency"), F.min(first_place()).alias("first_place"))
     )
 
 
@@ -85,15 +90,25 @@ def keyword_share(
 ) -> DataFrame:
     """Top keywords with their share of all kept words of the product.
 
-    The total is its own small aggregate, so no window gathers the whole
-    vocabulary of a product.
+    One pass counts the words and, as a second grouping set, the total of the
+    product; the total ranks before the words, so it travels with the top rows
+    and no window or join touches the whole vocabulary.
     """
     rule = RULES[variant]
-    counts = keyword_counts(reviews, variant, keys)
-    totals = counts.groupBy(*keys).agg(F.sum("frequency").alias("__total"))
-    top = first_rows(counts, keys, keyword_order(), top_n or rule.top_n, "rank")
+    words = keyword_tokens(reviews, variant, keys)
+    names = [F.col(k) for k in keys]
+    counts = words.groupingSets([[*names, F.col("word")], names], *names, F.col("word")).agg(
+        F.count("*").alias("frequency"), F.min(first_place()).alias("first_place"), F.grouping("word").alias("__all")
+    )
+    order = [F.col("__all").desc(), *keyword_order()]
+    top = first_rows(counts, keys, order, (top_n or rule.top_n) + 1, "__place")
+    total = F.first("frequency").over(Window.partitionBy(*keys).orderBy("__place"))
     share = round_exact(F.col("frequency").cast("double") / F.col("__total"), rule.digits)
-    return top.join(totals, list(keys)).select(*keys, "rank", "word", "frequency", share.alias(rule.share))
+    return (
+        top.withColumn("__total", total)
+        .filter(F.col("__all") == 0)
+        .select(*keys, (F.col("__place") - 1).alias("rank"), "word", "frequency", share.alias(rule.share))
+    )
 
 
 def keyword_size_class(keywords: DataFrame) -> DataFrame:

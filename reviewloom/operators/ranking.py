@@ -52,8 +52,10 @@ def join_group_facts(
             *keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values]
         )
     )
+    # the salt of the other groups is always 0, but stays a column so that it is
+    # part of the shuffle key
     cold = facts.filter(F.col(group_rows) < hot_rows).select(
-        *keys, F.lit(0).alias("__salt"), *[F.col(v).alias(f"__cold_{v}") for v in values]
+        *keys, (F.col(group_rows) >= hot_rows).cast("int").alias("__salt"), *[F.col(v).alias(f"__cold_{v}") for v in values]
     )
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)) + 1).otherwise(0).cast("int")
     joined = rows.join(hot, list(keys), "left").withColumn("__salt", salt).join(cold, [*keys, "__salt"], "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.binding import let
 from reviewloom.functions.rounding import percent, round_exact
 from reviewloom.functions.ratings import rating_sentiment
-from reviewloom.functions.text import WORD_BREAK, analysis_text, strip
+from reviewloom.functions.text import WORD_BREAK, analysis_text, sql_words, strip
 from reviewloom.lexicon import BOOST_DOWN, BOOST_UP, NEGATIONS, SEED_LEXICON, Entry
 from reviewloom.operators.ranking import PRODUCT, first_rows
 
@@ -39,13 +39,9 @@ def _by_value(entries: Sequence[Entry], field: str) -> dict[int, list[str]]:
     return groups
 
 
-def _words_sql(words: Sequence[str]) -> str:
-    return "(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
-
-
 def _lookup_sql(word: str, groups: dict[int, list[str]], unit: int = 1) -> str:
     """Value of a word: one set test per distinct value, whatever the lexicon size."""
-    cases = " ".join(f"WHEN {word} IN {_words_sql(words)} THEN {value * unit}L" for value, words in groups.items())
+    cases = " ".join(f"WHEN {word} IN {sql_words(words)} THEN {value * unit}L" for value, words in groups.items())
     return f"CASE {cases} ELSE 0L END"
 
 
@@ -57,13 +53,13 @@ def _hit_sql(lexicon: Sequence[Entry]) -> str:
     holds many literals.
     """
     tokens = {e.token for e in lexicon}
-    up = _words_sql([w for w in BOOST_UP if w not in tokens])
-    down = _words_sql([w for w in BOOST_DOWN if w not in tokens])
+    up = sql_words([w for w in BOOST_UP if w not in tokens])
+    down = sql_words([w for w in BOOST_DOWN if w not in tokens])
     boosts = " + ".join(
         f"CASE WHEN get(w, i - {d}) IN {up} THEN {BOOST[d - 1]}L WHEN get(w, i - {d}) IN {down} THEN -{BOOST[d - 1]}L ELSE 0L END"
         for d in (1, 2, 3)
     )
-    negated = " OR ".join(f"get(w, i - {d}) IN {_words_sql(NEGATIONS)}" for d in (1, 2, 3))
+    negated = " OR ".join(f"get(w, i - {d}) IN {sql_words(NEGATIONS)}" for d in (1, 2, 3))
     parts = f"""named_struct(
         'base', {_lookup_sql("get(w, i)", _by_value(lexicon, "valence"), TENTH)},
         'boost', {boosts},
@@ -78,7 +74,7 @@ def _hit_sql(lexicon: Sequence[Entry]) -> str:
 
 def _hits(text: str, lexicon: Sequence[Entry]) -> Column:
     """Scored lexicon words of a text column, and its number of words."""
-    found = f"filter(sequence(0, size(w) - 1), i -> get(w, i) IN {_words_sql([e.token for e in lexicon])})"
+    found = f"filter(sequence(0, size(w) - 1), i -> get(w, i) IN {sql_words([e.token for e in lexicon])})"
     scored = f"""named_struct(
         'hits', transform({found}, i -> {_hit_sql(lexicon)}),
         'words', size(filter(w, x -> x <> '')))"""

@@ -22,7 +22,7 @@ from reviewloom.dictionaries import (
 )
 from reviewloom.functions.rounding import round_exact
 from reviewloom.functions.text import analysis_text, contains_any, count_contained, count_occurrences
-from reviewloom.operators.ranking import PRODUCT
+from reviewloom.operators.ranking import HOT_GROUP_ROWS, PRODUCT, join_group_facts
 from reviewloom.operators.sentiment import compound_of, sentiment_label
 
 TOP_THEMES = 5
@@ -74,14 +74,30 @@ def theme_aggregates(where: Column | None = None) -> list[Column]:
     return out
 
 
-def theme_rows(sums: DataFrame, keys: Sequence[str] = PRODUCT, limit: int | None = TOP_THEMES) -> DataFrame:
-    """Ranked themes from the summed flags; majority mood, ties positive, negative, neutral."""
-    rows = _unpivot(sums, keys, list(KEYWORD_THEMES), ["mentions", "positive", "negative", "neutral"])
-    top = F.greatest("positive", "negative", "neutral")
-    mood = (
-        F.when(F.col("positive") == top, "positive").when(F.col("negative") == top, "negative").otherwise("neutral")
+def theme_array(limit: int = TOP_THEMES) -> Column:
+    """Ranked themes of a product row as an array, from the summed flags.
+
+    Sorted by mentions, then dictionary order; the majority mood of a theme,
+    ties going to positive, negative, neutral.
+    """
+
+    def entry(i: int, name: str) -> Column:
+        pos, neg, neu = (F.col(f"{m}_{i}") for m in ("positive", "negative", "neutral"))
+        top = F.greatest(pos, neg, neu)
+        mood = F.when(pos == top, "positive").when(neg == top, "negative").otherwise("neutral")
+        n = F.col(f"mentions_{i}")
+        row = F.struct((-n).alias("order"), F.lit(i).alias("ordinal"), F.lit(name).alias("theme"), n.alias("mentions"), mood.alias("sentiment"))
+        return F.when(n > 0, row)
+
+    found = F.sort_array(F.array_compact(F.array(*[entry(i, n) for i, n in enumerate(KEYWORD_THEMES)])))
+    return F.transform(
+        F.slice(found, 1, limit),
+        lambda t, i: F.struct((i + 1).alias("rank"), t["theme"].alias("theme"), t["mentions"].alias("mentions"), t["sentiment"].alias("sentiment")),
     )
-    return _ranked(rows.withColumn("sentiment", mood), keys, limit).select(*keys, "rank", "theme", "mentions", "sentiment")
+
+
+def theme_rows(sums: DataFrame, keys: Sequence[str] = PRODUCT, limit: int = TOP_THEMES) -> DataFrame:
+    return sums.select(*keys, F.explode(theme_array(limit)).alias("t")).select(*keys, "t.*")
 
 
 def keyword_themes(reviews: DataFrame, keys: Sequence[str] = PRODUCT, limit: int = TOP_THEMES) -> DataFrame:
@@ -143,19 +159,20 @@ def _pattern_matches(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("__low", low).withColumn("__themes", F.array_compact(F.array(*names))).drop("__low")
 
 
-def pattern_theme_members(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
+def pattern_theme_members(
+    reviews: DataFrame, keys: Sequence[str] = PRODUCT, hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """Members of the pattern themes as rows ``(keys, theme, review_id)``.
 
     A product without any match puts all its reviews into the default theme.
     The membership stays a long table: a theme may hold most of the reviews.
     """
     matched = _pattern_matches(reviews).select(*keys, "review_id", "__themes")
-    members = matched.select(*keys, "review_id", F.explode("__themes").alias("theme"))
-    unmatched = matched.groupBy(*keys).agg(F.max(F.size("__themes")).alias("__most")).filter(F.col("__most") == 0)
-    default = matched.join(unmatched.select(*keys), list(keys), "left_semi").select(
-        *keys, "review_id", F.lit(PATTERN_DEFAULT_THEME).alias("theme")
-    )
-    return members.unionByName(default).select(*keys, "theme", "review_id")
+    facts = matched.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(F.size("__themes")).alias("__most"))
+    unmatched = facts.filter(F.col("__most") == 0).withColumn("__none", F.lit(True))
+    rows = join_group_facts(matched, unmatched, keys, ["__none"], "__n", hot_rows=hot_rows)
+    names = F.when(F.col("__none"), F.array(F.lit(PATTERN_DEFAULT_THEME))).otherwise(F.col("__themes"))
+    return rows.select(*keys, "review_id", F.explode(names).alias("theme")).select(*keys, "theme", "review_id")
 
 
 def pattern_themes(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:

@@ -49,12 +49,6 @@ def product_aggregates(scored: DataFrame, keys: Sequence[str] = PRODUCT) -> Data
     )
 
 
-def _theme_list(aggregates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rows = themes.theme_rows(aggregates, keys)
-    entry = F.struct("rank", "theme", "mentions", "sentiment")
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("themes"))
-
-
 def analysis_document(
     reviews: DataFrame,
     limit: int | None = None,
@@ -80,7 +74,7 @@ def analysis_document(
         sums = sums.drop(*stars).join(reviews.groupBy(*keys).agg(*ratings.rating_aggregates()), list(keys))
     genuine = bots.filter_genuine(scored)
     words = keywords.keyword_list(keywords.top_keywords(genuine, "default", top_n, keys), keys)
-    out = sums.join(_theme_list(sums, keys), list(keys), "left").join(words, list(keys), "left")
+    out = sums.withColumn("themes", themes.theme_array()).join(words, list(keys), "left")
     if with_samples:
         picked = samples.review_samples(genuine.select(*keys, "seq", *SAMPLE_FIELDS), "first", 3, keys)
         out = out.join(samples.sample_lists(picked, [f for f in SAMPLE_FIELDS if f != "sentiment"], keys), list(keys), "left")
