@@ -20,7 +20,9 @@ SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 URL_PATTERN = r"https?://[^\x09-\x0D\x1C-\x20]+|www\.[^\x09-\x0D\x1C-\x20]+"
 TAG_PATTERN = r"<[^<>]*>"
-KEEP_PATTERN = r"[^a-zA-Z0-9\x09-\x0D\x1C-\x20.,!?-]"
+DROP_PATTERN = r"[^a-zA-Z0-9\x09-\x0D\x1C-\x20.,!?-]+"
+# runs of white space, and single white space other than a plain blank
+SPREAD_PATTERN = r"[\x09-\x0D\x1C-\x20]{2,}|[\x09-\x0D\x1C-\x1F]"
 
 
 def sql_words(words: Iterable[str]) -> str:
@@ -92,8 +94,8 @@ def clean_text(text: Column, stopwords: Sequence[str] | None = None) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, URL_PATTERN, "")
-    out = F.regexp_replace(F.lower(out), KEEP_PATTERN, "")
-    out = strip(F.regexp_replace(out, SPACE_CLASS + "+", " "))
+    out = F.regexp_replace(F.lower(out), DROP_PATTERN, "")
+    out = strip(F.regexp_replace(out, SPREAD_PATTERN, " "))
     if stopwords is not None:
         kept = F.filter(clean_tokens(out), lambda w: ~w.isin(*stopwords))
         out = F.array_join(kept, " ")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from reviewloom.dictionaries import CLUSTER_GENERIC_WORDS, CLUSTER_SUFFIXES, ENGLISH_STOPWORDS, PATTERN_DEFAULT_THEME
+from reviewloom.functions.binding import let
 from reviewloom.functions.text import analysis_text, split_words
 
 # Settings of the three vectorizers, clusters, topics, seed.
@@ -61,14 +62,20 @@ def with_terms(reviews: DataFrame, rule: VectorRule, stopwords: Sequence[str] =
 def vocabulary(docs: DataFrame, rule: VectorRule, n: int) -> DataFrame:
     """The most frequent terms of ``n`` documents, at most ``rule.terms`` rows.
 
-    Both counts combine inside the tasks before their shuffle; equal counts
-    rank in alphabetical order.
+    In the sorted terms of a document the first of equal ones is marked, so one
+    aggregation yields the occurrences and, as the sum of the marks, the
+    documents of a term.  Equal counts rank in alphabetical order.
     """
-    counts = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
-    distinct = docs.select(F.explode(F.array_distinct("terms")).alias("term"))
-    spread = distinct.groupBy("term").agg(F.count("*").alias("doc_count"))
-    kept = spread.filter((F.col("doc_count") >= rule.min_docs) & (F.col("doc_count") <= n * rule.max_share))
-    return counts.join(kept, "term").orderBy(F.col("total").desc(), F.col("term").asc()).limit(rule.terms)
+
+    def marked(terms: Column) -> Column:
+        return F.transform(
+            terms, lambda t, i: F.struct(t.alias("term"), F.when(F.get(terms, i - 1) == t, 0).otherwise(1).alias("first"))
+        )
+
+    rows = docs.select(F.explode(let(F.sort_array("terms"), marked)).alias("t"))
+    counts = rows.groupBy("t.term").agg(F.count("*").alias("total"), F.sum("t.first").alias("doc_count"))
+    kept = counts.filter((F.col("doc_count") >= rule.min_docs) & (F.col("doc_count") <= n * rule.max_share))
+    return kept.orderBy(F.col("total").desc(), F.col("term").asc()).limit(rule.terms)
 
 
 @dataclass
