@@ -373,7 +373,7 @@ _an_emotions = ", ".join(corpus_emotion(e, mean_nano("sp", "analyzed"), "analyze
 twin("analysis_document", f"""
 SELECT product_id, total_reviews, average_rating, stars_5, stars_1, positive, neutral, negative, bot_count, bot_percentage, suspicious_count,
   {_an_emotions}, k.keywords,
-  array_to_string(list_transform(th, lambda t: t.theme || '/' || t.mentions || '/' || t.sentiment), ',') AS themes,
+  coalesce(array_to_string(list_transform(th, lambda t: t.theme || '/' || t.mentions || '/' || t.sentiment), ','), '') AS themes,
   {', '.join(f"coalesce((SELECT ids FROM smp WHERE smp.product_id = an.product_id AND sentiment = '{x}'), '') AS {x}_samples" for x in LABELS)},
   array_to_string({_default_lines}, ' | ') AS insights, {_none(0, _overall)} AS overall
 FROM an LEFT JOIN (SELECT product_id, string_agg(word || ':' || frequency, ',' ORDER BY rank) AS keywords FROM kr_ok GROUP BY 1) k USING (product_id)""",

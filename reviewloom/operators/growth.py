@@ -81,6 +81,17 @@ def trend(change: Column) -> Column:
     return F.when(change > 5, "up").when(change < -5, "down").otherwise("stable")
 
 
+def _recent_days(snapshots: DataFrame, as_of: datetime, period: str, keys: Sequence[str]) -> DataFrame:
+    """Daily means of the dates that a period touches; the filter reaches the scan."""
+    days, _ = PERIODS.get(period, PERIODS["week"])
+    low, high = (as_of - timedelta(days=days)).strftime("%Y-%m-%d"), as_of.strftime("%Y-%m-%d")
+    recent = snapshots.filter(
+        (F.col("ts") >= F.lit(low).cast("timestamp"))
+        & (F.col("ts") < F.timestamp_add("DAY", F.lit(1), F.lit(high).cast("timestamp")))
+    )
+    return daily_means(recent, keys)
+
+
 def growth_points(
     snapshots: DataFrame, as_of: datetime, period: str = "week", keys: Sequence[str] = PRODUCT
 ) -> DataFrame:
@@ -88,15 +99,12 @@ def growth_points(
 
     The current mean is compared untruncated with the truncated previous value.
     """
-    spark = snapshots.sparkSession
-    days, _ = PERIODS.get(period, PERIODS["week"])
-    low, high = (as_of - timedelta(days=days)).strftime("%Y-%m-%d"), as_of.strftime("%Y-%m-%d")
-    recent = snapshots.filter(
-        (F.col("ts") >= F.lit(low).cast("timestamp"))
-        & (F.col("ts") < F.timestamp_add("DAY", F.lit(1), F.lit(high).cast("timestamp")))
-    )
-    steps = F.broadcast(growth_steps(spark, as_of, period))  # at most 31 rows
-    points = daily_means(recent, keys).join(steps, "date")
+    return _points(_recent_days(snapshots, as_of, period, keys), as_of, period, keys)
+
+
+def _points(means: DataFrame, as_of: datetime, period: str, keys: Sequence[str]) -> DataFrame:
+    steps = F.broadcast(growth_steps(means.sparkSession, as_of, period))  # at most 31 rows
+    points = means.join(steps, "date")
     order = Window.partitionBy(*keys).orderBy("step_ts")
     buyers = F.col("mean_buyers").cast("long")
     previous = F.lag(buyers).over(order)
@@ -134,9 +142,12 @@ def _period_metrics(points: DataFrame, keys: Sequence[str], name: str) -> DataFr
 
 
 def growth_metrics(snapshots: DataFrame, as_of: datetime, keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Week and month growth, averages, best day, trend, forecast and recommendations."""
-    week = _period_metrics(growth_points(snapshots, as_of, "week", keys), keys, "week")
-    month = _period_metrics(growth_points(snapshots, as_of, "month", keys), keys, "month")
+    """Week and month growth, averages, best day, trend, forecast and recommendations.
+
+    Both periods share the daily means of the month, so snapshots are read once.
+    """
+    means = _recent_days(snapshots, as_of, "month", keys)
+    week, month = (_period_metrics(_points(means, as_of, p, keys), keys, p) for p in ("week", "month"))
     both = week.join(month, list(keys))
     growth, strength = F.col("week_growth"), F.col("week_strength")
     return both.select(

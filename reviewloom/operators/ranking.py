@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 PRODUCT = ("product_id",)
 # A group with more rows than this is joined by broadcast and spread by salt.
 HOT_GROUP_ROWS = 5_000_000
+SALTS = 512
+GROUP_LIMIT = 1000
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -17,10 +19,17 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
 
     ``row_number <= n`` lets Spark keep at most ``n`` rows per group in every
     input task before the shuffle, so a hot group costs no more than others.
+    Spark does so up to 1000 rows; beyond, a salted first round does the same.
     """
     name = rank or "__rank"
+    out = df
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+        out = out.withColumn("__salt", salt)
+        local = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        out = out.withColumn("__local", F.row_number().over(local)).filter(F.col("__local") <= n).drop("__salt", "__local")
     window = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+    out = out.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     return out if rank else out.drop(name)
 
 
@@ -38,7 +47,7 @@ def join_group_facts(
     group_rows: str,
     spread_by: str = "review_id",
     hot_rows: int = HOT_GROUP_ROWS,
-    salts: int = 512,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Left-join per-group facts to rows without gathering a hot group in one task.
 

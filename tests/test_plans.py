@@ -45,6 +45,25 @@ def test_group_limit_runs_before_the_shuffle(small_reviews):
         assert "Partial" in [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "WindowGroupLimit" in line][-1]
 
 
+def test_long_lists_take_a_salted_first_round(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id"))
+    out = ranking.first_rows(rows, ["k"], [F.col("id").asc()], 1500)
+    assert out.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")).orderBy("k").collect() == [(0, 1500, 2998), (1, 1500, 2999)]
+
+
+def test_growth_metrics_read_the_snapshots_once(spark):
+    from datetime import datetime
+
+    from reviewloom.operators import growth
+    from reviewloom.sources.driver_tables import snapshots_from_events
+    from tests.conftest import SMALL
+
+    out = growth.growth_metrics(growth.estimate_buyers(snapshots_from_events(spark, SMALL)), datetime(2024, 1, 31))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 def test_salt_is_part_of_the_shuffle_key(spark, small_reviews):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
