@@ -83,8 +83,12 @@ def count_occurrences(text: Column, word: str) -> Column:
 
 
 def any_match(text: Column, patterns: Iterable[str]) -> Column:
-    """True when one of the anchored patterns matches (case-insensitive)."""
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """True when one of the anchored patterns matches (case-insensitive).
+
+    The anchor is stated once in front, so that a long text is tried at its
+    start only and not at every place.
+    """
+    return text.rlike("(?i)^(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")")
 
 
 def clean_text(text: Column, stopwords: Sequence[str] | None = None) -> Column:

@@ -55,7 +55,8 @@ def growth_steps(spark: SparkSession, as_of: datetime, period: str = "week") ->
     days, hours = PERIODS.get(period, PERIODS["week"])
     count = days * 24 // hours
     start = as_of - timedelta(days=days)
-    first = F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    # without time zone, so that a step of hours never meets a clock change
+    first = F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
     step = spark.range(count + 1).select(
         F.timestamp_add("HOUR", (F.col("id") * hours).cast("int"), first).alias("step_ts")
     )

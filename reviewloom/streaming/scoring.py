@@ -13,6 +13,7 @@ from reviewloom.operators.emotions import emotion_review
 from reviewloom.operators.ranking import PRODUCT
 from reviewloom.operators.sentiment import score_sentiment
 from reviewloom.sources.items import canonicalize_reviews, raw_reviews_only
+from reviewloom.streaming.days import day_of, wall_clock
 
 
 def stream_score_reviews(
@@ -25,11 +26,11 @@ def stream_score_reviews(
 
 def stream_bulk_days(reviews: DataFrame, delay: str = "1 day", keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Product-days with five reviews of one rating, emitted when the day has closed."""
-    days = reviews.withColumn("ts", F.col("review_date").try_cast("timestamp")).withWatermark("ts", delay)
+    days = reviews.withColumn("ts", wall_clock(F.col("review_date").try_cast("timestamp"))).withWatermark("ts", delay)
     rating = F.coalesce(F.col("rating"), F.lit(0.0))
     sums = days.groupBy(*keys, F.window("ts", "1 day").alias("window")).agg(
         F.count("*").alias("reviews"), F.min(rating).alias("low"), F.max(rating).alias("high")
     )
     return sums.filter((F.col("reviews") >= BULK_MIN_REVIEWS) & (F.col("low") == F.col("high"))).select(
-        *keys, F.to_date("window.start").alias("date"), "reviews", F.col("low").alias("rating")
+        *keys, day_of().alias("date"), "reviews", F.col("low").alias("rating")
     )
