@@ -548,6 +548,41 @@ twin("summary_dashboard", f"""
 SELECT product_id, {say(sm.DASHBOARD_TEXT, 'total_reviews', fixed_up(SPOS, 0), fixed_up(SNEU, 0), fixed_up(SNEG, 0), _mean_up)} AS summary,
   {say(sm.SHARE_TEXT, text('Review report'), 'product_id', _mean_up, 'total_reviews', fixed_up(SPOS, 0))} AS share FROM an""", "an")
 
+# ------------------------------------------------------------------ variants
+part("ve", ["sl", "vv"], "SELECT product_id, polarity, subjectivity, vv.confidence, vv.sentiment FROM sl JOIN vv USING (review_id)")
+_means = lambda source: ", ".join(f"{rounded(mean_nano(nano(source(c)), 'count(*)'), 3)} AS avg_{c}" for c in ("polarity", "subjectivity", "confidence"))
+part("vd", ["ve", "ev", "tocc", "kl_ensemble"], f"""
+SELECT *, CASE greatest({', '.join(_ens_n)}) {' '.join(f"WHEN {e} THEN '{e}'" for e in _ens_n)} END AS mood, positive AS pc, negative AS gc, total - positive - negative AS uc
+FROM (SELECT product_id, count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+  {_means(lambda c: c)} FROM ve GROUP BY product_id)
+JOIN ev USING (product_id) LEFT JOIN kl_ensemble USING (product_id)
+LEFT JOIN (SELECT product_id, list({{'theme': theme, 'mentions': mentions}} ORDER BY ordinal) AS th FROM tocc GROUP BY 1) USING (product_id)""")
+part("ve2", ["vd"], "SELECT * EXCLUDE (neutral), uc AS neutral, neutral AS neutral_share, total AS analyzed FROM vd")
+twin("analysis_document_ensemble", f"""
+SELECT product_id, analyzed, positive, neutral, negative, avg_polarity, avg_subjectivity, avg_confidence, joy, neutral_share, mood AS dominant_emotion,
+  coalesce(array_to_string(list_transform(th, lambda t: t.theme || ':' || t.mentions), ','), '') AS themes, array_to_string(kw, ',') AS keywords,
+  array_to_string({_ens_lines}, ' | ') AS insights, array_to_string({_ens_advice}, ' | ') AS recommendations,
+  {say(_se['start'], 'analyzed')} || CASE WHEN {POS} > 60 THEN {text(_se['high'])} WHEN {POS} > 40 THEN {text(_se['middle'])} ELSE {text(_se['low'])} END ||
+  CASE WHEN {_has_th} THEN {say(_se['theme'], 'lower(th[1].theme)')} ELSE '' END AS summary FROM ve2""", "ve2")
+part("fd", ["sl_free", "tasp"], f"""
+SELECT * FROM (SELECT product_id, count(*) AS analyzed, {_counts}, {_means(lambda c: rounded(c, 3))} FROM sl_free GROUP BY product_id)
+LEFT JOIN (SELECT product_id, list({{'theme': theme, 'mentions': mentions, 'sentiment': sentiment}} ORDER BY rank) AS th FROM tasp GROUP BY 1) USING (product_id)""")
+twin("analysis_document_free", f"""
+SELECT product_id, analyzed, positive, neutral, negative, avg_polarity, avg_subjectivity, avg_confidence,
+  array_to_string(list_transform(th, lambda t: t.theme || '/' || t.mentions || '/' || t.sentiment), ',') AS themes,
+  array_to_string({_free_lines}, ' | ') AS insights, {say(_sf['start'], 'analyzed')} ||
+  CASE WHEN {SPOS} > 60 THEN {text(_sf['high'])} WHEN {SNEG} > 40 THEN {text(_sf['low'])} ELSE {text(_sf['middle'])} END AS summary,
+  CASE WHEN avg_confidence > 0.6::DOUBLE THEN 'high' ELSE 'medium' END AS confidence_level FROM fd""", "fd")
+part("ape", ["eh_api"], "SELECT product_id, " + ", ".join(
+    rounded(f"sum(round(least(h_{e} * 0.15::DOUBLE * {_weight}, 1::DOUBLE) * 1e9)::BIGINT)::BIGINT::DOUBLE / 1e9 / count(*)", 3) + f" AS {e}" for e in ("joy", "trust")
+) + " FROM eh_api GROUP BY product_id")
+twin("analysis_document_api", f"""
+SELECT product_id, total_reviews, {rounded('average_rating', 2)} AS average_rating, s5 AS stars_5, s1 AS stars_1, positive, neutral, negative, joy, trust,
+  coalesce(themes, '') AS themes, {say(it.API_VERDICT, _grade(('strong', 'moderate', 'weak')))} AS verdict, {_api_lines} AS insights, {_api_overall} AS overall
+FROM ap JOIN ape USING (product_id)
+JOIN (SELECT product_id, count(*) FILTER (WHERE rating = 5) AS s5, count(*) FILTER (WHERE rating = 1) AS s1 FROM rv GROUP BY 1) USING (product_id)
+LEFT JOIN (SELECT product_id, string_agg(theme, ',' ORDER BY rank) AS themes FROM tl2 GROUP BY 1) USING (product_id)""", "ap", "ape", "tl2", "rv")
+
 # ------------------------------------------------------------------ report
 _rows = [
     ("ASIN", "product_id"), ("Product Title", "'N/A'"), ("Brand", "'N/A'"), ("Total Reviews", "total_reviews"), ("Average Rating", "average_rating"),

@@ -14,7 +14,7 @@ from reviewloom.functions import codes, ratings as fr, rounding, text as ft
 from reviewloom.operators import (
     bots, countries, emotions, growth, insights, keywords, ranking, ratings, report, samples, sentiment, summaries, themes, topics,
 )
-from reviewloom.plans import analysis
+from reviewloom.plans import analysis, variants
 from reviewloom.sources import driver_tables as dt, items, pages
 from reviewloom.sources.shared import new_path
 from reviewloom.streaming.growth import stream_growth
@@ -662,6 +662,35 @@ def analysis_document_capped(spark, sf):
     return doc.select(P, "total_reviews", "average_rating", "analyzed", "bot_total", "bot_count", "positive", "neutral", "negative")
 
 
+@register
+def analysis_document_ensemble(spark, sf):
+    doc = variants.ensemble_document(reviews(spark, sf))
+    return doc.select(
+        P, "analyzed", "positive", "neutral", "negative", "avg_polarity", "avg_subjectivity", "avg_confidence", "joy", "neutral_share", "dominant_emotion",
+        F.array_join(F.transform("themes", lambda t: F.concat(t["theme"], F.lit(":"), t["mentions"])), ",").alias("themes"),
+        F.array_join(F.transform("keywords", lambda k: k["word"]), ",").alias("keywords"), joined("insights"), joined("recommendations"), "summary",
+    )
+
+
+@register
+def analysis_document_free(spark, sf):
+    doc = variants.free_document(reviews(spark, sf))
+    return doc.select(
+        P, "analyzed", "positive", "neutral", "negative", "avg_polarity", "avg_subjectivity", "avg_confidence",
+        F.array_join(F.transform("themes", lambda t: F.concat_ws("/", t["theme"], t["mentions"].cast("string"), t["sentiment"])), ",").alias("themes"),
+        joined("insights"), "summary", "confidence_level",
+    )
+
+
+@register
+def analysis_document_api(spark, sf):
+    doc = variants.api_document(reviews(spark, sf))
+    return doc.select(
+        P, "total_reviews", "average_rating", "stars_5", "stars_1", "positive", "neutral", "negative", "emotions.joy", "emotions.trust",
+        joined("themes", ","), "verdict", joined("insights"), "summaries.overall",
+    )
+
+
 @register
 def country_rollup(spark, sf):
     out = countries.country_rollup(mixed(spark, sf))

@@ -45,15 +45,25 @@ def emotion_review(reviews: DataFrame, variant: str = "ensemble") -> DataFrame:
     return out.drop(*[f"hits_{e}" for e in names])
 
 
+def average_names(variant: str) -> list[str]:
+    return emotion_names(variant) + (["neutral"] if variant == "ensemble" else [])
+
+
+def average_aggregates(variant: str = "ensemble") -> list[Column]:
+    """Exact sums of the review scores for use in any ``agg``."""
+    return [F.sum(F.round(F.col(e) * 1000).cast("long")).alias(f"__sum_{e}") for e in average_names(variant)]
+
+
+def average_scores(variant: str, total: str) -> dict[str, Column]:
+    return {
+        e: round_exact(F.col(f"__sum_{e}").cast("double") / 1000.0 / F.col(total), 3) for e in average_names(variant)
+    }
+
+
 def emotion_average(scored: DataFrame, variant: str = "ensemble", keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Mean of the review scores, three decimals, over a fixed set of emotions."""
-    names = emotion_names(variant) + (["neutral"] if variant == "ensemble" else [])
-    sums = scored.groupBy(*keys).agg(
-        F.count("*").alias("__n"), *[F.sum(F.round(F.col(e) * 1000).cast("long")).alias(f"__{e}") for e in names]
-    )
-    return sums.select(
-        *keys, *[round_exact(F.col(f"__{e}").cast("double") / 1000.0 / F.col("__n"), 3).alias(e) for e in names]
-    )
+    sums = scored.groupBy(*keys).agg(F.count("*").alias("__n"), *average_aggregates(variant))
+    return sums.select(*keys, *[c.alias(e) for e, c in average_scores(variant, "__n").items()])
 
 
 def emotion_aggregates(variant: str = "default", where: Column | None = None) -> list[Column]:
@@ -86,18 +96,27 @@ def corpus_scores(total: str = "analyzed") -> dict[str, Column]:
 def emotion_corpus(scored: DataFrame, variant: str = "default", keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Emotions of a product; needs ``polarity`` (default) or ``compound`` (api)."""
     hits = emotion_hits(scored, variant)
-    names = emotion_names(variant)
     if variant == "default":
         polarity = F.sum(F.round(F.col("polarity") * UNIT).cast("long")).alias("__sum_polarity")
         sums = hits.groupBy(*keys).agg(F.count("*").alias("analyzed"), polarity, *emotion_aggregates())
         return sums.select(*keys, *[c.alias(e) for e, c in corpus_scores().items()])
+    sums = hits.groupBy(*keys).agg(F.count("*").alias("__n"), *api_aggregates())
+    return sums.select(*keys, *[c.alias(e) for e, c in api_scores("__n").items()])
+
+
+def api_aggregates() -> list[Column]:
+    """Per review 0.15 a hit, weighted by the compound score, at most 1; needs the ``hits_`` columns."""
     weight = 1.0 + F.abs("compound")
-    parts = [
-        F.sum(F.round(F.least(F.col(f"hits_{e}") * API_HIT * weight, F.lit(1.0)) * UNIT).cast("long")).alias(f"__{e}")
-        for e in names
+    return [
+        F.sum(F.round(F.least(F.col(f"hits_{e}") * API_HIT * weight, F.lit(1.0)) * UNIT).cast("long")).alias(f"__api_{e}")
+        for e in emotion_names("api")
     ]
-    sums = hits.groupBy(*keys).agg(F.count("*").alias("__n"), *parts)
-    return sums.select(*keys, *[round_exact(F.col(f"__{e}").cast("double") / UNIT / F.col("__n"), 3).alias(e) for e in names])
+
+
+def api_scores(total: str) -> dict[str, Column]:
+    return {
+        e: round_exact(F.col(f"__api_{e}").cast("double") / UNIT / F.col(total), 3) for e in emotion_names("api")
+    }
 
 
 def dominant(names: Sequence[str]) -> Column:

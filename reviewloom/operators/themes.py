@@ -105,26 +105,66 @@ def keyword_themes(reviews: DataFrame, keys: Sequence[str] = PRODUCT, limit: int
     return theme_rows(with_theme_flags(reviews).groupBy(*keys).agg(*theme_aggregates()), keys, limit)
 
 
+def with_label_flags(reviews: DataFrame) -> DataFrame:
+    low = reviews.withColumn("__low", F.lower(analysis_text()))
+    flags = {f"label_{i}": contains_any(F.col("__low"), w) for i, w in enumerate(LABEL_THEMES.values())}
+    return low.withColumns(flags).drop("__low")
+
+
+def label_aggregates() -> list[Column]:
+    return [F.count_if(F.col(f"label_{i}")).alias(f"mentions_{i}") for i in range(len(LABEL_THEMES))]
+
+
+def label_array() -> Column:
+    """Themes of a product row by number of reviews, then dictionary order."""
+
+    def entry(i: int, name: str) -> Column:
+        n = F.col(f"mentions_{i}")
+        return F.when(n > 0, F.struct((-n).alias("order"), F.lit(i).alias("ordinal"), F.lit(name).alias("theme"), n.alias("mentions")))
+
+    found = F.sort_array(F.array_compact(F.array(*[entry(i, n) for i, n in enumerate(LABEL_THEMES)])))
+    return F.transform(
+        found, lambda t, i: F.struct((i + 1).alias("rank"), t["theme"].alias("theme"), t["mentions"].alias("mentions"))
+    )
+
+
 def theme_labels(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Theme names by number of reviews that mention them."""
-    low = F.lower(analysis_text())
-    aggs = [F.count_if(contains_any(F.col("__low"), w)).alias(f"mentions_{i}") for i, w in enumerate(LABEL_THEMES.values())]
-    sums = reviews.select(*keys, low.alias("__low")).groupBy(*keys).agg(*aggs)
-    return _ranked(_unpivot(sums, keys, list(LABEL_THEMES), ["mentions"]), keys, None).select(*keys, "rank", "theme", "mentions")
+    sums = with_label_flags(reviews).groupBy(*keys).agg(*label_aggregates())
+    return sums.select(*keys, F.explode(label_array()).alias("t")).select(*keys, "t.*")
 
 
-def theme_occurrences(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Occurrences of the theme words in all texts, in dictionary order."""
-    low = F.lower(analysis_text())
+def with_occurrences(reviews: DataFrame) -> DataFrame:
+    """Add the occurrences of each theme's words, non-overlapping per word."""
+    low = reviews.withColumn("__low", F.lower(analysis_text()))
+    counts = {
+        f"occurrences_{i}": sum((count_occurrences(F.col("__low"), w) for w in words), F.lit(0))
+        for i, words in enumerate(OCCURRENCE_THEMES.values())
+    }
+    return low.withColumns(counts).drop("__low")
+
 
-    def occurrences(words: Sequence[str]) -> Column:
-        return sum((count_occurrences(F.col("__low"), w) for w in words), F.lit(0))
+def occurrence_aggregates() -> list[Column]:
+    return [F.sum(f"occurrences_{i}").alias(f"mentions_{i}") for i in range(len(OCCURRENCE_THEMES))]
 
-    aggs = [F.sum(occurrences(w)).alias(f"mentions_{i}") for i, w in enumerate(OCCURRENCE_THEMES.values())]
-    sums = reviews.select(*keys, low.alias("__low")).groupBy(*keys).agg(*aggs)
-    rows = _unpivot(sums, keys, list(OCCURRENCE_THEMES), ["mentions"]).filter(F.col("mentions") > 0)
-    words = F.create_map(*[x for n, w in OCCURRENCE_THEMES.items() for x in (F.lit(n), F.array(*map(F.lit, w)))])
-    return rows.select(*keys, "ordinal", "theme", "mentions", F.element_at(words, F.col("theme")).alias("keywords"))
+
+def occurrence_array() -> Column:
+    """Themes of a product row that occur, in dictionary order."""
+
+    def entry(i: int, name: str, words: Sequence[str]) -> Column:
+        n = F.col(f"mentions_{i}")
+        row = F.struct(
+            F.lit(i).alias("ordinal"), F.lit(name).alias("theme"), n.alias("mentions"), F.array(*map(F.lit, words)).alias("keywords")
+        )
+        return F.when(n > 0, row)
+
+    return F.array_compact(F.array(*[entry(i, n, w) for i, (n, w) in enumerate(OCCURRENCE_THEMES.items())]))
+
+
+def theme_occurrences(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
+    """Occurrences of the theme words in all texts, in dictionary order."""
+    sums = with_occurrences(reviews).groupBy(*keys).agg(*occurrence_aggregates())
+    return sums.select(*keys, F.explode(occurrence_array()).alias("t")).select(*keys, "t.*")
 
 
 def aspect_themes(scored: DataFrame, keys: Sequence[str] = PRODUCT, cut: float = 0.05) -> DataFrame:

@@ -31,7 +31,8 @@ SECTION = [
     "read_raw_items", "explode_nested_items", "extract_reviews_from_html", "product_info", "canonicalize_reviews", "sanitize_reviews",
     "extract_asin", "clean_text", "display_formats", "bulk_posting", "bot_statistics", "lexicon_sentiment", "external_label",
     "sentiment_by_day", "emotion_corpus", "emotion_average", "top_keywords", "keyword_share", "keyword_themes", "aspect_themes",
-    "pattern_theme_members", "tfidf_features", "rating_percentages", "analysis_document", "country_rollup", "first_available_country",
+    "pattern_theme_members", "tfidf_features", "rating_percentages", "analysis_document", "analysis_document_ensemble",
+    "analysis_document_free", "analysis_document_api", "country_rollup", "first_available_country",
     "review_context", "growth_series_day", "growth_metrics", "review_samples_best", "parse_model_bullets", "summaries_api",
     "report_pdf_sections", "stream_growth_days", "stream_scored_reviews",
 ]
