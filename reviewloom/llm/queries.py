@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
 from reviewloom.llm.line_dedup import drop_repeated_lines
+from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.tables import table
 from reviewloom.llm.wu_manber import find_test_strings
 
+#: Folder of the tokenizer files; the same on every machine. Default: the installed package.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -19,6 +24,14 @@ def register(function):
     return function
 
 
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -36,6 +49,13 @@ def op3_wu_manber_decontamination(spark, sf_dir):
     )
 
 
+@register
+def op4_overlap_token_counts(spark, sf_dir):
+    counts = count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), keep=["doc_id"])
+    n = F.col("__n_tokens")
+    return counts.select("doc_id", F.col("__n_bytes").alias("n_bytes"), n.alias("n_tokens"), (n > 1024).alias("over_limit"))
+
+
 @register
 def op5_line_dedup(spark, sf_dir):
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,3 +65,9 @@ def op5_line_dedup(spark, sf_dir):
         F.col("__n_dropped").alias("n_dropped"),
         F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@register
+def op8_addressable_token_files(spark, sf_dir):
+    files = write_token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    return checksums(read_documents(files))
