@@ -12,6 +12,7 @@ from reviewloom.llm.addressable_codes import checksums, read_documents, write_to
 from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.tables import table
+from reviewloom.llm.warc import RECORD_ID, normalise, read_records, record_decisions, write_archives
 from reviewloom.llm.wu_manber import find_test_strings
 
 #: Folder of the tokenizer files; the same on every machine. Default: the installed package.
@@ -36,6 +37,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+@register
+def op1_warc_normaliser(spark, sf_dir):
+    archives = write_archives(record_decisions(table(spark, sf_dir, "pages")))
+    records = read_records(normalise(archives))
+    number = lambda c: F.nullif(F.substring(c, len(RECORD_ID) + 1, 40), F.lit("")).cast("long")
+    response = F.col("record_type") == "response"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.col("payload_bytes")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("computed_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 @register
 def op3_wu_manber_decontamination(spark, sf_dir):
     found = find_test_strings(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
