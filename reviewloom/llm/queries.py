@@ -13,6 +13,7 @@ from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.tables import table
 from reviewloom.llm.warc import RECORD_ID, normalise, read_records, record_decisions, write_archives
+from reviewloom.llm.word_table_bpe import encode_decode
 from reviewloom.llm.wu_manber import find_test_strings
 
 #: Folder of the tokenizer files; the same on every machine. Default: the installed package.
@@ -52,6 +53,12 @@ def op1_warc_normaliser(spark, sf_dir):
     )
 
 
+@register
+def op2_word_table_bpe(spark, sf_dir):
+    coded = encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), keep=["doc_id"], digests=True)
+    return coded.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
+
+
 @register
 def op3_wu_manber_decontamination(spark, sf_dir):
     found = find_test_strings(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
