@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,10 @@ import numpy as np
 #: White space besides the space, as the tokenizer or Python knows it.
 _OTHER_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = re.compile(f"[ {_OTHER_SPACE}] ")
-TABLE_PIECES = 400_000
+#: A piece of one or two words (letters up to U+024F) with marks after them: the pre-tokenizer breaks at every border.
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
+_PLAIN = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\\n)({_LETTERS})([.,;:!?]*))?")
+TABLE_PIECES = 600_000
 LONG_PIECE = 256
 GROUP_CHARS = 1 << 20
 
@@ -38,10 +42,14 @@ def load_tokenizer(path: str):
 
 
 class PieceEncoder:
+    """Two bounded tables: the ids of pieces, and of the parts that plain pieces are made of."""
+
     def __init__(self, path: str, limit: int = TABLE_PIECES):
         self.tokenizer = load_tokenizer(path)
         self.limit = limit
-        self.table: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -52,7 +60,7 @@ class PieceEncoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -65,25 +73,50 @@ class PieceEncoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        # A piece is stored with its space; the first piece of a text has none.
-        pieces = []
-        for text in texts:
-            if _UNSAFE.search(text):
-                pieces.append(None)
-                continue
-            first, *rest = text.split(" ")
-            pieces.append([first, *map(" ".__add__, rest)] if rest else [first])
-        wanted = set().union(*(p for p in pieces if p is not None))
-        missing = wanted.difference(self.table)
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
+    def _fill(self, table: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
+        """Put the missing pieces into a table; returns the long ones, which are not to stay."""
+        missing = wanted.difference(table)
+        if len(table) + len(missing) > self.limit:
+            table.clear()
             missing = wanted
-        missing = list(missing)
-        self.table.update(zip(missing, self._whole(missing)))
+        split = {}
+        for piece in missing:
+            found = _PLAIN.fullmatch(lead + piece)
+            split[piece] = [x for x in found.groups() if x] if found else [lead + piece]
+        parts = set().union(*split.values()) if split else set()
+        new = parts.difference(self.parts)
+        if len(self.parts) + len(new) > self.limit:
+            self.parts.clear()
+            new = parts
+        new = list(new)
+        self.parts.update(zip(new, self._whole(new)))
+        known = self.parts
+        for piece, own in split.items():
+            table[piece] = known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own])
+        for part in new:
+            if len(part) > LONG_PIECE:
+                del known[part]
+        return [piece for piece in missing if len(piece) > LONG_PIECE]
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        # Pieces after the first one of a text stand for themselves and the space before them.
+        pieces = [None if _UNSAFE.search(text) else text.split(" ") for text in texts]
+        firsts = {p[0] for p in pieces if p is not None}
+        laters: set[str] = set()
+        for own in pieces:
+            if own is not None:
+                first, own[0] = own[0], ""
+                laters.update(own)
+                own[0] = first
+        long_first, long_later = self._fill(self.first, firsts, ""), self._fill(self.later, laters, " ")
         for text, own in zip(texts, pieces):
-            ids = self._whole([text])[0] if own is None else b"".join(map(self.table.__getitem__, own))
+            if own is None:
+                ids = self._whole([text])[0]
+            else:
+                found = map(self.later.__getitem__, own[1:])
+                ids = self.first[own[0]] + b"".join(found)
             yield np.frombuffer(ids, "<u4")
-        for piece in missing:
-            if len(piece) > LONG_PIECE:
-                del self.table[piece]
+        for piece in long_first:
+            del self.first[piece]
+        for piece in long_later:
+            del self.later[piece]

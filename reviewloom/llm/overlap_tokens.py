@@ -32,7 +32,7 @@ def stable_boundaries(text: str, offsets: list[tuple[int, int]], first: int, aft
     """(position, tokens before it) for the stable boundaries of a chunk within a range.
 
     A boundary counts only if the offsets show a token that ends there and one
-    that starts right after the space.
+    that starts there, with the space.
     """
     ends = np.array([e for _, e in offsets], np.int64)
     starts = np.array([s for s, _ in offsets], np.int64)
@@ -40,7 +40,7 @@ def stable_boundaries(text: str, offsets: list[tuple[int, int]], first: int, aft
     while 0 <= at < len(text) - 1:
         if not text[at - 1].isspace() and not text[at + 1].isspace():
             before = int(np.searchsorted(ends, at, "right"))
-            if 0 < before < len(starts) and ends[before - 1] == at and starts[before] == at + 1:
+            if 0 < before < len(starts) and ends[before - 1] == at and starts[before] == at:
                 found.append((at, before))
         at = text.find(" ", at + 1, after)
     return found
