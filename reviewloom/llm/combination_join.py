@@ -1,0 +1,285 @@
+"""N-gram Jaccard self-join with prefixes of tokens and of token combinations.
+
+The tokens of a document are the hashes of its distinct word shingles. All
+documents order tokens alike, rare ones first, and look at a prefix that is so
+long that two similar documents must share something in it. A rare token is
+indexed alone. Frequent tokens are dealt to classes; within a class every
+combination of two is indexed, and the prefix is extended by one token for each
+class, because a class may hide one common token. Candidates are verified
+against the whole texts.
+
+Why no link is lost: similar documents x and y differ in at most
+``spare(n)`` tokens of x. Of the two prefixes take the one that ends first, say
+that of x. What it shares with y lies in the prefix of y too. If they shared no rare
+token and no combination, all rare tokens of x's prefix and all but one of each
+class would be missing in y, and the prefix is made so long that these are more
+than ``spare(n)``.
+
+Order: tokens below a fixed fraction of the hash range ("sampled" tokens; they
+are enough for nearly every prefix) come first, by document frequency; other
+tokens follow by hash. Any order is right, as long as it is the same for all;
+this one needs the frequencies of a fifth of the tokens only.
+
+Equal sets are one node. An index entry with few nodes gives all its pairs. In
+an entry with many nodes, nodes are first compared with one leader for each
+round, which joins groups of near copies with as many comparisons as they have
+members; then only pairs from different components are compared.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reviewloom.llm.components import connected_components
+from reviewloom.llm.shingles import shingle_hashes, word_hashes
+from reviewloom.sources.shared import materialize
+
+SAMPLED = np.uint64(int(0.2 * 2**64))
+FREQUENT = 16
+FEW_NODES = 16
+SMALL_BAND = 6
+CLASS_TOKENS = 6
+STAR_ROUNDS = 4
+SETS_KEPT = 64
+
+
+def spare(n: int, percent: int) -> int:
+    """Tokens of a set of n that a similar set may lack."""
+    return n - -(-percent * n // 100)
+
+
+def classes(band: int, percent: int) -> int:
+    """Classes of frequent tokens for sets of 2**band tokens and more; none for small sets."""
+    return 0 if band < SMALL_BAND else max(1, (2**band * (100 - percent)) // (100 * CLASS_TOKENS))
+
+
+def bands(n: int, percent: int) -> set[int]:
+    """Bands of a set's own size and of the largest similar set."""
+    return {n.bit_length() - 1, (100 * n // percent).bit_length() - 1}
+
+
+def low_tokens(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The tokens that a prefix may need, in the order of their hashes, and how many of them are sampled."""
+    n = len(tokens)
+    if not n:
+        return tokens, 0
+    sampled = int(np.searchsorted(tokens, SAMPLED))
+    longest = spare(n, percent) + 1 + max(classes(b, percent) for b in bands(n, percent))
+    return tokens[:max(sampled, min(n, longest))], sampled
+
+
+def prefix_keys(n: int, n_low: int, sampled: int, listed: list[tuple[int, int]], percent: int) -> list[int]:
+    """Index keys of a set; ``listed`` has (frequency, token) for the tokens in ``n_low`` that others have too."""
+    whole = n_low > sampled
+    unique = n_low - len(listed)  # no other document has these; they are rare and first
+    needed = spare(n, percent) + 1 - unique
+    if needed <= 0 and not whole:
+        return []
+    order = sorted(((t >= SAMPLED, 0 if t >= SAMPLED else f, t), f, t) for f, t in ((f, np.uint64(t % 2**64)) for f, t in listed))
+    out: list[int] = []
+    for band in bands(n, percent):
+        n_classes, seen, left = classes(band, percent), {}, needed
+        base = int(band) << 1
+        for _, frequency, token in order:
+            if left <= 0 and not whole:
+                break
+            if n_classes and frequency > FREQUENT:
+                own = seen.setdefault(int(token >> np.uint64(20)) % n_classes, [])
+                left -= bool(own)
+                own.append(int(token))
+            else:
+                left -= 1
+                out.append(_key(base, int(token), 0))
+        out += [_key(base + 1, *sorted(two)) for own in seen.values() for two in combinations(own, 2)]
+    return out
+
+
+def _key(kind: int, one: int, other: int) -> int:
+    h = (one * 0x9E3779B97F4A7C15 + (other ^ kind * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93) % 2**64
+    h ^= h >> 29
+    return (h * 0xBF58476D1CE4E5B9) % 2**64 - 2**63
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Columns id, n, sampled, low, sig (of the whole set): one row for each document, written before it is returned."""
+
+    def tokens(batches):
+        for batch in batches:
+            n, sampled, low, sig = [], [], [], []
+            for text in batch.column("text"):
+                own = shingle_hashes(word_hashes(text.as_buffer().to_pybytes() if text.is_valid else b""), words)
+                first, k = low_tokens(own, percent)
+                n.append(len(own))
+                sampled.append(k)
+                low.append(first.view(np.int64))
+                sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                ["id", "n", "sampled", "low", "sig"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return materialize(rows.mapInArrow(tokens, f"id {kind}, n long, sampled long, low array<long>, sig binary"), "shingle-sets")
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """One row for each distinct set, with a number of its own and the id of one document that has it."""
+    first = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
+    chosen = sets.join(first.withColumnRenamed("id", "keeper"), "sig").where(F.col("id").eqNullSafe(F.col("keeper"))).drop("keeper")
+    # Rows that share an id and a set would be two nodes; one is enough.
+    unique = chosen.groupBy("sig", "id").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("low").alias("low"))
+    return materialize(unique.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _index(nodes: DataFrame, percent: int) -> DataFrame:
+    """Columns key, node, n."""
+    postings = nodes.select("node", F.explode("low").alias("token"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = postings.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("listed"))
+    rows = listed.join(nodes.select("node", "n", "sampled", F.size("low").alias("n_low")), "node")
+
+    def keys(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = prefix_keys(row["n"], row["n_low"], row["sampled"], [(x["df"], x["token"]) for x in row["listed"]], percent)
+                if own:
+                    k = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([row["node"]] * k, pa.int64()), pa.array([row["n"]] * k, pa.int64())], ["key", "node", "n"])
+
+    entries = materialize(rows.mapInArrow(keys, "key long, node long, n long"), "index")
+    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    return materialize(entries.join(counted, "key"), "index")
+
+
+def _similar_size(percent: int):
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes with a common key and sizes that allow a link."""
+    a = left.select("key", *[F.col(c).alias(f"{c}_a") for c in left.columns if c != "key"])
+    b = right.select("key", *[F.col(c).alias(f"{c}_b") for c in right.columns if c != "key"])
+    joined = a.join(b, "key").where(condition & _similar_size(percent))
+    return joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar, written before they are returned."""
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def verify(batches):
+        kept: dict[int, np.ndarray] = {}
+
+        def tokens(node, text):
+            if node not in kept:
+                if len(kept) >= SETS_KEPT:
+                    kept.clear()
+                kept[node] = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words)
+            return kept[node]
+
+        for batch in batches:
+            links = []
+            for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
+                x, y = tokens(a, text_a), tokens(b, text_b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return materialize(joined.mapInArrow(verify, "a long, b long"), "links")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def near_duplicate_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85
+) -> DataFrame:
+    """Columns id_col, n_shingles, component_id: one row for each row of ``docs``.
+
+    Two documents link when ``100 * |common shingles| >= percent * |all
+    shingles|``; component_id is the smallest id that links reach, the
+    document's own included.
+
+    A NULL or empty text has no shingles and links with nothing. Documents
+    with equal sets are linked. A row without an id belongs to a component
+    like others, but gives it no name; its component is NULL if no member has
+    an id. Rows with equal ids stay apart, each with its own text.
+    """
+    sets = shingle_sets(docs, id_col, text_col, words, percent)
+    nodes = _nodes(sets)
+    index = _index(nodes, percent)
+    few, many = index.where(F.col("nodes") <= FEW_NODES).select("key", "node", "n"), index.where(F.col("nodes") > FEW_NODES).select("key", "node", "n")
+
+    # Texts of the nodes that have candidates; a document is known by its id and its set.
+    wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("sig").alias("node_sig"))
+    texts = materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
+
+    a_first = F.col("node_a") < F.col("node_b")
+    pairs = _pairs(few, few, a_first, percent)
+    stars = _pairs(many.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("x")).select("key", "x.node", "x.n"), many, F.col("node_a") != F.col("node_b"), percent)
+    tested = materialize(pairs.unionByName(stars).distinct(), "tested")
+    links = [_verify(tested, texts, words, percent)]
+    component = connected_components(links[0])
+    tests, step = [tested], 1
+    while True:
+        named = many.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        open_keys = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
+        named = materialize(named.join(open_keys, "key", "left_semi"), "open-entries")
+        if named.isEmpty():
+            break
+        last = step > STAR_ROUNDS
+        apart = F.col("component_a") != F.col("component_b")
+        if last:
+            fresh = _pairs(named, named, a_first & apart, percent)
+        else:
+            by = F.xxhash64("node", F.lit(step))
+            leader = named.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), by).alias("x")).select("key", "x.node", "x.n", "x.component")
+            fresh = _pairs(leader, named, apart, percent)
+        fresh = materialize(fresh.join(_union(tests), ["a", "b"], "left_anti"), "tested")
+        if not fresh.isEmpty():
+            links.append(_verify(fresh, texts, words, percent))
+            tests.append(fresh)
+            component = connected_components(_union(links))
+        if last:
+            break
+        step += 1
+    return _named(sets, nodes, component).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Columns node, text."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    joined = rows.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "node_sig", "text")
+
+    def own(batches):
+        # Several rows may have the id of a node; the one with its set is kept.
+        for batch in batches:
+            keep = []
+            for sig, text in zip(batch.column("node_sig").to_pylist(), batch.column("text")):
+                found = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words) if text.is_valid else np.zeros(0, np.uint64)
+                keep.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() == sig)
+            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(own, "node long, text binary").dropDuplicates(["node"])
+
+
+def _named(sets: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of ``sets`` with the smallest id of their component."""
+    of_set = nodes.select("sig", "node").join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    ids = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("least"))
+    least = ids.join(of_set, "sig").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = of_set.join(least, "component").select("sig", "component_id")
+    return sets.select("id", "n", "sig").join(named, "sig", "left").select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
+from reviewloom.llm.combination_join import near_duplicate_components
 from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.tables import table
@@ -94,3 +95,8 @@ def op5_line_dedup(spark, sf_dir):
 def op8_addressable_token_files(spark, sf_dir):
     files = write_token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
     return checksums(read_documents(files))
+
+
+@register
+def op9_combination_prefix_join(spark, sf_dir):
+    return near_duplicate_components(documents(spark, sf_dir))
