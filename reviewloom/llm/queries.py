@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
 from reviewloom.llm.combination_join import near_duplicate_components
 from reviewloom.llm.line_dedup import drop_repeated_lines
+from reviewloom.llm.mil_toxicity import score_documents, train
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.tables import table
 from reviewloom.llm.warc import RECORD_ID, normalise, read_records, record_decisions, write_archives
@@ -100,3 +101,17 @@ def op8_addressable_token_files(spark, sf_dir):
 @register
 def op9_combination_prefix_join(spark, sf_dir):
     return near_duplicate_components(documents(spark, sf_dir))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """A fifth of the documents, by their id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@register
+def op10_mil_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = score_documents(docs, model, keep=["doc_id"])
+    score = F.col("__score")
+    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
