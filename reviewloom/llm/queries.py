@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
+from reviewloom.llm.bottom_k import edited_fingerprints
 from reviewloom.llm.combination_join import near_duplicate_components
 from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.mil_toxicity import score_documents, train
@@ -92,6 +93,11 @@ def op5_line_dedup(spark, sf_dir):
     )
 
 
+@register
+def op7_bottom_k_fingerprints(spark, sf_dir):
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 @register
 def op8_addressable_token_files(spark, sf_dir):
     files = write_token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
