@@ -58,3 +58,19 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> keeper THEN keeper END AS refers_to
 FROM f
 """
+
+ORACLE["op6_reply_tree_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), filled AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns
+), escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS body, replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS head FROM filled
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn ' || head || '>' || chr(10) || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

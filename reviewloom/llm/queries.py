@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from reviewloom.llm.combination_join import near_duplicate_components
 from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.mil_toxicity import score_documents, train
 from reviewloom.llm.overlap_tokens import count_tokens
+from reviewloom.llm.reply_trees import as_chain, format_paths, parse_conversation, reply_paths, unescape
 from reviewloom.llm.tables import table
 from reviewloom.llm.warc import RECORD_ID, normalise, read_records, record_decisions, write_archives
 from reviewloom.llm.word_table_bpe import encode_decode
@@ -93,6 +96,37 @@ def op5_line_dedup(spark, sf_dir):
     )
 
 
+#: Conversation -7: control strings inside texts.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def _digests(batches):
+    """What the formatted conversations say when they are read back."""
+    for batch in batches:
+        out = []
+        for conv_id, formatted, spans in zip(batch.column("tree").to_pylist(), batch.column("formatted"), batch.column("loss_spans").to_pylist()):
+            formatted = formatted.as_py()
+            turns = parse_conversation(formatted)
+            all_turns = "".join(f"{role}\n{text}\n" for role, text in turns).encode()
+            loss = "".join(unescape(formatted[s["first"]:s["after"]]) for s in spans)
+            out.append((conv_id, len(turns), hashlib.sha256(all_turns).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+        kinds = (batch.schema.field("tree").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+@register
+def op6_reply_tree_chat(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    messages = as_chain(given.unionByName(added))
+    names = {"tree": "conv_id", "node": "__message"}
+    paths = reply_paths(messages, **names, parent="__parent", score=None)
+    formatted = format_paths(paths, messages, **names)
+    fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select("tree", "formatted", "loss_spans").mapInArrow(_digests, fields)
+
+
 @register
 def op7_bottom_k_fingerprints(spark, sf_dir):
     return edited_fingerprints(documents(spark, sf_dir))
