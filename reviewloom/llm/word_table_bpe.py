@@ -68,7 +68,7 @@ class _Block:
         self.chars += len(text)
 
     def batch(self, schema: pa.Schema, buckets: int) -> pa.RecordBatch:
-        """One row; words ordered by bucket, numbers by frequency, so that they compress well."""
+        """One row; words ordered by bucket and frequency, their places as steps, so that both compress well."""
         flat = np.concatenate(self.codes) if self.codes else np.zeros(0, "<u4")
         counts = np.bincount(flat, minlength=len(self.words))
         order = np.argsort(-counts, kind="stable")
@@ -89,7 +89,7 @@ class _Block:
                     "lengths": [len(c) for c in self.codes],
                     "n_words": len(words),
                     "codes": shrink(rank[flat] if len(flat) else flat),
-                    "words": [{"bucket": b, "words": w, "places": shrink(np.array(p, "<u4"))} for b, (w, p) in by_bucket.items()],
+                    "words": [{"bucket": b, "words": w, "places": shrink(np.diff(np.array(p, "<u4"), prepend=np.uint32(0)))} for b, (w, p) in by_bucket.items()],
                 }
             ],
             schema,
@@ -191,8 +191,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
     blocks = word_blocks(docs, text_col, keep, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = encode_words(blocks, tokenizer)
     by_block = words.groupBy("block").agg(F.collect_list(F.struct("places", "lengths", "ids")).alias("tables"))
-    used = words.select("block", F.explode("used").alias("id")).distinct()
-    pieces = used.join(F.broadcast(piece_table(spark, tokenizer)), "id")
+    used = words.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    pieces = used.select("block", F.explode("used").alias("id")).join(F.broadcast(piece_table(spark, tokenizer)), "id")
     pieces = pieces.groupBy("block").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
     joined = blocks.drop("words").join(by_block, "block", "left").join(pieces, "block", "left")
     kept = docs.select(F.struct(*keep).alias("row")).schema["row"].dataType.simpleString()
@@ -212,7 +212,7 @@ def _assembled(block: pa.RecordBatch, digests: bool) -> Iterator[pa.RecordBatch]
     """The documents of a block from its word numbers, the ids of its words and the pieces of its ids."""
     get = lambda name: block.column(name)[0].as_py()
     n_words, codes = get("n_words"), expand(get("codes"))
-    tables = [(expand(t["places"]), expand(t["lengths"]), expand(t["ids"])) for t in get("tables") or []]
+    tables = [(np.cumsum(expand(t["places"]), dtype=np.uint32), expand(t["lengths"]), expand(t["ids"])) for t in get("tables") or []]
     place, size, flat = (np.concatenate([t[k] for t in tables]) if tables else np.zeros(0, "<u4") for k in range(3))
     starts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     piece = dict(zip(get("piece_ids") or [], get("pieces") or []))
