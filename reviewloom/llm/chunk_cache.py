@@ -23,7 +23,7 @@ _UNSAFE = re.compile(f"[ {_OTHER_SPACE}] ")
 #: A piece of one or two words (letters up to U+024F) with marks after them: the pre-tokenizer breaks at every border.
 _LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 _PLAIN = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\\n)({_LETTERS})([.,;:!?]*))?")
-TABLE_PIECES = 600_000
+TABLE_PIECES = 900_000
 LONG_PIECE = 256
 GROUP_CHARS = 1 << 20
 
@@ -79,11 +79,11 @@ class PieceEncoder:
         if len(table) + len(missing) > self.limit:
             table.clear()
             missing = wanted
-        split = {}
+        split, parts = {}, set()
         for piece in missing:
-            found = _PLAIN.fullmatch(lead + piece)
-            split[piece] = [x for x in found.groups() if x] if found else [lead + piece]
-        parts = set().union(*split.values()) if split else set()
+            found = None if piece.isalpha() else _PLAIN.fullmatch(lead + piece)
+            split[piece] = own = [x for x in found.groups() if x] if found else [lead + piece]
+            parts.update(own)
         new = parts.difference(self.parts)
         if len(self.parts) + len(new) > self.limit:
             self.parts.clear()

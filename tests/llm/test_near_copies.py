@@ -1,0 +1,115 @@
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from reviewloom.llm import combination_join
+from reviewloom.llm.bottom_k import containment, distinct, edited_fingerprints, fingerprints, from_text, merge, merged_fingerprints, resemblance, sketch
+from reviewloom.llm.combination_join import near_duplicate_components
+from reviewloom.llm.components import connected_components
+from reviewloom.llm.shingles import word_hashes
+
+
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def components_by_hand(rows, size, percent):
+    sets = [shingles(t, size) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(i)
+    name = lambda k: min((i for i in least[find(k)] if i is not None), default=None) if sets[k] else rows[k][0]
+    return sorted(repr((i, len(sets[k]), name(k))) for k, (i, _) in enumerate(rows))
+
+
+def edited(text, places, mark):
+    words = text.split(" ")
+    for p in places:
+        words[p] = f"{mark}{p}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("percent, frequent, few", [(85, 16, 16), (85, 2, 2), (80, 1, 3), (80, 3, 1)])
+def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
+    # Small bounds let small tables use classes of frequent tokens and entries of many nodes.
+    monkeypatch.setattr(combination_join, "FREQUENT", frequent)
+    monkeypatch.setattr(combination_join, "FEW_NODES", few)
+    base = prose(99, 400, marks=False)
+    near = [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(12)]
+    chain = [(200 + i, edited(base, range(0, 12 * i, 2), "c")) for i in range(9)]
+    shared = [(300 + i, prose(400 + i, 90, marks=False) + " " + base[:300]) for i in range(10)]
+    rows = cases + near + chain + shared
+    got = [repr(tuple(r)) for r in near_duplicate_components(docs_of(rows), percent=percent).collect()]
+    assert sorted(got) == components_by_hand(rows, 4, percent)
+
+
+def test_no_documents(docs_of):
+    assert near_duplicate_components(docs_of([])).count() == 0
+    assert edited_fingerprints(docs_of([])).count() == 0
+
+
+def test_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
+    got = dict(tuple(r) for r in connected_components(edges).collect())
+    assert got == {**{i: 0 for i in range(71)}, 100: 100, 101: 100}
+
+
+def test_equal_words_have_equal_hashes():
+    long = "x" * 5000
+    h = word_hashes(f"Aa  b\taA {long} {long}y {long}".encode())
+    assert h[0] == h[2] and h[3] == h[5] != h[4] and len(h) == 6
+
+
+def test_estimates(prose):
+    a, b = prose(1, 3000, marks=False), prose(2, 3000, marks=False)
+    mixed = a[:len(a) // 2] + " " + b[:len(b) // 2]
+    x, y = sketch(a.encode(), 512), sketch(mixed.encode(), 512)
+    true = len(shingles(a, 5) & shingles(mixed, 5)) / len(shingles(a, 5) | shingles(mixed, 5))
+    assert abs(resemblance(x, y, 512) - true) < 0.08
+    assert abs(distinct(x, 512) / len(shingles(a, 5)) - 1) < 0.15
+    assert abs(containment(x, y, 512) - len(shingles(a, 5) & shingles(mixed, 5)) / len(shingles(a, 5))) < 0.15
+    assert np.array_equal(merge(x, y, 512), merge(y, x, 512))
+
+
+def test_fingerprints_merge(spark, docs_of, cases):
+    rows = [(r.doc_id, r["__fingerprint"]) for r in fingerprints(docs_of(cases)).collect()]
+    texts = dict(cases)
+    for i, f in rows:
+        if i in texts and i != 9:
+            assert np.array_equal(from_text(f), sketch((texts[i] or "").encode()))
+    whole = merged_fingerprints(spark.createDataFrame([(i or 0, f) for i, f in rows], "g long, __fingerprint string").selectExpr("g % 2 AS g", "__fingerprint").repartition(3), "g")
+    for r in whole.collect():
+        want = np.zeros(0, np.uint64)
+        for i, f in rows:
+            want = merge(want, from_text(f)) if (i or 0) % 2 == r.g else want
+        assert np.array_equal(from_text(r["__fingerprint"]), want)
+
+
+def test_edited_texts(docs_of, cases):
+    import hashlib
+
+    got = edited_fingerprints(docs_of(cases)).collect()
+    rows = sorted(cases, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    want = []
+    for k, (i, text) in enumerate(rows):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        want.append((i, len(text), hashlib.sha256((text[:len(text) - half] + following[:half]).encode()).hexdigest()))
+    assert sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in got) == sorted(map(repr, want))
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1].fingerprint == by_id[2].fingerprint and by_id[2].near_next == 1.0
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
