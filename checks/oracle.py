@@ -415,14 +415,17 @@ for _period in ("day", "week", "month", "quarter"):
     twin(f"growth_series_{_period}", f"SELECT product_id, {_step}, date, buyers, rating, trend FROM gs_{_period}", f"gs_{_period}")
 twin("growth_points", "SELECT product_id, date, buyers, rating FROM gp_month", "gp_month")
 twin("growth_trend", f"SELECT product_id, {_step}, buyers, coalesce(previous, 0) AS previous_buyers, trend FROM gs_month", "gs_month")
-part("gm", ["gm_week", "gm_month"], "SELECT * FROM gm_week JOIN gm_month USING (product_id)")
+part("gm", ["sn", "gm_week", "gm_month"], """
+SELECT * FROM (SELECT DISTINCT product_id FROM sn) LEFT JOIN gm_week USING (product_id) LEFT JOIN gm_month USING (product_id)""")
 twin("growth_metrics", f"""
 SELECT product_id, {rounded('week_growth', 1)} AS weekly_growth, {rounded('month_growth', 1)} AS monthly_growth, trunc(week_mean)::BIGINT AS weekly_average,
   trunc(month_mean)::BIGINT AS monthly_average, week_best AS best_day, week_peak AS peak_buyers,
-  CASE WHEN week_growth > 5 THEN 'growing' WHEN week_growth < -5 THEN 'declining' ELSE 'stable' END AS trend, {rounded('week_strength * 100', 1)} AS trend_strength FROM gm""", "gm")
+  CASE WHEN week_growth > 5 THEN 'growing' WHEN week_growth < -5 THEN 'declining' WHEN week_growth IS NOT NULL THEN 'stable' END AS trend,
+  {rounded('week_strength * 100', 1)} AS trend_strength,
+  CASE WHEN week_last IS NULL OR month_last IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status FROM gm""", "gm")
 twin("growth_forecast", """
 SELECT product_id, trunc(week_last * (1 + week_growth / 100))::BIGINT AS next_week,
-  CASE WHEN week_strength > 0.7 THEN 'high' WHEN week_strength > 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM gm""", "gm")
+  CASE WHEN week_strength > 0.7 THEN 'high' WHEN week_strength > 0.4 THEN 'medium' WHEN week_growth IS NOT NULL THEN 'low' END AS confidence FROM gm""", "gm")
 _gr = {k: text(v) for k, v in d.GROWTH_RECOMMENDATIONS.items()}
 _advice = lines(
     f"CASE WHEN week_growth > 10 THEN {_gr['strong']} WHEN week_growth < -10 THEN {_gr['declining']} END",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from reviewloom import dictionaries as d
 from reviewloom import lexicon as lx
 from reviewloom.functions.text import SPACE_CHARS, SPACE_CLASS, WORD_BREAK
-from reviewloom.sources.driver_tables import COUNTRIES, PHRASES, TITLES
+from reviewloom.sources.driver_tables import COUNTRIES, PHRASES, SHORT_SEQ, TITLES
 
 
 def text(value: str) -> str:
@@ -91,14 +91,14 @@ def query(select: str, *names: str) -> str:
 
 
 part("rv", [], f"""
-SELECT 'R' || doc_id AS review_id, 'B' || lpad(CAST(doc_id % 20 AS VARCHAR), 9, '0') AS product_id,
+SELECT CASE WHEN short THEN 'X' ELSE 'R' END || doc_id AS review_id, 'B' || lpad(CAST(doc_id % 20 AS VARCHAR), 9, '0') AS product_id,
   {pick(COUNTRIES, 'doc_id % 5')} AS country, {pick(TITLES, 'doc_id % 4')} AS title,
-  {pick(PHRASES, 'doc_id % 10')} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || text END AS body,
+  {pick(PHRASES, 'doc_id % 10')} || CASE WHEN short THEN '' ELSE ' ' || coalesce(text, '') END AS body,
   CASE WHEN doc_id % 20 = 0 THEN 5::DOUBLE ELSE (1 + (doc_id // 20 * 7 + doc_id) % 5)::DOUBLE END AS rating,
   CASE doc_id % 6 WHEN 0 THEN 'customer' || doc_id WHEN 1 THEN 'user7' WHEN 2 THEN '' ELSE 'Reader ' || (doc_id % 50) END AS author,
   '2024-01-' || lpad(CAST(1 + (doc_id // 20) % 7 AS VARCHAR), 2, '0') || 'T00:00:00' AS review_date,
-  doc_id % 3 <> 0 AS verified, (doc_id % 4)::INT AS helpful_count, doc_id AS seq
-FROM documents""")
+  doc_id % 3 <> 0 AS verified, (doc_id % 4)::INT AS helpful_count, CASE WHEN short THEN doc_id + {SHORT_SEQ} ELSE doc_id END AS seq
+FROM (SELECT doc_id, text, false AS short FROM documents UNION ALL SELECT doc_id, text, true FROM documents WHERE doc_id % 3 = 0)""")
 
 # ------------------------------------------------------------------ bots
 _patterns = "(?i)" + "|".join(f"(?:{p})" for p in d.SUSPICIOUS_TEXT_PATTERNS)

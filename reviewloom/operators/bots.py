@@ -11,7 +11,7 @@ from reviewloom.dictionaries import GENERIC_PHRASES, SUSPICIOUS_AUTHOR_PATTERNS,
 from reviewloom.functions.binding import let
 from reviewloom.functions.rounding import percent, round_exact
 from reviewloom.functions.text import any_match, count_contained, scoring_text, split_space
-from reviewloom.operators.ranking import HOT_GROUP_ROWS, PRODUCT, join_group_facts
+from reviewloom.operators.ranking import PRODUCT, join_group_facts
 
 # Rule name and weight in tenths, in rule order.
 RULES = [
@@ -120,7 +120,7 @@ def bulk_days(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
 
 
 def bulk_posting(
-    scored: DataFrame, source: DataFrame | None = None, keys: Sequence[str] = PRODUCT, hot_rows: int = HOT_GROUP_ROWS
+    scored: DataFrame, source: DataFrame | None = None, keys: Sequence[str] = PRODUCT
 ) -> DataFrame:
     """Add the group rule to scored reviews.
 
@@ -131,7 +131,7 @@ def bulk_posting(
     """
     facts = bulk_days(scored if source is None else source, keys)
     rows = scored.withColumn("__day", date_part())
-    joined = join_group_facts(rows, facts, [*keys, "__day"], ["__bulk"], "__n", hot_rows=hot_rows)
+    joined = join_group_facts(rows, facts, [*keys, "__day"], ["__bulk"])
     bulk = F.coalesce(F.col("__bulk"), F.lit(False))
     tenths = F.round(F.col("bot_score") * 10).cast("int")
     score = F.when(bulk, F.least(tenths + BULK_RULE[1], F.lit(10)) / 10.0).otherwise(F.col("bot_score"))
@@ -150,9 +150,9 @@ def bulk_posting(
     )
 
 
-def analyze_bots(reviews: DataFrame, keys: Sequence[str] = PRODUCT, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def analyze_bots(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Row rules plus the bulk-posting rule."""
-    return bulk_posting(bot_score(reviews), reviews, keys, hot_rows)
+    return bulk_posting(bot_score(reviews), reviews, keys)
 
 
 def bot_aggregates() -> list[Column]:

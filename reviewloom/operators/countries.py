@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.dictionaries import COUNTRY_PRIORITY, MULTI_COUNTRY_DEFAULT
 from reviewloom.functions.rounding import round_exact
-from reviewloom.operators.ranking import HOT_GROUP_ROWS, PRODUCT, join_group_facts
+from reviewloom.operators.ranking import PRODUCT, join_group_facts
 from reviewloom.operators.ratings import rating_aggregates
 
 
@@ -28,7 +28,7 @@ def country_priority(requested: str | None = None) -> list[str]:
 
 
 def first_available_country(
-    reviews: DataFrame, requested: str | None = None, keys: Sequence[str] = PRODUCT, hot_rows: int = HOT_GROUP_ROWS
+    reviews: DataFrame, requested: str | None = None, keys: Sequence[str] = PRODUCT
 ) -> DataFrame:
     """Reviews of the first country in the priority order that has any."""
     rank = F.lit(None).cast("int")
@@ -36,7 +36,7 @@ def first_available_country(
         rank = F.when(F.col("country") == country, place).otherwise(rank)
     listed = reviews.withColumn("__place", rank).filter(F.col("__place").isNotNull())
     facts = listed.groupBy(*keys).agg(F.min("__place").alias("__best"), F.count("*").alias("__n"))
-    joined = join_group_facts(listed, facts, keys, ["__best"], "__n", hot_rows=hot_rows)
+    joined = join_group_facts(listed, facts, keys, ["__best"])
     return joined.filter(F.col("__place") == F.col("__best")).select(*reviews.columns)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.dictionaries import GROWTH_RECOMMENDATIONS
 from reviewloom.functions.rounding import round_exact
-from reviewloom.operators.ranking import PRODUCT
+from reviewloom.operators.ranking import PRODUCT, join_group_facts
 from reviewloom.schema import SNAPSHOT, STORED_SNAPSHOT
 
 # Days back and hours per step of each period; label counts.
@@ -31,16 +31,17 @@ def estimate_buyers(snapshots: DataFrame, rate: float = BUYER_RATE) -> DataFrame
     )
 
 
-def append_growth_snapshot(snapshots: DataFrame, path: str, rate: float = BUYER_RATE) -> None:
+def append_growth_snapshot(snapshots: DataFrame, path: str, rate: float = BUYER_RATE, keys: Sequence[str] = PRODUCT) -> None:
     """Append snapshots below ``path``, one folder per date.
 
     Products are clustered inside the date folders; a folder per product would
     make one tiny file per product and day.
     """
     rows = estimate_buyers(snapshots, rate).select(
-        *SNAPSHOT.fieldNames(), F.to_date("ts").alias("date")
+        *keys, *[c for c in SNAPSHOT.fieldNames() if c not in PRODUCT], F.to_date("ts").alias("date")
     )
-    rows.repartition("date", "product_id").sortWithinPartitions("date", "product_id").write.mode("append").partitionBy(
+    # Rebalanced, so that a day of very many rows is split over several files.
+    rows.hint("rebalance", "date").sortWithinPartitions("date", keys[0]).write.mode("append").partitionBy(
         "date"
     ).parquet(path)
 
@@ -83,14 +84,19 @@ def trend(change: Column) -> Column:
 
 
 def _recent_days(snapshots: DataFrame, as_of: datetime, period: str, keys: Sequence[str]) -> DataFrame:
-    """Daily means of the dates that a period touches; the filter reaches the scan."""
+    """Daily means of the dates that a period touches; the filters reach the scan."""
     days, _ = PERIODS.get(period, PERIODS["week"])
-    low, high = (as_of - timedelta(days=days)).strftime("%Y-%m-%d"), as_of.strftime("%Y-%m-%d")
-    recent = snapshots.filter(
-        (F.col("ts") >= F.lit(low).cast("timestamp"))
-        & (F.col("ts") < F.timestamp_add("DAY", F.lit(1), F.lit(high).cast("timestamp")))
-    )
-    return daily_means(recent, keys)
+    return daily_means(_between(snapshots, as_of - timedelta(days=days), as_of), keys)
+
+
+def _between(snapshots: DataFrame, first: datetime, last: datetime) -> DataFrame:
+    """Snapshots of the days from ``first`` to ``last``; stored ones also by their folder's date."""
+    low, high = first.strftime("%Y-%m-%d"), last.strftime("%Y-%m-%d")
+    after = (last + timedelta(days=1)).strftime("%Y-%m-%d")
+    recent = snapshots.filter((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(after).cast("timestamp")))
+    if "date" in snapshots.columns:
+        recent = recent.filter(F.col("date").between(F.lit(low).cast("date"), F.lit(high).cast("date")))
+    return recent
 
 
 def growth_points(
@@ -145,11 +151,17 @@ def _period_metrics(points: DataFrame, keys: Sequence[str], name: str) -> DataFr
 def growth_metrics(snapshots: DataFrame, as_of: datetime, keys: Sequence[str] = PRODUCT) -> DataFrame:
     """Week and month growth, averages, best day, trend, forecast and recommendations.
 
-    Both periods share the daily means of the month, so snapshots are read once.
+    Both periods share the daily means of the month. Every product of
+    ``snapshots`` has a row: ``status`` is ``ok``, or ``insufficient_data`` where
+    the last week or month has no snapshots; what rests on it is then NULL.
     """
+    products = snapshots.select(*keys).distinct()
     means = _recent_days(snapshots, as_of, "month", keys)
     week, month = (_period_metrics(_points(means, as_of, p, keys), keys, p) for p in ("week", "month"))
-    both = week.join(month, list(keys))
+    both = join_group_facts(products, week, keys, [c for c in week.columns if c not in keys])
+    both = join_group_facts(both, month, keys, [c for c in month.columns if c not in keys])
+    enough = F.col("week_last").isNotNull() & F.col("month_last").isNotNull()
+    known = F.col("week_growth").isNotNull()
     growth, strength = F.col("week_growth"), F.col("week_strength")
     return both.select(
         *keys,
@@ -159,11 +171,12 @@ def growth_metrics(snapshots: DataFrame, as_of: datetime, keys: Sequence[str] =
         F.col("month_mean").cast("long").alias("monthly_average"),
         F.col("week_best").alias("best_day"),
         F.col("week_peak").alias("peak_buyers"),
-        F.when(growth > 5, "growing").when(growth < -5, "declining").otherwise("stable").alias("trend"),
+        F.when(known, F.when(growth > 5, "growing").when(growth < -5, "declining").otherwise("stable")).alias("trend"),
         round_exact(strength * 100, 1).alias("trend_strength"),
         growth_forecast(F.col("week_last"), growth).alias("next_week"),
-        forecast_confidence(strength).alias("confidence"),
+        F.when(known, forecast_confidence(strength)).alias("confidence"),
         growth_recommendations(growth, F.col("month_growth"), strength).alias("recommendations"),
+        F.when(enough, "ok").otherwise("insufficient_data").alias("status"),
     )
 
 
@@ -197,7 +210,8 @@ def period_labels(
     count, days = LABEL_STEPS.get(period, (12, 90))
     last = F.lit(as_of.strftime("%Y-%m-%d")).cast("date")
     back = F.floor(F.datediff(last, F.to_date("ts")) / days).cast("int")
-    rows = snapshots.withColumn("__i", F.lit(count) - back).filter((F.col("__i") >= 1) & (F.col("__i") <= count))
+    recent = _between(snapshots, as_of - timedelta(days=count * days), as_of)
+    rows = recent.withColumn("__i", F.lit(count) - back).filter((F.col("__i") >= 1) & (F.col("__i") <= count))
     sums = rows.groupBy(*keys, "__i").agg(F.sum("estimated_buyers").alias("__sum"), F.count("*").alias("__n"))
     date = F.date_sub(last, ((F.lit(count) - F.col("__i")) * days).cast("int"))
     label = {

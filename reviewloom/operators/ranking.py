@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRODUCT = ("product_id",)
-# A group with more rows than this is joined by broadcast and spread by salt.
-HOT_GROUP_ROWS = 5_000_000
 SALTS = 512
-GROUP_LIMIT = 1000
+# The most rows for which Spark limits groups before the shuffle.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -19,11 +18,11 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
 
     ``row_number <= n`` lets Spark keep at most ``n`` rows per group in every
     input task before the shuffle, so a hot group costs no more than others.
-    Spark does so up to 1000 rows; beyond, a salted first round does the same.
+    Spark does so up to a number in its settings; beyond, a salted first round does the same.
     """
     name = rank or "__rank"
     out = df
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
         salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
         out = out.withColumn("__salt", salt)
         local = Window.partitionBy(*keys, "__salt").orderBy(*order)
@@ -33,41 +32,21 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return out if rank else out.drop(name)
 
 
-def max_reviews(reviews: DataFrame, limit: int, keys: Sequence[str] = PRODUCT, cap: int | None = 100) -> DataFrame:
-    """The first reviews of each product; the request itself is capped (100, or 5)."""
+def max_reviews(reviews: DataFrame, limit: int, keys: Sequence[str] = PRODUCT, cap: int | None = None) -> DataFrame:
+    """The first ``limit`` reviews of each product; a caller whose requests are capped passes the cap (100, or 5)."""
     n = limit if cap is None else min(limit, cap)
     return first_rows(reviews, keys, [F.col("seq").asc()], n)
 
 
-def join_group_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    values: Sequence[str],
-    group_rows: str,
-    spread_by: str = "review_id",
-    hot_rows: int = HOT_GROUP_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Left-join per-group facts to rows without gathering a hot group in one task.
+def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Left-join facts about groups (one row for each) to rows; missing keys match each other.
 
-    ``facts`` has one row per group and the group's size in ``group_rows``.
-    Groups of ``hot_rows`` rows or more can number at most (all rows / hot_rows),
-    so their facts are broadcast, and their rows are spread by a salt in the
-    shuffle join that serves all other groups.
+    One join: Spark broadcasts the facts if they are small, and otherwise
+    splits the rows of a hot group at run time (adaptive skew join).
     """
-    hot = F.broadcast(
-        facts.filter(F.col(group_rows) >= hot_rows).select(
-            *keys, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values]
-        )
-    )
-    # the salt of the other groups is always 0, but stays a column so that it is
-    # part of the shuffle key
-    cold = facts.filter(F.col(group_rows) < hot_rows).select(
-        *keys, (F.col(group_rows) >= hot_rows).cast("int").alias("__salt"), *[F.col(v).alias(f"__cold_{v}") for v in values]
-    )
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)) + 1).otherwise(0).cast("int")
-    joined = rows.join(hot, list(keys), "left").withColumn("__salt", salt).join(cold, [*keys, "__salt"], "left")
-    return joined.select(
-        *rows.columns, *[F.coalesce(f"__hot_{v}", f"__cold_{v}").alias(v) for v in values]
-    )
+    named = facts.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *values)
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    condition = same[0]
+    for other in same[1:]:
+        condition = condition & other
+    return rows.join(named, condition, "left").select(*rows.columns, *values)

@@ -22,7 +22,7 @@ from reviewloom.dictionaries import (
 )
 from reviewloom.functions.rounding import round_exact
 from reviewloom.functions.text import analysis_text, contains_any, count_contained, count_occurrences
-from reviewloom.operators.ranking import HOT_GROUP_ROWS, PRODUCT, join_group_facts
+from reviewloom.operators.ranking import PRODUCT, join_group_facts
 from reviewloom.operators.sentiment import compound_of, sentiment_label
 
 TOP_THEMES = 5
@@ -200,7 +200,7 @@ def _pattern_matches(reviews: DataFrame) -> DataFrame:
 
 
 def pattern_theme_members(
-    reviews: DataFrame, keys: Sequence[str] = PRODUCT, hot_rows: int = HOT_GROUP_ROWS
+    reviews: DataFrame, keys: Sequence[str] = PRODUCT
 ) -> DataFrame:
     """Members of the pattern themes as rows ``(keys, theme, review_id)``.
 
@@ -210,7 +210,7 @@ def pattern_theme_members(
     matched = _pattern_matches(reviews).select(*keys, "review_id", "__themes")
     facts = matched.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(F.size("__themes")).alias("__most"))
     unmatched = facts.filter(F.col("__most") == 0).withColumn("__none", F.lit(True))
-    rows = join_group_facts(matched, unmatched, keys, ["__none"], "__n", hot_rows=hot_rows)
+    rows = join_group_facts(matched, unmatched, keys, ["__none"])
     names = F.when(F.col("__none"), F.array(F.lit(PATTERN_DEFAULT_THEME))).otherwise(F.col("__themes"))
     return rows.select(*keys, "review_id", F.explode(names).alias("theme")).select(*keys, "theme", "review_id")
 

@@ -92,5 +92,5 @@ def analysis_document(
     )
     out = out.withColumn("dominant_emotion", F.regexp_replace("dominant_emotion", "^__hits_", ""))
     out = out.withColumn("insights", insights.default_insights(filter_bots)).withColumn("summaries", summaries.default_summaries())
-    hidden = [c for c in out.columns if c.startswith("__") or c.split("_")[-1].isdigit() and not c.startswith("stars_")]
+    hidden = [c for c in out.columns if c not in keys and (c.startswith("__") or c.split("_")[-1].isdigit() and not c.startswith("stars_"))]
     return out.drop(*hidden)

@@ -24,8 +24,8 @@ def _means() -> dict:
     return {f"avg_{c}": round_exact(sentiment.mean_of(c), 3) for c in MEANS}
 
 
-def _visible(df: DataFrame) -> DataFrame:
-    hidden = [c for c in df.columns if c.startswith(("__", "mentions_"))]
+def _visible(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    hidden = [c for c in df.columns if c not in keys and c.startswith(("__", "mentions_"))]
     return df.drop(*hidden)
 
 
@@ -49,7 +49,7 @@ def ensemble_document(
     out = out.withColumns({"themes": themes.occurrence_array(), "dominant_emotion": mood}).join(words, list(keys), "left")
     lines, advice, volume = insights.ensemble_insights()
     return _visible(
-        out.withColumns({"insights": lines, "recommendations": advice, "confidence": volume, "summary": summaries.ensemble_summary()})
+        out.withColumns({"insights": lines, "recommendations": advice, "confidence": volume, "summary": summaries.ensemble_summary()}), keys
     )
 
 
@@ -68,7 +68,8 @@ def free_document(
     return _visible(
         out.withColumns(
             {"insights": insights.free_insights(), "summary": summaries.free_summary(), "confidence_level": insights.free_confidence()}
-        )
+        ),
+        keys,
     )
 
 
@@ -91,4 +92,4 @@ def api_document(
     ).join(words, list(keys), "left")
     verdict, lines = insights.api_insights()
     out = out.withColumns({"verdict": verdict, "insights": lines, "summaries": summaries.api_summaries()})
-    return _visible(out.withColumn("average_rating", round_exact(F.col("average_rating"), 2)))
+    return _visible(out.withColumn("average_rating", round_exact(F.col("average_rating"), 2)), keys)

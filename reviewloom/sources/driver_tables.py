@@ -1,7 +1,8 @@
 """Adapters from the benchmark tables to the tables of the engine.
 
 The prose of the ``documents`` table seldom contains review words, so a phrase
-chosen by the document id precedes the whole text of two documents in three.
+chosen by the document id precedes the whole text of each. Every third document
+gives a second, short review of the phrase alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Fixture phrases by remainder of the document id.
 TITLES = ["", "Good value", "Not what I hoped", "Works fine"]
+SHORT_SEQ = 1_000_000_000
 COUNTRIES = ["US", "UK", "DE", "CA", "IN"]
 PHRASES = [
     "Great product!",
@@ -45,18 +47,18 @@ def _pick(values: list[str], index) -> F.Column:
 
 
 def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical reviews, one per document, over the whole texts."""
+    """Canonical reviews: one with the whole text of each document, and a short one for every third."""
     doc = F.col("doc_id")
     block = F.floor(doc / 20)
     docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select(
-        F.concat(F.lit("R"), doc).alias("review_id"),
+    phrase, short = _pick(PHRASES, doc % 10), F.col("short")
+    kinds = F.when(doc % 3 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return docs.withColumn("short", F.explode(kinds)).select(
+        F.concat(F.when(short, "X").otherwise("R"), doc).alias("review_id"),
         F.concat(F.lit("B"), F.lpad((doc % 20).cast("string"), 9, "0")).alias("product_id"),
         _pick(COUNTRIES, doc % 5).alias("country"),
         _pick(TITLES, doc % 4).alias("title"),
-        F.concat(
-            _pick(PHRASES, doc % 10), F.when(doc % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("text")))
-        ).alias("body"),
+        F.when(short, phrase).otherwise(F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")))).alias("body"),
         F.when(doc % 20 == 0, 5.0).otherwise((1 + (block * 7 + doc) % 5).cast("double")).alias("rating"),
         F.when(doc % 6 == 0, F.concat(F.lit("customer"), doc))
         .when(doc % 6 == 1, "user7")
@@ -66,7 +68,7 @@ def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("2024-01-"), F.lpad((1 + block % 7).cast("string"), 2, "0"), F.lit("T00:00:00")).alias("review_date"),
         (doc % 3 != 0).alias("verified"),
         (doc % 4).cast("int").alias("helpful_count"),
-        doc.alias("seq"),
+        F.when(short, doc + SHORT_SEQ).otherwise(doc).alias("seq"),
     )
 
 

@@ -77,7 +77,7 @@ def test_bulk_rule_groups_empty_dates_and_products_apart(make):
 
 def test_hot_groups_give_the_same_result(spark, small_reviews):
     plain = bots.analyze_bots(small_reviews.withColumn("rating", F.lit(4.0)))
-    split = bots.analyze_bots(small_reviews.withColumn("rating", F.lit(4.0)).withColumn("review_date", F.lit("2024-01-01T1")), hot_rows=3)
+    split = bots.analyze_bots(small_reviews.withColumn("rating", F.lit(4.0)).withColumn("review_date", F.lit("2024-01-01T1")))
     cold = bots.analyze_bots(small_reviews.withColumn("rating", F.lit(4.0)).withColumn("review_date", F.lit("2024-01-01T1")))
     cols = ["review_id", "bot_score", "is_bot_likely", "bot_indicators"]
     assert sorted(split.select(*cols).collect()) == sorted(cold.select(*cols).collect())

@@ -62,3 +62,19 @@ def test_period_labels(spark):
         (6, "2024-03-09", "Sat", 100, 0.0), (7, "2024-03-10", "Sun", 150, 50.0)
     ]
     assert [r.label for r in growth.period_labels(df, AS_OF, "decade").collect()] == ["Q12"]
+
+
+def test_products_without_recent_data_stay(spark):
+    df = frame(spark, [("P", "2024-03-08T00:00:00", 1, 4.0, 10), ("Q", "2024-02-15T00:00:00", 1, 4.0, 20), ("R", "2023-01-01T00:00:00", 1, 4.0, 30), (None, "2024-03-08T00:00:00", 1, 4.0, 5)])
+    out = {r.product_id: r for r in growth.growth_metrics(df, AS_OF).collect()}
+    assert {k: r.status for k, r in out.items()} == {"P": "ok", "Q": "insufficient_data", "R": "insufficient_data", None: "ok"}
+    assert out["Q"].monthly_average == 20 and out["Q"].weekly_average is None and out["Q"].trend is None and out["R"].confidence is None
+
+
+def test_stored_days_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "s")
+    growth.append_growth_snapshot(frame(spark, [("P", f"2024-03-0{d}T00:00:00", 10, 4.0, 0) for d in range(1, 10)]), path)
+    stored = growth.read_growth_snapshots(spark, path)
+    for out in (growth.growth_series(stored, AS_OF), growth.period_labels(stored, AS_OF, "day")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan and "GreaterThanOrEqual(ts" in plan

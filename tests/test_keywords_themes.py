@@ -53,7 +53,7 @@ def test_occurrences_do_not_overlap(make):
 
 def test_products_without_a_pattern_get_the_default_theme(make):
     df = make({"body": "nice price"}, {"body": "zzz"}, {"body": "zzz", "product_id": "Q"}, {"body": "qqq", "product_id": "Q"})
-    members = sorted(tuple(r) for r in themes.pattern_theme_members(df, hot_rows=2).collect())
+    members = sorted(tuple(r) for r in themes.pattern_theme_members(df).collect())
     assert members == [("P", "Price & Value", "R0"), ("Q", "General Feedback", "R2"), ("Q", "General Feedback", "R3")]
     rows = {(r.product_id, r.id, r.theme, r.size, r.sentiment_score) for r in themes.pattern_themes(df).collect()}
     assert rows == {("P", "theme_0", "Price & Value", 1, 3.5), ("Q", "theme_0", "General Feedback", 2, 3.0)}

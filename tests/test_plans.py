@@ -34,7 +34,7 @@ def test_product_with_only_bots_keeps_a_row(make):
 
 def test_cap_limits_the_analysis_but_not_the_counts(small_reviews):
     doc = analysis_document(small_reviews, limit=4, with_samples=False).first()
-    assert doc.total_reviews == 10 and doc.bot_total == 4
+    assert doc.total_reviews == small_reviews.where(F.col("product_id") == doc.product_id).count() and doc.bot_total == 4
 
 
 def test_group_limit_runs_before_the_shuffle(small_reviews):
@@ -77,7 +77,7 @@ def test_salt_is_part_of_the_shuffle_key(spark, small_reviews):
 def test_first_country_and_rollup(make):
     df = make({"country": "DE"}, {"country": "US"}, {"country": "US"}, {"country": "FR", "product_id": "Q"})
     assert {r.review_id for r in countries.first_available_country(df).collect()} == {"R1", "R2"}
-    assert {r.review_id for r in countries.first_available_country(df, "DE", hot_rows=1).collect()} == {"R0"}
+    assert {r.review_id for r in countries.first_available_country(df, "DE").collect()} == {"R0"}
     assert {r.review_id for r in countries.first_available_country(df, "FR").collect()} == {"R1", "R2", "R3"}
     row = countries.country_rollup(df).first()
     assert (row.total_reviews, row.successful_countries, row.failed_countries) == (3, ["US", "DE"], ["UK", "CA"])
@@ -109,3 +109,15 @@ def test_report_files(spark, small_reviews, tmp_path):
     assert spark.read.parquet(paths["ratings"]).count() == 100
     assert spark.read.parquet(paths["reviews"]).columns == ["product_id", "title", "text", "rating", "author", "date", "verified"]
     assert set(report.report_pdf_sections(doc)) == {"sentiment", "bots", "keywords", "themes", "insights", "ratings"}
+
+
+def test_keys_of_any_name_stay(small_reviews):
+    renamed = small_reviews.withColumnRenamed("product_id", "mentions_1")
+    assert "mentions_1" in analysis_document(renamed, keys=("mentions_1",), write_once=False).columns
+
+
+def test_a_missing_product_is_a_group(make):
+    from reviewloom.operators import themes
+
+    df = make({"product_id": None, "body": "nothing here"}, {"product_id": None, "body": "nor here"})
+    assert themes.pattern_theme_members(df).count() == 2

@@ -91,3 +91,11 @@ def test_product_info_takes_the_first_titled_item(spark):
         {c: F.lit(None).cast("long") for c in ("totalReviews", "reviewsCount")})
     live, service = items.product_info(df).first(), items.product_info(df, "service").first()
     assert (live.title, live.rating, live.brand) == ("Lamp", 4.5, "") and (service.title, service.rating) == ("other", 0.0)
+
+
+def test_whole_texts_reach_the_reviews(spark, small_reviews):
+    from tests.conftest import SMALL
+
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    whole = small_reviews.join(given, F.col("review_id") == F.concat(F.lit("R"), "doc_id"))
+    assert whole.where(F.expr("endswith(body, text)")).count() == given.count()
