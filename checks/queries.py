@@ -742,17 +742,20 @@ def growth_trend(spark, sf):
 
 @register
 def growth_metrics(spark, sf):
-    return growth.growth_metrics(snapshots(spark, sf), AS_OF).drop("recommendations", "next_week", "confidence")
+    seen = snapshots(spark, sf)
+    return growth.growth_metrics(seen, AS_OF, products=seen).drop("recommendations", "next_week", "confidence")
 
 
 @register
 def growth_forecast(spark, sf):
-    return growth.growth_metrics(snapshots(spark, sf), AS_OF).select(P, "next_week", "confidence")
+    seen = snapshots(spark, sf)
+    return growth.growth_metrics(seen, AS_OF, products=seen).select(P, "next_week", "confidence")
 
 
 @register
 def growth_recommendations(spark, sf):
-    return growth.growth_metrics(snapshots(spark, sf), AS_OF).select(P, joined("recommendations"))
+    seen = snapshots(spark, sf)
+    return growth.growth_metrics(seen, AS_OF, products=seen).select(P, joined("recommendations"))
 
 
 def labels(spark, sf, period):

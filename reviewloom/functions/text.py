@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +19,16 @@ SPACE_CHARS = (
 SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Anything that is neither a letter, a digit nor an underscore separates words.
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
-URL_PATTERN = r"https?://[^\x09-\x0D\x1C-\x20]+|www\.[^\x09-\x0D\x1C-\x20]+"
+SPACES = SPACE_CLASS[1:-1]
+URL_PATTERN = rf"(?:https?://|www\.)[^{SPACES}]+"
+COMMENT_PATTERN = r"(?s)<!--.*?-->"
 TAG_PATTERN = r"<[^<>]*>"
-DROP_PATTERN = r"[^a-zA-Z0-9\x09-\x0D\x1C-\x20.,!?-]+"
-# runs of white space, and single white space other than a plain blank
-SPREAD_PATTERN = r"[\x09-\x0D\x1C-\x20]{2,}|[\x09-\x0D\x1C-\x1F]"
+DROP_PATTERN = rf"[^a-zA-Z0-9{SPACES}.,!?-]+"
+SPREAD_PATTERN = rf"[{SPACES}]+"
+NUMERIC_ENTITY = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+_PLAIN_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "amp": "&"}
+# All other named entities of the language are characters that cleaning drops.
+DROPPED_ENTITIES = "&(?:" + "|".join(n for n in name2codepoint if n not in _PLAIN_ENTITIES) + ");"
 
 
 def sql_words(words: Iterable[str]) -> str:
@@ -91,12 +97,26 @@ def any_match(text: Column, patterns: Iterable[str]) -> Column:
     return text.rlike("(?i)^(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")")
 
 
+def _numeric_entities(text: Column) -> Column:
+    """Decode numeric entities that cleaning keeps (ASCII and white space); it drops all other characters."""
+
+    def char(code: Column) -> Column:
+        number = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        return F.when(number.isin(*[ord(c) for c in SPACE_CHARS]), " ").when(number < 128, F.chr(number)).otherwise("")
+
+    parts = F.split(text, NUMERIC_ENTITY, -1)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(1)), char)
+    joined = F.array_join(F.transform(F.arrays_zip(parts.alias("part"), chars.alias("char")), lambda x: F.concat(x["part"], F.coalesce(x["char"], F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+
+
 def clean_text(text: Column, stopwords: Sequence[str] | None = None) -> Column:
     """Strip markup and URLs, lower, keep plain characters, collapse spaces."""
     out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, TAG_PATTERN, "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = F.regexp_replace(F.regexp_replace(out, COMMENT_PATTERN, ""), TAG_PATTERN, "")
+    out = F.regexp_replace(_numeric_entities(out), DROPPED_ENTITIES, "")
+    for name, char in _PLAIN_ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     out = F.regexp_replace(out, URL_PATTERN, "")
     out = F.regexp_replace(F.lower(out), DROP_PATTERN, "")
     out = strip(F.regexp_replace(out, SPREAD_PATTERN, " "))

@@ -1,4 +1,8 @@
-"""Seed sentiment lexicon, written for this repository.
+"""Seed sentiment lexicon: a short list of common review words.
+
+Valences use the scale of published rule-based lexicons (-4 to 4), polarity and
+subjectivity that of published adjective lists. Many values agree with such
+lists; take them as derived from public ones, not as independent ratings.
 
 The lexicon is an argument of every sentiment operator; this small seed is the
 default.  Columns: token, valence in tenths (-40..40), polarity in hundredths
@@ -10,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# One entry per line (our own scores).
+# One entry per line.
 SEED = """
 amazing 28 60 90
 amazed 24 45 80

@@ -148,18 +148,21 @@ def _period_metrics(points: DataFrame, keys: Sequence[str], name: str) -> DataFr
     )
 
 
-def growth_metrics(snapshots: DataFrame, as_of: datetime, keys: Sequence[str] = PRODUCT) -> DataFrame:
+def growth_metrics(
+    snapshots: DataFrame, as_of: datetime, keys: Sequence[str] = PRODUCT, products: DataFrame | None = None
+) -> DataFrame:
     """Week and month growth, averages, best day, trend, forecast and recommendations.
 
-    Both periods share the daily means of the month. Every product of
-    ``snapshots`` has a row: ``status`` is ``ok``, or ``insufficient_data`` where
-    the last week or month has no snapshots; what rests on it is then NULL.
+    Both periods share the daily means of the month, so snapshots are read once.
+    Every product of ``products`` has a row, or, without that list, every
+    product of the last month: ``status`` is ``ok``, or ``insufficient_data``
+    where the last week or month has no snapshots; what rests on it is then NULL.
     """
-    products = snapshots.select(*keys).distinct()
     means = _recent_days(snapshots, as_of, "month", keys)
     week, month = (_period_metrics(_points(means, as_of, p, keys), keys, p) for p in ("week", "month"))
-    both = join_group_facts(products, week, keys, [c for c in week.columns if c not in keys])
-    both = join_group_facts(both, month, keys, [c for c in month.columns if c not in keys])
+    both = join_group_facts(month, week, keys, [c for c in week.columns if c not in keys])
+    if products is not None:
+        both = join_group_facts(products.select(*keys).distinct(), both, keys, [c for c in both.columns if c not in keys])
     enough = F.col("week_last").isNotNull() & F.col("month_last").isNotNull()
     known = F.col("week_growth").isNotNull()
     growth, strength = F.col("week_growth"), F.col("week_strength")

@@ -66,7 +66,7 @@ def test_period_labels(spark):
 
 def test_products_without_recent_data_stay(spark):
     df = frame(spark, [("P", "2024-03-08T00:00:00", 1, 4.0, 10), ("Q", "2024-02-15T00:00:00", 1, 4.0, 20), ("R", "2023-01-01T00:00:00", 1, 4.0, 30), (None, "2024-03-08T00:00:00", 1, 4.0, 5)])
-    out = {r.product_id: r for r in growth.growth_metrics(df, AS_OF).collect()}
+    out = {r.product_id: r for r in growth.growth_metrics(df, AS_OF, products=df).collect()}
     assert {k: r.status for k, r in out.items()} == {"P": "ok", "Q": "insufficient_data", "R": "insufficient_data", None: "ok"}
     assert out["Q"].monthly_average == 20 and out["Q"].weekly_average is None and out["Q"].trend is None and out["R"].confidence is None
 

@@ -31,6 +31,15 @@ def test_clean_text(spark):
     assert words == ["well-made", "sturdy"]
 
 
+def test_clean_text_decodes_and_knows_all_white_space(spark):
+    raw = {
+        "good&nbsp;quality": "good quality", "see www.a.com\xa0now": "see now", "&eacute;t&#233; caf\xe9": "t caf", "<!-- a > b -->left": "left",
+        "a&#32;b&#x21; &#65;&#8195;c": "a b! a c", "&amp;lt; x": "lt x", "&unknown; y": "unknown y", "it&#39;s": "its", "x\u2003\u2003y": "x y",
+    }
+    df = spark.createDataFrame([(k,) for k in raw], "t string")
+    assert dict(df.select("t", ft.clean_text(F.col("t"))).collect()) == raw
+
+
 def test_truncate(spark):
     df = spark.createDataFrame([("a" * 100,), ("a" * 101,), (None,)], "t string")
     assert [r[0] for r in df.select(ft.truncate_text(F.col("t"))).collect()] == ["a" * 100, "a" * 97 + "...", ""]
