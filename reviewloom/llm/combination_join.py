@@ -45,7 +45,8 @@ FREQUENT = 16
 FEW_NODES = 16
 SMALL_BAND = 6
 CLASS_TOKENS = 6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+FEW_IDS = 1_000_000  # rows of about 50 bytes that may be broadcast
 SETS_KEPT = 64
 
 
@@ -130,12 +131,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set, with a number of its own and the id of one document that has it."""
-    first = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-    chosen = sets.join(first.withColumnRenamed("id", "keeper"), "sig").where(F.col("id").eqNullSafe(F.col("keeper"))).drop("keeper")
-    # Rows that share an id and a set would be two nodes; one is enough.
-    unique = chosen.groupBy("sig", "id").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.first("low").alias("low"))
-    return materialize(unique.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    """One row for each distinct set, with a number of its own and the smallest id that has it."""
+    row = F.struct("id", "n", "sampled", "low")
+    one = sets.where("n > 0").groupBy("sig").agg(F.coalesce(F.min_by(row, "id"), F.first(row)).alias("row"))
+    return materialize(one.select("sig", "row.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _index(nodes: DataFrame, percent: int) -> DataFrame:
@@ -197,11 +196,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return materialize(joined.mapInArrow(verify, "a long, b long"), "links")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: the links between components are joined, and their members renamed."""
+    if component is None:
+        return materialize(connected_components(links), "components")
+    a = component.select(F.col("node").alias("a"), F.col("component").alias("part_a"))
+    b = component.select(F.col("node").alias("b"), F.col("component").alias("part_b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    renamed = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = component.join(renamed, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = renamed.join(component, F.col("node") == renamed["component"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    return materialize(old.unionByName(new), "components")
 
 
 def near_duplicate_components(
@@ -225,37 +230,36 @@ def near_duplicate_components(
 
     # Texts of the nodes that have candidates; a document is known by its id and its set.
     wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("sig").alias("node_sig"))
+    wanted = materialize(wanted, "candidates")
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
     texts = materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
 
-    a_first = F.col("node_a") < F.col("node_b")
-    pairs = _pairs(few, few, a_first, percent)
-    stars = _pairs(many.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("x")).select("key", "x.node", "x.n"), many, F.col("node_a") != F.col("node_b"), percent)
+    pairs = _pairs(few, few, F.col("node_a") < F.col("node_b"), percent)
+    leader = many.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("x")).select("key", "x.node", "x.n")
+    stars = _pairs(leader, many, F.col("node_a") != F.col("node_b"), percent)
     tested = materialize(pairs.unionByName(stars).distinct(), "tested")
-    links = [_verify(tested, texts, words, percent)]
-    component = connected_components(links[0])
-    tests, step = [tested], 1
-    while True:
+    component = _joined(None, _verify(tested, texts, words, percent))
+    for step in range(STAR_ROUNDS + 1):
         named = many.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_keys = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-        named = materialize(named.join(open_keys, "key", "left_semi"), "open-entries")
-        if named.isEmpty():
+        sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        open_rows = materialize(named.join(main.where("parts > 1"), "key").drop("parts"), "open-entries")
+        if open_rows.isEmpty():
             break
-        last = step > STAR_ROUNDS
+        # Only nodes outside the main component of an entry have partners to look for.
+        outside = open_rows.where("component <> main").drop("main")
+        inside = open_rows.drop("main")
         apart = F.col("component_a") != F.col("component_b")
-        if last:
-            fresh = _pairs(named, named, a_first & apart, percent)
-        else:
+        if step < STAR_ROUNDS:
             by = F.xxhash64("node", F.lit(step))
-            leader = named.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), by).alias("x")).select("key", "x.node", "x.n", "x.component")
-            fresh = _pairs(leader, named, apart, percent)
-        fresh = materialize(fresh.join(_union(tests), ["a", "b"], "left_anti"), "tested")
-        if not fresh.isEmpty():
-            links.append(_verify(fresh, texts, words, percent))
-            tests.append(fresh)
-            component = connected_components(_union(links))
-        if last:
-            break
-        step += 1
+            leader = open_rows.where("component = main").groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), by).alias("x"))
+            fresh = _pairs(leader.select("key", "x.*"), outside, apart, percent)
+        else:
+            fresh = _pairs(outside, inside, apart, percent)
+        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "tested")
+        component = _joined(component, _verify(fresh, texts, words, percent))
+        tested = tested.unionByName(fresh)
     return _named(sets, nodes, component).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
