@@ -73,7 +73,7 @@ SELECT review_id, seq, body, rating, CASE WHEN seq % 5 <> 0 THEN day END AS day
   SELECT 'R' || (seq // 2) AS review_id, seq,
     CASE WHEN seq % 13 = 0 THEN '  ' || {NL} || ' ' WHEN seq % 17 = 0 THEN '' ELSE body END AS body,
     CASE WHEN seq % 7 = 0 THEN 3 WHEN seq % 11 = 0 THEN 6 WHEN seq % 19 = 0 THEN 0 ELSE rating END::DOUBLE AS rating,
-    substr(review_date, 1, 10) AS day FROM rv WHERE seq % 2 = 0)
+    substr(review_date, 1, 10) AS day FROM rv QUALIFY row_number() OVER (PARTITION BY seq // 2 ORDER BY seq) = 1)
 WHERE rating BETWEEN 1 AND 5 AND {strip('body')} <> ''""", "rv")
 _code = "('B0' || lpad(upper(to_hex(seq * 7919 + 11)), 8, '0'))"
 _forms = [

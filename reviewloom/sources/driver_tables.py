@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 # Fixture phrases by remainder of the document id.
 TITLES = ["", "Good value", "Not what I hoped", "Works fine"]
-SHORT_SEQ = 1_000_000_000
+# Divisible by all numbers up to 20, so that a short review's number has the remainders of its document's.
+SHORT_SEQ = 1_163_962_800
 COUNTRIES = ["US", "UK", "DE", "CA", "IN"]
 PHRASES = [
     "Great product!",
