@@ -79,7 +79,7 @@ def header_value(text: str | None) -> str:
     return "" if text is None else text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def write_archives(decisions: DataFrame, folder: str | None = None, roll_bytes: int = ROLL_BYTES, level: int = 1) -> DataFrame:
+def write_archives(decisions: DataFrame, folder: str | None = None, roll_bytes: int = ROLL_BYTES, level: int = 6) -> DataFrame:
     """Write each row as a record of a monolithic archive; one row (path, records) for each file, written before it is returned."""
     folder = folder or new_path(decisions.sparkSession, "warc")
 
@@ -181,7 +181,7 @@ def next_header(source: Inflated) -> tuple[bytes, dict[str, str]] | None:
         fields[name.strip().lower()] = value.strip()
 
 
-def normalise(archives: DataFrame, folder: str | None = None, level: int = 3) -> DataFrame:
+def normalise(archives: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
     """Rewrite archives so that each record is a gzip member; returns the offset index, one row for each record.
 
     ``archives`` has a column ``path``. Each file is inflated once, by one
