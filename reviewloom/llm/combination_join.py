@@ -44,10 +44,10 @@ SAMPLED = np.uint64(int(0.2 * 2**64))
 FREQUENT = 16
 FEW_NODES = 16
 SMALL_BAND = 6
-CLASS_TOKENS = 6
+CLASS_TOKENS = 3
 STAR_ROUNDS = 2
 FEW_IDS = 1_000_000  # rows of about 50 bytes that may be broadcast
-SETS_KEPT = 64
+SETS_KEPT_BYTES = 32 << 20
 
 
 def spare(n: int, percent: int) -> int:
@@ -170,30 +170,37 @@ def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFr
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar, written before they are returned."""
+    """Pairs with their Jaccard distance over whole sets and whether they link, written before they are returned."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches):
         kept: dict[int, np.ndarray] = {}
+        room = SETS_KEPT_BYTES
 
         def tokens(node, text):
+            nonlocal room
             if node not in kept:
-                if len(kept) >= SETS_KEPT:
+                own = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words)
+                room -= own.nbytes
+                if room < 0:
                     kept.clear()
-                kept[node] = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words)
+                    room = SETS_KEPT_BYTES - own.nbytes
+                kept[node] = own
             return kept[node]
 
         for batch in batches:
-            links = []
+            found = []
             for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
                 x, y = tokens(a, text_a), tokens(b, text_b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+                either = len(x) + len(y) - both
+                found.append((a, b, 100 * both >= percent * either, 1 - both / either))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["a", "b", "link", "distance"])
 
-    return materialize(joined.mapInArrow(verify, "a long, b long"), "links")
+    return materialize(joined.mapInArrow(verify, "a long, b long, link boolean, distance double"), "verified")
 
 
 def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -236,12 +243,22 @@ def near_duplicate_components(
     texts = materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
 
     pairs = _pairs(few, few, F.col("node_a") < F.col("node_b"), percent)
-    leader = many.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("x")).select("key", "x.node", "x.n")
+    # The node with most crowded entries leads: copies close to the original share more than distant ones.
+    weight = many.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    first = many.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("x"))
+    leader = materialize(first.select("key", "x.node", "x.n"), "leaders")
     stars = _pairs(leader, many, F.col("node_a") != F.col("node_b"), percent)
     tested = materialize(pairs.unionByName(stars).distinct(), "tested")
-    component = _joined(None, _verify(tested, texts, words, percent))
+    verified = _verify(tested, texts, words, percent)
+    component = _joined(None, verified.where("link").select("a", "b"))
+    # Distances to an entry's leader: by the triangle inequality, nodes whose distances differ too much cannot link.
+    led = many.join(leader.select("key", F.col("node").alias("leader")), "key")
+    led = led.select("key", "node", "n", "leader", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    led = led.join(verified.select("a", "b", "distance"), ["a", "b"], "left")
+    many = materialize(led.select("key", "node", "n", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("distance")).alias("distance")), "led")
+    near = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     for step in range(STAR_ROUNDS + 1):
-        named = many.join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        named = many.join(component, "node", "left").select("key", "node", "n", "distance", F.coalesce("component", "node").alias("component"))
         sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
         open_rows = materialize(named.join(main.where("parts > 1"), "key").drop("parts"), "open-entries")
@@ -253,12 +270,13 @@ def near_duplicate_components(
         apart = F.col("component_a") != F.col("component_b")
         if step < STAR_ROUNDS:
             by = F.xxhash64("node", F.lit(step))
-            leader = open_rows.where("component = main").groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), by).alias("x"))
-            fresh = _pairs(leader.select("key", "x.*"), outside, apart, percent)
+            leader = open_rows.where("component = main").groupBy("key").agg(F.min_by(F.struct("node", "n", "distance", "component"), by).alias("x"))
+            fresh = _pairs(leader.select("key", "x.*"), outside, apart & near, percent)
         else:
-            fresh = _pairs(outside, inside, apart, percent)
+            fresh = _pairs(outside, inside, apart & near, percent)
         fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "tested")
-        component = _joined(component, _verify(fresh, texts, words, percent))
+        links = _verify(fresh, texts, words, percent).where("link").select("a", "b")
+        component = _joined(component, links)
         tested = tested.unionByName(fresh)
     return _named(sets, nodes, component).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
