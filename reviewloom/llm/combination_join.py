@@ -29,6 +29,7 @@ members; then only pairs from different components are compared.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -181,7 +182,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
         def tokens(node, text):
             nonlocal room
             if node not in kept:
-                own = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words)
+                own = shingle_hashes(word_hashes(zlib.decompress(text.as_buffer())), words)
                 room -= own.nbytes
                 if room < 0:
                     kept.clear()
@@ -282,18 +283,21 @@ def near_duplicate_components(
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Columns node, text."""
+    """Columns node, text (deflated, as it travels with every pair)."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     joined = rows.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "node_sig", "text")
 
     def own(batches):
         # Several rows may have the id of a node; the one with its set is kept.
         for batch in batches:
-            keep = []
+            keep, packed = [], []
             for sig, text in zip(batch.column("node_sig").to_pylist(), batch.column("text")):
-                found = shingle_hashes(word_hashes(text.as_buffer().to_pybytes()), words) if text.is_valid else np.zeros(0, np.uint64)
+                plain = text.as_buffer().to_pybytes() if text.is_valid else b""
+                found = shingle_hashes(word_hashes(plain), words)
+                packed.append(zlib.compress(plain, 4))
                 keep.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() == sig)
-            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+            rows = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "text"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(own, "node long, text binary").dropDuplicates(["node"])
 
