@@ -55,9 +55,11 @@ def _doubled(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             raise ValueError("a message answers itself, directly or through others")
         levels.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
         above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        joined = state.join(above, state["tree"].eqNullSafe(above["t"]) & (state["up"] == above["n"]), "left")
+        # Only messages that have not reached their root take part; the others wait.
+        going, ended = state.where("up IS NOT NULL"), state.where("up IS NULL")
+        joined = going.join(above, going["tree"].eqNullSafe(above["t"]) & (going["up"] == above["n"]), "left")
         state = materialize(
-            joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")),
+            ended.unionByName(joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))),
             "replies",
         )
     return levels, state
