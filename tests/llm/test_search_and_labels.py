@@ -86,6 +86,63 @@ def test_sentences():
     assert [text[a:b] for a, b, _ in sentences(text)] == ["One two", " three", " four"]
 
 
+def unspaced_rows(n, seed):
+    """Texts without a space: in an unspaced script, hyphen chains, or one run of letters; what is toxic lies in the middle."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        toxic, kind = i // 3 % 2, i % 3
+        if kind == 0:
+            syllables, bad, glue = [chr(0x4E00 + 37 * k) for k in range(60)], "\u6ec5\u7d76\u8822\u8ca8", ""
+        else:
+            syllables, bad, glue = ["on", "ther", "ret", "sha", "ing", "blu", "kan", "mer", "tos", "vel"], draw.choice(("scumbag", "worthless")), "-" if kind == 1 else ""
+        parts = [draw.choice(syllables) for _ in range(300)]
+        if toxic:
+            parts[draw.randrange(100, 200)] = bad
+        rows.append((i, glue.join(parts), toxic))
+    return rows
+
+
+def test_long_words_are_read_whole(spark, docs_of):
+    rows = unspaced_rows(480, 5)
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows[:360]], "doc_id long, toxic int, quality int")
+    docs = docs_of([(i, t) for i, t, _ in rows])
+    model = train(docs, labels)
+    scored = {r.doc_id: r["__score"] for r in score_documents(docs, model).collect()}
+    for kind in range(3):
+        held = [(y, scored[i] >= 0.5) for i, _, y in rows[360:] if i % 3 == kind]
+        assert sum(bool(y) == p for y, p in held) >= 0.8 * len(held), kind
+
+
+def test_toxic_words_inside_long_chains(spark, docs_of):
+    """A chain scores like its words between spaces; in a run of letters, the toxic word counts."""
+    rows = toxic_rows(400, 1)
+    model = train(docs_of([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int"))
+    chain = ["oner", "than", "reting", "shaus", "blom"] * 20
+    bad = chain[:50] + ["scumbag"] + chain[50:]
+    docs = docs_of([(1, "-".join(chain)), (2, "-".join(bad)), (3, " ".join(bad)), (4, "".join(chain)), (5, "".join(bad))])
+    scored = {r.doc_id: r["__score"] for r in score_documents(docs, model).collect()}
+    assert scored[2] == pytest.approx(scored[3]) and scored[2] > 10 * scored[1] and scored[5] > scored[4]
+
+
+@pytest.mark.parametrize("n", [64, 65, 66, 76, 77, 500])
+def test_pieces_hold_all_ngrams(n):
+    draw = random.Random(n)
+    word = "".join(draw.choice("ab\u00e9\u4e01\U0001f600") for _ in range(n))
+    (_, _, pieces), = sentences(word)
+    raw, seen = b"\x02" + word.encode() + b"\x03", set()
+    for piece in pieces:
+        b = b"\x02" + piece.encode() + b"\x03"
+        seen |= {b[k:k + 5] for k in range(len(b) - 4)}
+    assert {raw[k:k + 5] for k in range(len(raw) - 4)} <= seen
+    assert n > 64 or pieces == {word}
+
+
+def test_sentences_of_other_scripts():
+    text = "\u4e00\u4e01\u3001\u4e02\u3002\u4e03\uff01\u4e04"
+    assert [(text[a:b], sorted(w)) for a, b, w in sentences(text)] == [("\u4e00\u4e01\u3001\u4e02", ["\u4e00\u4e01", "\u4e02"]), ("\u4e03", ["\u4e03"]), ("\u4e04", ["\u4e04"])]
+
+
 MESSAGES = "tree_id long, message_id long, parent_id long, role string, text string, score double, place string"
 
 
