@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark import TaskContext
 
 from reviewloom.llm.mil_toxicity import offending_sentences, score_documents, sentences, train
 from reviewloom.llm.reply_trees import as_chain, format_paths, parse_conversation, reply_paths
@@ -75,6 +76,23 @@ def test_toxic_documents_and_their_sentences(spark, docs_of):
     assert all(r.text[r["__start"]:r["__end"]] == r["__sentence"] for r in located)
 
 
+def test_all_tasks_scan_for_the_sample(spark, docs_of, tmp_path):
+    """No task reads all documents, and the fit does not depend on how they are dealt."""
+    rows = toxic_rows(120, 2)
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    folder = str(tmp_path)
+
+    def mark(batches):
+        for batch in batches:
+            open(f"{folder}/{TaskContext.get().taskAttemptId()}", "w").close()
+            yield batch
+
+    docs = docs_of([(i, t) for i, t, _ in rows]).select("doc_id", "text").repartition(6)
+    one = train(docs.mapInArrow(mark, docs.schema), labels)
+    assert len(list(tmp_path.iterdir())) == 6
+    assert (one == train(docs.orderBy("text").repartition(2), labels)).all()
+
+
 def test_without_labels_nothing_is_toxic(spark, docs_of, cases):
     model = train(docs_of(cases), spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r["__score"] < 0.5 for r in score_documents(docs_of(cases[:4]), model).collect())
