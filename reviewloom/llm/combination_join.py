@@ -62,8 +62,8 @@ def classes(band: int, percent: int) -> int:
 
 
 def bands(n: int, percent: int) -> set[int]:
-    """Bands of a set's own size and of the largest similar set."""
-    return {n.bit_length() - 1, (100 * n // percent).bit_length() - 1}
+    """All bands from that of a set's own size to that of the largest similar set; two similar sets have the band of the larger in common."""
+    return set(range(n.bit_length() - 1, (100 * n // percent).bit_length()))
 
 
 def low_tokens(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:

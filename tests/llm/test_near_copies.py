@@ -57,6 +57,12 @@ def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
     assert sorted(got) == components_by_hand(rows, 4, percent)
 
 
+@pytest.mark.parametrize("percent", [10, 20, 33, 50, 80, 85])
+def test_similar_sizes_have_a_band_in_common(percent):
+    bands = {n: combination_join.bands(n, percent) for n in range(1, 300)}
+    assert all(bands[a] & bands[b] for a in bands for b in range(a, min(299, 100 * a // percent) + 1))
+
+
 def test_no_documents(docs_of):
     assert near_duplicate_components(docs_of([])).count() == 0
     assert edited_fingerprints(docs_of([])).count() == 0
