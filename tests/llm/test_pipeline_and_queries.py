@@ -56,3 +56,17 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SMALL)
         assert out.count() == 0
+
+
+def test_near_copies_without_ids(spark):
+    base = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcd"]
+    near = [b + " more" for b in base]
+    rows = [(1, base[0]), (None, near[0]), (None, base[0]), (None, base[1]), (None, near[1]), (None, base[1]), (3, base[2]), (2, near[2]), (None, base[3]), (None, ""), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs.repartition(3), SMALL)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    group = [t for i, t in kept if i is None and t in (base[1], near[1])]
+    assert len(group) == 1
+    kept.remove((None, group[0]))
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, base[0]), (2, near[2]), (None, base[3]), (None, ""), (None, None), (4, "")]))
