@@ -38,28 +38,40 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _numbered(messages: DataFrame, tree: str, node: str) -> DataFrame:
+    """Messages with ``__unnamed``: a key for those without an id, equal rows apart; NULL for others, of which one row for each id stays.
+
+    The key depends on all columns, so that the same table gets the same keys again.
+    """
+    named = messages.where(F.col(node).isNotNull()).dropDuplicates([tree, node]).withColumn("__unnamed", F.lit(None).cast("string"))
+    content = F.sha2(F.to_json(F.struct(*messages.columns), {"ignoreNullFields": "false"}), 256)
+    unnamed = messages.where(F.col(node).isNull()).withColumn("__content", content)
+    copy = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
+    return named.unionByName(unnamed.withColumn("__unnamed", F.concat_ws("-", "__content", copy)).drop("__content"))
+
+
 def _doubled(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Pointer tables (tree, node, up) that reach 1, 2, 4, ... messages up, and (tree, node, depth, total) for all.
+    """Pointer tables (tree, node, unnamed, up) that reach 1, 2, 4, ... messages up, and (tree, node, unnamed, depth, total) for all.
 
     A message whose parent is missing or is not in its tree is a root.
     """
-    known = messages.select(F.col("tree").alias("t"), F.col("node").alias("p"))
+    known = messages.where("node IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = messages.join(known, messages["tree"].eqNullSafe(known["t"]) & (messages["parent"] == known["p"]), "left")
     state = materialize(
-        linked.select("tree", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "replies"
+        linked.select("tree", "node", "unnamed", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "replies"
     )
     most = state.count()
     levels: list[DataFrame] = []
     while not state.where("up IS NOT NULL").isEmpty():
         if 2 ** len(levels) > max(most, 1):
             raise ValueError("a message answers itself, directly or through others")
-        levels.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
+        levels.append(state.where("up IS NOT NULL").select("tree", "node", "unnamed", "up"))
         above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
         # Only messages that have not reached their root take part; the others wait.
         going, ended = state.where("up IS NOT NULL"), state.where("up IS NULL")
         joined = going.join(above, going["tree"].eqNullSafe(above["t"]) & (going["up"] == above["n"]), "left")
         state = materialize(
-            ended.unionByName(joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))),
+            ended.unionByName(joined.select("tree", "node", "unnamed", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))),
             "replies",
         )
     return levels, state
@@ -68,33 +80,37 @@ def _doubled(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 def reply_paths(
     messages: DataFrame, tree: str = "tree_id", node: str = "message_id", parent: str = "parent_id", score: str | None = "score", best: int | None = 1
 ) -> DataFrame:
-    """Columns tree, leaf, rank, path_score, node, place: the messages of the ``best`` root-to-leaf paths of each tree (all if None).
+    """Columns tree, leaf, rank, path_score, node, place, unnamed: the messages of the ``best`` root-to-leaf paths of each tree (all if None).
 
     Paths are ranked by their mean score, then by the leaf. A missing score is
     0. Trees without an id are one tree; a message without an id is in no path
-    but its own. Repeated ids within a tree are one message. A reply cycle is
-    an error.
+    but its own, and each has one: ``unnamed`` tells which (NULL in the paths of
+    other messages). Repeated ids within a tree are one message. A reply cycle
+    is an error.
     """
-    rows = messages.select(
+    rows = _numbered(messages, tree, node).select(
         F.col(tree).alias("tree"),
         F.col(node).alias("node"),
         F.col(parent).alias("parent"),
         (F.lit(0.0) if score is None else F.coalesce(F.col(score).cast("double"), F.lit(0.0))).alias("score"),
-    ).dropDuplicates(["tree", "node"])
+        F.col("__unnamed").alias("unnamed"),
+    )
     levels, state = _doubled(rows)
     inner = levels[0].select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct() if levels else None
     leaves = state if inner is None else state.join(inner, state["tree"].eqNullSafe(inner["t"]) & (state["node"] == inner["u"]), "left_anti")
-    leaves = leaves.select("tree", F.col("node").alias("leaf"), "depth", (F.col("total") / F.col("depth")).alias("path_score"))
-    order = Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
+    leaves = leaves.select("tree", F.col("node").alias("leaf"), "unnamed", "depth", (F.col("total") / F.col("depth")).alias("path_score"))
+    order = Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf", "unnamed")
     leaves = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         leaves = leaves.where(F.col("rank") <= best)
-    paths = leaves.select("tree", "leaf", "rank", "path_score", F.col("leaf").alias("node"), F.col("depth").alias("place"))
+    paths = leaves.select("tree", "leaf", "rank", "path_score", F.col("leaf").alias("node"), F.col("depth").alias("place"), "unnamed")
     # From the longest pointers to the shortest: each distance from the leaf comes up exactly once.
     for k in reversed(range(len(levels))):
-        up = levels[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        higher = paths.join(up, paths["tree"].eqNullSafe(up["t"]) & (paths["node"] == up["n"]))
-        paths = paths.unionByName(higher.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place")))
+        up = levels[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("unnamed").alias("m"), "up")
+        # A message without an id is only met as the leaf of its own path.
+        own = F.when(paths["node"].isNull(), paths["unnamed"])
+        higher = paths.join(up, paths["tree"].eqNullSafe(up["t"]) & paths["node"].eqNullSafe(up["n"]) & own.eqNullSafe(up["m"]))
+        paths = paths.unionByName(higher.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"), "unnamed"))
         paths = materialize(paths, "paths")
     return paths
 
@@ -102,18 +118,20 @@ def reply_paths(
 def format_paths(paths: DataFrame, messages: DataFrame, tree: str = "tree_id", node: str = "message_id", role: str = "role", text: str = "text") -> DataFrame:
     """Columns tree, leaf, rank, path_score, n_turns, formatted, loss_spans: one row for each path.
 
+    ``messages`` is the table that ``reply_paths`` had, with the same columns.
     ``loss_spans`` are the code-point ranges of the texts of assistant turns in
     ``formatted``, escapes included. A NULL role or text is empty. A path is one
     conversation, so its turns meet in one row.
     """
-    texts = messages.select(
-        F.col(tree).alias("t"), F.col(node).alias("m"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).dropDuplicates(["t", "m"])
-    rows = paths.join(texts, paths["tree"].eqNullSafe(texts["t"]) & paths["node"].eqNullSafe(texts["m"]))
+    texts = _numbered(messages, tree, node).select(
+        F.col(tree).alias("t"), F.col(node).alias("m"), F.col("__unnamed").alias("u"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    own = F.when(paths["node"].isNull(), paths["unnamed"])
+    rows = paths.join(texts, paths["tree"].eqNullSafe(texts["t"]) & paths["node"].eqNullSafe(texts["m"]) & own.eqNullSafe(texts["u"]))
     head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n"))
     body = escape(F.col("text"))
     turn = F.struct("place", head.alias("head"), body.alias("body"), (F.col("role") == MASKED_ROLE).alias("loss"))
-    grouped = rows.groupBy("tree", "leaf").agg(
+    grouped = rows.groupBy("tree", "leaf", "unnamed").agg(
         F.first("rank").alias("rank"), F.first("path_score").alias("path_score"), F.array_sort(F.collect_list(turn)).alias("turns")
     )
     formatted = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit("</turn>\n"))), "")

@@ -180,6 +180,17 @@ def test_best_paths(spark):
     assert out[1].formatted[span.first:span.after] == "good \\</turn\\> \\\\"
 
 
+def test_messages_without_ids_have_paths_of_their_own(spark):
+    rows = [
+        (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 0.5), (1, None, 2, "user", "one", 0.9), (1, None, 2, "user", "two", 0.8),
+        (1, None, None, "user", "alone", 0.1), (1, None, None, "user", "alone", 0.1), (None, None, 7, None, None, None),
+    ]
+    messages = spark.createDataFrame([(*r, "x") for r in rows], MESSAGES).repartition(3)
+    out = format_paths(reply_paths(messages, best=None), messages).collect()
+    got = sorted((r.tree or 0, r["rank"], [t for _, t in parse_conversation(r.formatted)]) for r in out)
+    assert got == [(0, 1, [""]), (1, 1, ["q", "a", "one"]), (1, 2, ["q", "a", "two"]), (1, 3, ["alone"]), (1, 4, ["alone"])]
+
+
 def test_deep_chain_and_cycle(spark):
     turns = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(70)], "conv_id long, turn long, role string, text string")
     messages = as_chain(turns)
