@@ -217,6 +217,35 @@ def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "components")
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, distinct sets, index entries of two nodes or more, and the texts of their nodes."""
+    sets = shingle_sets(docs, id_col, text_col, words, percent)
+    nodes = _nodes(sets)
+    index = _index(nodes, percent)
+    # Texts of the nodes that have candidates; a document is known by its id and its set.
+    wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("sig").alias("node_sig"))
+    wanted = materialize(wanted, "candidates")
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
+    return sets, nodes, index, materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
+
+
+def near_duplicate_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85
+) -> tuple[DataFrame, DataFrame]:
+    """All links between distinct sets (a, b, similarity; a < b), and the set of each row of ``docs`` (id_col, n_shingles, node).
+
+    a and b are numbers of sets, as in ``node``; rows of one node have equal
+    sets and link with each other. Rows without shingles have no node. All pairs
+    of an entry are verified, crowded entries too, so the work grows with the
+    number of candidate pairs; components alone cost less.
+    """
+    sets, nodes, index, texts = _prepared(docs, id_col, text_col, words, percent)
+    verified = _verify(_pairs(index.drop("nodes"), index.drop("nodes"), F.col("node_a") < F.col("node_b"), percent), texts, words, percent)
+    members = sets.join(nodes.select("sig", "node"), "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node")
+    return verified.where("link").select("a", "b", (1 - F.col("distance")).alias("similarity")), members
+
+
 def near_duplicate_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -231,18 +260,9 @@ def near_duplicate_components(
     like others, but gives it no name; its component is NULL if no member has
     an id. Rows with equal ids stay apart, each with its own text.
     """
-    sets = shingle_sets(docs, id_col, text_col, words, percent)
-    nodes = _nodes(sets)
-    index = _index(nodes, percent)
+    sets, nodes, index, texts = _prepared(docs, id_col, text_col, words, percent)
     few, many = index.where(F.col("nodes") <= FEW_NODES).select("key", "node", "n"), index.where(F.col("nodes") > FEW_NODES).select("key", "node", "n")
 
-    # Texts of the nodes that have candidates; a document is known by its id and its set.
-    wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("sig").alias("node_sig"))
-    wanted = materialize(wanted, "candidates")
-    if wanted.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
-    texts = materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
-
     pairs = _pairs(few, few, F.col("node_a") < F.col("node_b"), percent)
     # The node with most crowded entries leads: copies close to the original share more than distant ones.
     weight = many.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))

@@ -6,7 +6,7 @@ import pytest
 
 from reviewloom.llm import combination_join
 from reviewloom.llm.bottom_k import containment, distinct, edited_fingerprints, fingerprints, from_text, merge, merged_fingerprints, resemblance, sketch
-from reviewloom.llm.combination_join import near_duplicate_components
+from reviewloom.llm.combination_join import near_duplicate_components, near_duplicate_pairs
 from reviewloom.llm.components import connected_components
 from reviewloom.llm.shingles import word_hashes
 
@@ -57,6 +57,19 @@ def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
     assert sorted(got) == components_by_hand(rows, 4, percent)
 
 
+def test_all_pairs_of_crowded_entries(docs_of, cases, prose):
+    base = prose(99, 400, marks=False)
+    rows = [r for r in cases if r[0] is not None and r[0] != 9] + [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(20)] + [(200, base), (201, base)]
+    pairs, members = near_duplicate_pairs(docs_of(rows))
+    member = {r.doc_id: r.node for r in members.collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    of_node = {frozenset(s): member[i] for i, s in sets.items() if s}
+    assert len(set(of_node.values())) == len(of_node) and all(member[i] == (of_node[frozenset(s)] if s else None) for i, s in sets.items())
+    want = {tuple(sorted((of_node[x], of_node[y]))) for x, y in combinations(of_node, 2) if 100 * len(x & y) >= 85 * len(x | y)}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(want) > 150 and sorted(want) == sorted(got)
+
+
 @pytest.mark.parametrize("percent", [10, 20, 33, 50, 80, 85])
 def test_similar_sizes_have_a_band_in_common(percent):
     bands = {n: combination_join.bands(n, percent) for n in range(1, 300)}
