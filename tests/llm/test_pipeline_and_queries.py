@@ -1,4 +1,6 @@
+import ast
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -8,6 +10,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from checks.compare import compare
 from reviewloom.llm.oracle import ORACLE
+from tests.llm.test_archives_and_lines import SPACES, kept_by_hand
+from tests.llm.test_near_copies import components_by_hand
+from tests.llm.test_search_and_labels import words_of
 from tests.conftest import SMALL
 
 
@@ -70,3 +75,59 @@ def test_near_copies_without_ids(spark):
     assert len(group) == 1
     kept.remove((None, group[0]))
     assert sorted(map(repr, kept)) == sorted(map(repr, [(1, base[0]), (2, near[2]), (None, base[3]), (None, ""), (None, None), (4, "")]))
+
+
+@pytest.fixture(scope="module")
+def planted(spark, con, prose):
+    """Short documents of the fixture with near copies, benchmark passages and repeated lines."""
+    rows = con.execute("SELECT doc_id, text FROM documents WHERE n_chars < 3000 ORDER BY doc_id LIMIT 60").fetchall()
+    item = max((t for (t,) in con.execute("SELECT text FROM benchmark").fetchall()), key=lambda t: len(words_of(t)))
+    passage = " ".join(words_of(item)[:10])
+    base = prose(5, 120, marks=False)
+    rows += [(90001, base), (90002, base + " more"), (90003, " ".join(base.split(" ")[:100])), (90004, " ".join(base.split(" ")[:80]))]
+    rows += [(90010, "before it " + passage.upper() + " after"), (90011, " ".join(passage.split(" ")[:9])), (90020, "a line of its own\nThis LINE is repeated"), (90021, "this line is repeated"), (90022, "new words\nthis line is repeated\n")]
+    return rows, spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def kept_rows(out):
+    return sorted((r.doc_id, r.text) for r in out.collect())
+
+
+def test_line_dedup_by_hand(spark, planted):
+    rows, docs = planted
+    want = [(i, text) for i, _, gone, text in kept_by_hand(rows) if text.strip(SPACES) or not gone]
+    assert kept_rows(corpus_pipeline.line_dedup(spark, docs, SMALL)) == sorted(want) and len(want) < len(rows)
+
+
+def test_near_duplicates_by_hand(spark, planted):
+    rows, docs = planted
+    named = {i: least for i, _, least in map(ast.literal_eval, components_by_hand(rows, 5, 80))}
+    want = [(i, t) for i, t in rows if named[i] == i]
+    assert kept_rows(corpus_pipeline.near_duplicates(spark, docs, SMALL)) == sorted(want)
+    assert named[90002] == named[90003] == 90001
+
+
+def test_decontamination_by_hand(spark, con, planted):
+    rows, docs = planted
+    windows = set()
+    for (text,) in con.execute("SELECT text FROM benchmark").fetchall():
+        own = words_of(text)
+        size = min(10, len(own))
+        windows |= {tuple(own[k:k + size]) for k in range(len(own) - size + 1) if size}
+    sizes = {len(w) for w in windows}
+    bad = lambda own: any(tuple(own[k:k + n]) in windows for n in sizes for k in range(len(own) - n + 1))
+    want = [(i, t) for i, t in rows if not bad(words_of(t))]
+    assert kept_rows(corpus_pipeline.decontamination(spark, docs, SMALL)) == sorted(want)
+    assert 90010 not in dict(want) and 90011 in dict(want)
+
+
+def test_bpe_by_hand(spark, planted):
+    from tokenizers import Tokenizer
+
+    rows, docs = planted
+    tokenizer = Tokenizer.from_file(corpus_pipeline.tokenizer_file("word_bpe_49k.json"))
+    out = {r.doc_id: r for r in corpus_pipeline.bpe(spark, docs, SMALL).collect()}
+    for i, text in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(out[i].ids) == ids and out[i].n_tokens == len(ids)
+        assert out[i].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
