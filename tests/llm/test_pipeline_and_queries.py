@@ -9,7 +9,9 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from checks.compare import compare
+from reviewloom.llm.mil_toxicity import Scorer, noisy_or, sentences, train
 from reviewloom.llm.oracle import ORACLE
+from reviewloom.llm.queries import held_out
 from tests.llm.test_archives_and_lines import SPACES, kept_by_hand
 from tests.llm.test_near_copies import components_by_hand
 from tests.llm.test_search_and_labels import words_of
@@ -131,3 +133,21 @@ def test_bpe_by_hand(spark, planted):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert list(out[i].ids) == ids and out[i].n_tokens == len(ids)
         assert out[i].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_toxicity_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{SMALL}/labels.parquet").where(~held_out()))
+    scorer = Scorer(model)
+    score = lambda text: noisy_or(scorer.logits([words for _, _, words in sentences(text or "")]))
+    want = sorted(r.doc_id for r in docs.collect() if score(r.text) < 0.5)
+    assert sorted(r.doc_id for r in corpus_pipeline.toxicity(spark, docs, SMALL).collect()) == want and len(want) < docs.count()
+
+
+def test_run_is_all_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = docs
+    for _, stage in corpus_pipeline.STAGES:
+        want = spark.createDataFrame((out := stage(spark, want, SMALL)).collect(), out.schema)
+    rows = sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect())
+    assert rows == sorted(tuple(r) for r in want.collect()) and rows
