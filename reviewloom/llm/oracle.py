@@ -74,3 +74,73 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length('<turn ' || head || '>' || chr(10) || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+ORACLE["op11_periodic_runs"] = r"""
+WITH RECURSIVE crc(doc_id, s, k, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, 4294967295::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, s, k + 1, list_reduce([xor(c, ascii(s[k + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+         lambda v, x: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)
+  FROM crc WHERE k < length(s)
+), hashed AS (
+  SELECT doc_id, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE k = length(s)
+), given AS (
+  SELECT d.doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, h FROM documents d JOIN hashed USING (doc_id)
+), planned AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a,
+         1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM given
+), texts AS (
+  SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END]) AS w FROM planned
+), words AS (
+  SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+), agree AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM agree) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= 24 AND length >= 3 * q GROUP BY ALL
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1
+), dropped AS (
+  SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE["op13_phrase_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, s AS size, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3), (4), (5)) v(s) WHERE len(w) >= s
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM f WHERE size > 1 AND a >= 100
+), open AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates x WHERE x.lang = c.lang AND x.size > c.size AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM open)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, h.a AS l, t.a AS r, n, (1000 * c.a::HUGEINT * n) // (h.a::HUGEINT * t.a) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f t ON c.lang = t.lang AND c.tail = t.phrase JOIN totals USING (lang)
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

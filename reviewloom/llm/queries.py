@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
 from reviewloom.llm.bottom_k import edited_fingerprints
+from reviewloom.llm.collocations import collocations
 from reviewloom.llm.combination_join import near_duplicate_components
+from reviewloom.llm.cube_mix import mix_sources
 from reviewloom.llm.line_dedup import drop_repeated_lines
 from reviewloom.llm.mil_toxicity import score_documents, train
 from reviewloom.llm.overlap_tokens import count_tokens
+from reviewloom.llm.periodic_runs import find_runs, plant_runs
 from reviewloom.llm.reply_trees import as_chain, format_paths, parse_conversation, reply_paths, unescape
 from reviewloom.llm.tables import table
 from reviewloom.llm.warc import RECORD_ID, normalise, read_records, record_decisions, write_archives
@@ -155,3 +158,33 @@ def op10_mil_toxicity(spark, sf_dir):
     scored = score_documents(docs, model, keep=["doc_id"])
     score = F.col("__score")
     return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op11_periodic_runs(spark, sf_dir):
+    found = find_runs(plant_runs(documents(spark, sf_dir)), keep=["doc_id"])
+    runs = F.col("__runs")
+    # Runs come by start, then period: the first of equal ratios stays.
+    first = F.when(F.size(runs) > 0, runs[0])
+    best = F.reduce(runs, first, lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(F.array_join(lines, "")).alias("runs_sha256"),
+        digest(F.col("__collapsed")).alias("collapsed_sha256"),
+    )
+
+
+@register
+def op12_cube_mixing(spark, sf_dir):
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+@register
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations(spark, table(spark, sf_dir, "documents").select("text", "lang"))
