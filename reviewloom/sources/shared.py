@@ -19,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="reviewloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
