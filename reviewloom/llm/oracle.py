@@ -135,8 +135,8 @@ WITH pieces AS (
   SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
   FROM (SELECT *, unnest(range(1, size)) AS k FROM open)
 ), scored AS (
-  SELECT c.lang, c.phrase, c.a, k, h.a AS l, t.a AS r, n, (1000 * c.a::HUGEINT * n) // (h.a::HUGEINT * t.a) AS score
-  FROM cuts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f t ON c.lang = t.lang AND c.tail = t.phrase JOIN totals USING (lang)
+  SELECT c.lang AS lang, c.phrase AS phrase, c.a AS a, k, h.a AS l, t.a AS r, n, (1000 * c.a::HUGEINT * n) // (h.a::HUGEINT * t.a) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f t ON c.lang = t.lang AND c.tail = t.phrase JOIN totals o ON o.lang = c.lang
 ), lowest AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), ranked AS (
