@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.sql import (
-    any_of, array, corpus_emotion, fixed, fixed_up, label, mean_nano, nano, part, pct, pick, query, rounded, strip,
+    CLUSTER_FIT, TOPIC_STEPS, any_of, array, corpus_emotion, fixed, fixed_up, label, mean_nano, nano, part, pct, pick, query, rounded, strip,
     text, theme_table, words,
 )
 from reviewloom import dictionaries as d
@@ -304,6 +304,109 @@ FROM (SELECT review_id, term, tf * idf AS x FROM ft{suffix} JOIN fv{suffix} USIN
 tfidf_twin("tfidf_features", 50, True, "true")
 tfidf_twin("tfidf_features_topics", 50, False, "df >= 2 AND df <= n * 0.8::DOUBLE")
 
+# ------------------------------------------------------------------ themes of each product from its own vectors
+def group_vector_parts(v: str, body: str, terms: int, bigrams: bool, bounds: str) -> None:
+    """gv: vocabulary with places; gd: whole weights; gk: products with their numbers of reviews and terms."""
+    part(f"gw{v}", ["rv"], f"SELECT product_id AS g, review_id AS d, list_filter(string_split_regex(lower({body}), '{WORD_BREAK}'), lambda w: length(w) >= 2 AND w NOT IN {words(d.ENGLISH_STOPWORDS)}) AS w FROM rv")
+    part(f"gx{v}", [f"gw{v}"], f"SELECT g, d, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM gw{v}")
+    pairs = f"UNION ALL SELECT g, d, word || ' ' || nxt FROM (SELECT g, d, word, lead(word) OVER (PARTITION BY d ORDER BY i) AS nxt FROM gx{v}) WHERE nxt IS NOT NULL" if bigrams else ""
+    part(f"gt{v}", [f"gx{v}"], f"SELECT g, d, term, count(*) AS tf FROM (SELECT g, d, word AS term FROM gx{v} {pairs}) GROUP BY ALL")
+    part("gn", ["rv"], "SELECT product_id AS g, count(*) AS n FROM rv GROUP BY 1")
+    part(f"gv{v}", [f"gt{v}", "gn"], f"""
+SELECT g, term, idf, row_number() OVER (PARTITION BY g ORDER BY term) - 1 AS place FROM (
+  SELECT g, term, ln((1 + n)::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf
+  FROM (SELECT g, term, sum(tf) AS total, count(*) AS df FROM gt{v} GROUP BY ALL) JOIN gn USING (g) WHERE {bounds}
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY total DESC, term) <= {terms})""")
+    part(f"gd{v}", [f"gt{v}", f"gv{v}"], f"""
+SELECT g, d, term, place, floor(x / sqrt(sum(x * x) OVER (PARTITION BY d)) * 1000000 + 0.5)::BIGINT AS w
+FROM (SELECT g, d, term, place, tf * idf AS x FROM gt{v} JOIN gv{v} USING (g, term))""")
+    part(f"gk{v}", [f"gv{v}", "gn"], f"SELECT g, n, m FROM gn JOIN (SELECT g, count(*) AS m FROM gv{v} GROUP BY g) USING (g)")
+
+
+def titled(x: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches({x}[i - 1], '\\p{{L}}') THEN lower({x}[i]) ELSE upper({x}[i]) END), '')"
+
+
+def cluster_parts(v: str, k: str, least: int, restarts: int, steps: int) -> None:
+    """gb: the best restart's centers (g, slot, place, v); gl: slot of each review."""
+    need = [f"gd{v}", f"gk{v}", "rv"]
+    part(f"gq{v}", need, f"SELECT g, {k} AS k FROM gk{v} WHERE n >= {least}")
+    part(f"gs{v}", [f"gq{v}"], f"""
+SELECT g, r, slot, d FROM (
+  SELECT product_id AS g, r, review_id AS d, row_number() OVER (PARTITION BY product_id, r ORDER BY md5(review_id || ':' || r)) - 1 AS slot FROM rv, range({restarts}) t(r)
+) JOIN gq{v} USING (g) WHERE slot < k""")
+    part(f"gc{v}0", [f"gs{v}", f"gd{v}"], f"SELECT s.g AS g, r, slot, place, w AS v FROM gs{v} s JOIN gd{v} x ON s.d = x.d")
+    for i in range(steps + 1):
+        part(f"gm{v}{i}", [f"gc{v}{i}"], f"SELECT s.g AS g, s.r AS r, s.slot AS slot, coalesce(sum(c.v * c.v), 0) AS norm FROM gs{v} s LEFT JOIN gc{v}{i} c ON s.g = c.g AND s.r = c.r AND s.slot = c.slot GROUP BY ALL")
+        part(f"go{v}{i}", [f"gc{v}{i}"], f"SELECT d, r, slot, sum(w * v) AS dot FROM gd{v} x JOIN gc{v}{i} c ON x.g = c.g AND x.place = c.place GROUP BY ALL")
+        part(f"ga{v}{i}", [f"gm{v}{i}", f"go{v}{i}"], f"""
+SELECT m.g AS g, review_id AS d, rating, m.r AS r, m.slot AS slot, norm - 2 * coalesce(dot, 0) AS score
+FROM rv JOIN gm{v}{i} m ON product_id = m.g LEFT JOIN go{v}{i} o ON o.d = review_id AND o.r = m.r AND o.slot = m.slot
+QUALIFY row_number() OVER (PARTITION BY review_id, m.r ORDER BY norm - 2 * coalesce(dot, 0), m.slot) = 1""")
+        part(f"gz{v}{i}", [f"ga{v}{i}"], f"SELECT g, r, slot, count(*) AS n FROM ga{v}{i} GROUP BY ALL")
+        part(f"gc{v}{i + 1}", [f"gz{v}{i}", f"gc{v}{i}"], f"""
+SELECT a.g AS g, a.r AS r, a.slot AS slot, place, (sum(w) // any_value(z.n))::BIGINT AS v
+FROM ga{v}{i} a JOIN gd{v} x ON a.d = x.d JOIN gz{v}{i} z ON a.g = z.g AND a.r = z.r AND a.slot = z.slot GROUP BY ALL
+UNION ALL SELECT c.g, c.r, c.slot, place, v FROM gc{v}{i} c ANTI JOIN gz{v}{i} z ON c.g = z.g AND c.r = z.r AND c.slot = z.slot""")
+    last = f"ga{v}{steps}"
+    part(f"gr{v}", [last], f"SELECT g, r FROM (SELECT g, r, sum(score) AS cost FROM {last} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, r) = 1")
+    part(f"gl{v}", [f"gr{v}"], f"SELECT a.* FROM {last} a JOIN gr{v} b ON a.g = b.g AND a.r = b.r")
+    part(f"gb{v}", [f"gr{v}"], f"""
+SELECT s.g AS g, s.slot AS slot, list(term ORDER BY coalesce(c.v, 0) DESC, t.place DESC) AS words
+FROM gs{v} s JOIN gr{v} b ON s.g = b.g AND s.r = b.r JOIN gv{v} t ON t.g = s.g
+LEFT JOIN gc{v}{steps} c ON c.g = s.g AND c.r = s.r AND c.slot = s.slot AND c.place = t.place GROUP BY ALL""")
+
+
+_fit = CLUSTER_FIT
+group_vector_parts("b", "title || ' ' || body", 50, True, "true")
+group_vector_parts("e", "body", 100, True, "true")
+group_vector_parts("u", "title || ' ' || body", 50, False, "df >= 2 AND df <= n * 0.8::DOUBLE")
+twin("tfidf_features_product", "SELECT g AS product_id, d AS review_id, term, w AS weight FROM gdb", "gdb")
+twin("tfidf_features_detailed", "SELECT g AS product_id, d AS review_id, term, w AS weight FROM gde", "gde")
+cluster_parts("b", "least(5, n)", 5, _fit["restarts"], _fit["iterations"])
+cluster_parts("e", "CASE WHEN n < 5 THEN greatest(1, n // 2) ELSE 5 END", 0, _fit["restarts"], _fit["iterations"])
+_has = lambda names: "(" + " OR ".join(f"contains(lower(theme), {text(w)})" for w in names) + ")"
+twin("cluster_themes", f"""
+SELECT product_id, rank::INT AS rank, theme, mentions, CASE WHEN {_has(('good', 'great'))} THEN 'positive' WHEN {_has(('bad', 'poor'))} THEN 'negative' ELSE 'neutral' END AS sentiment FROM (
+  SELECT g AS product_id, {titled("array_to_string(words[1:2], ' ')")} AS theme, coalesce(n, 0) AS mentions, row_number() OVER (PARTITION BY g ORDER BY coalesce(n, 0) DESC, slot) AS rank
+  FROM gbb LEFT JOIN (SELECT g, slot, count(*) AS n FROM glb GROUP BY ALL) USING (g, slot))
+UNION ALL SELECT product_id, rank::INT, theme, mentions, sentiment FROM tr WHERE product_id NOT IN (SELECT g FROM gqb)""", "gbb", "glb", "tr")
+_useful = f"list_filter(words[1:10], lambda w: length(w) > 3 AND w NOT IN {words(d.CLUSTER_GENERIC_WORDS)})"
+_group_suffix = " ".join(f"WHEN list_has_any(words[1:10], {array(g)}) THEN ' & {n}'" for n, g in d.CLUSTER_SUFFIXES)
+_first_useful = "replace(useful[1], '_', ' ')"
+twin("cluster_themes_detailed", f"""
+SELECT g AS product_id, 'theme_' || slot AS id, CASE WHEN len(useful) = 0 THEN {text(d.PATTERN_DEFAULT_THEME)} ELSE {titled(_first_useful)} || CASE {_group_suffix} ELSE '' END END AS theme,
+  array_to_string(words[1:5], ', ') AS keywords, r / n AS sentiment_score, n AS size
+FROM (SELECT *, {_useful} AS useful FROM gbe) JOIN (SELECT g, slot, sum(coalesce(rating, 3)) AS r, count(*) AS n FROM gle GROUP BY ALL) USING (g, slot)""", "gbe", "gle")
+twin("cluster_theme_members", "SELECT g AS product_id, 'theme_' || slot AS id, d AS review_id FROM gle", "gle")
+
+
+def topic_parts(steps: int, inner: int) -> str:
+    """Name of the part with the last sums (g, t, place, v)."""
+    part("hk", ["gku"], "SELECT g, least(5, n // 2) AS k FROM gku WHERE n >= 5")
+    part("hl0", ["hk", "gvu"], "SELECT g, k, t, place, ((1 + (31 * place + 17 * t + 7 * place * t) % 23) * 1000000)::BIGINT AS v FROM hk JOIN gvu USING (g), range(5) r(t) WHERE t < k")
+    for i in range(steps):
+        part(f"hp{i}", [f"hl{i}"], f"SELECT g, k, t, place, v::DOUBLE / sum(v) OVER (PARTITION BY g, t) AS p FROM hl{i}")
+        before = ""
+        for j in range(inner):
+            theta = f"JOIN ht{i}_{j} h ON h.d = x.d AND h.t = p.t" if j else ""
+            part(f"hs{i}_{j}", ["gdu", f"hp{i}", *([before] if before else [])], f"""
+SELECT g, d, k, t, place, w * q / sum(q) OVER (PARTITION BY d, place) AS s FROM (
+  SELECT x.g AS g, x.d AS d, k, p.t AS t, x.place AS place, w, {'theta' if j else '1.0::DOUBLE / k'} * p AS q FROM gdu x JOIN hp{i} p ON x.g = p.g AND x.place = p.place {theta})""")
+            before = f"ht{i}_{j + 1}"
+            part(before, [f"hs{i}_{j}"], f"SELECT d, t, 1000000::DOUBLE / any_value(k) + sum(s) AS theta FROM hs{i}_{j} GROUP BY ALL")
+        part(f"hl{i + 1}", [f"hl{i}", f"hs{i}_{inner - 1}"], f"""
+SELECT g, k, t, place, 1000000 // k + coalesce(w, 0)::BIGINT AS v FROM hl{i} LEFT JOIN (SELECT g, t, place, sum(floor(s + 0.5)) AS w FROM hs{i}_{inner - 1} GROUP BY ALL) USING (g, t, place)""")
+    return f"hl{steps}"
+
+
+_topics = topic_parts(TOPIC_STEPS, 3)
+twin("topic_themes", f"""
+SELECT g AS product_id, (row_number() OVER (PARTITION BY g ORDER BY importance DESC, t))::INT AS rank, array_to_string(w[1:3], ' + ') AS theme, array_to_string(w[1:5], ', ') AS keywords, mentions, importance FROM (
+  SELECT g, t, list(term ORDER BY v DESC, place DESC) AS w, (sum(v) // 1000000)::BIGINT AS mentions, {rounded('max(v) / 1000000.0::DOUBLE', 3)} AS importance
+  FROM {_topics} JOIN gvu USING (g, place) GROUP BY ALL)
+UNION ALL SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY ordinal))::INT, theme, {_occ_words}, mentions, NULL FROM tocc WHERE product_id NOT IN (SELECT g FROM hk)""", _topics, "gvu", "tocc", "hk")
+
 # ------------------------------------------------------------------ aggregates
 twin("rating_summary", "SELECT product_id, count(*) AS total_reviews, avg(rating) AS average_rating FROM rv GROUP BY 1", "rv")
 _bucket = {5: "rating >= 4.5", 4: "rating >= 3.5 AND rating < 4.5", 3: "rating >= 2.5 AND rating < 3.5", 2: "rating >= 1.5 AND rating < 2.5", 1: "rating < 1.5"}

@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.sql import CLUSTER_FIT, TOPIC_STEPS
 from reviewloom import schema
 from reviewloom.dictionaries import EMOTIONS
 from reviewloom.functions import codes, ratings as fr, rounding, text as ft
 from reviewloom.operators import (
-    bots, countries, emotions, growth, insights, keywords, ranking, ratings, report, samples, sentiment, summaries, themes, topics,
+    bots, countries, emotions, group_topics, growth, insights, keywords, ranking, ratings, report, samples, sentiment, summaries, themes, topics,
 )
 from reviewloom.plans import analysis, variants
 from reviewloom.sources import driver_tables as dt, items, pages
@@ -595,19 +596,36 @@ def tfidf_features_topics(spark, sf):
     return rows.select("review_id", "term", rounding.round_exact(F.col("weight"), 6).alias("weight"))
 
 
+@register
+def tfidf_features_product(spark, sf):
+    return group_topics.group_feature_rows(group_topics.group_vectors(reviews(spark, sf)))
+
+
+@register
+def tfidf_features_detailed(spark, sf):
+    return group_topics.group_feature_rows(group_topics.group_vectors(reviews(spark, sf), "detailed"))
+
+
 @register
 def cluster_themes(spark, sf):
-    return topics.cluster_themes(reviews(spark, sf))
+    return group_topics.cluster_themes(reviews(spark, sf), **CLUSTER_FIT)
 
 
 @register
 def cluster_themes_detailed(spark, sf):
-    return topics.cluster_themes_detailed(reviews(spark, sf))
+    found = group_topics.cluster_themes_detailed(reviews(spark, sf), **CLUSTER_FIT)
+    return found.select(P, "id", "theme", joined("keywords", ", "), "sentiment_score", "size")
+
+
+@register
+def cluster_theme_members(spark, sf):
+    return group_topics.detailed_clusters(reviews(spark, sf), **CLUSTER_FIT)[1]
 
 
 @register
 def topic_themes(spark, sf):
-    return topics.topic_themes(reviews(spark, sf))
+    found = group_topics.topic_themes(reviews(spark, sf), iterations=TOPIC_STEPS)
+    return found.select(P, "rank", "theme", joined("keywords", ", "), "mentions", "importance")
 
 
 # ---------------------------------------------------------------- aggregates

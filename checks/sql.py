@@ -12,6 +12,10 @@ from reviewloom import lexicon as lx
 from reviewloom.functions.text import SPACE_CHARS, SPACE_CLASS, WORD_BREAK
 from reviewloom.sources.driver_tables import COUNTRIES, PHRASES, SHORT_SEQ, TITLES
 
+# Restarts and steps that the twins of the fitted themes state step by step; the operators' defaults go on until nothing moves.
+CLUSTER_FIT = {"restarts": 2, "iterations": 6}
+TOPIC_STEPS = 10
+
 
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

@@ -1,9 +1,8 @@
-"""Themes from TF-IDF vectors: k-means clusters and LDA topics.
+"""TF-IDF vectors of one corpus with one vocabulary.
 
 The vocabulary is a bounded top-k table (50 or 100 terms), so only that many
-rows ever reach the driver; vectors are built row by row from it and the models
-are fitted by MLlib over all partitions.  A fit covers the corpus it is given:
-one product, or one model for all of them.
+rows ever reach the driver; vectors are built row by row from it.  Vectors,
+clusters and topics of every product by itself are in ``group_topics``.
 """
 
 from __future__ import annotations
@@ -12,23 +11,16 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from reviewloom.dictionaries import CLUSTER_GENERIC_WORDS, CLUSTER_SUFFIXES, ENGLISH_STOPWORDS, PATTERN_DEFAULT_THEME
+from reviewloom.dictionaries import ENGLISH_STOPWORDS
 from reviewloom.functions.binding import let
 from reviewloom.functions.text import analysis_text, split_words
 
-# Settings of the three vectorizers, clusters, topics, seed.
-SEED = 42
-CLUSTERS, RESTARTS = 5, 10
-NAME_WORDS = {"positive": ["good", "great"], "negative": ["bad", "poor"]}
-
 
 @dataclass(frozen=True)
 class VectorRule:
@@ -39,6 +31,7 @@ class VectorRule:
     max_share: float = 1.0
 
 
+# Settings of the three vectorizers.
 VECTOR_RULES = {
     "default": VectorRule("title_body", 50, True),
     "detailed": VectorRule("body", 100, True),
@@ -50,13 +43,27 @@ def with_terms(reviews: DataFrame, rule: VectorRule, stopwords: Sequence[str] =
     """Add ``terms``: words of two and more characters without stopwords, and their pairs."""
     words = F.filter(split_words(analysis_text(rule.form)), lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
     out = reviews.withColumn("terms", words)
-    if not rule.bigrams:
-        return out
+    return with_pairs(out) if rule.bigrams else out
+
+
+def with_pairs(docs: DataFrame) -> DataFrame:
+    """``terms`` and the pairs of neighbouring ones."""
     size = F.size("terms")
     following = F.slice("terms", F.lit(2), F.greatest(size - 1, F.lit(0)))
     leading = F.slice("terms", F.lit(1), F.greatest(size - 1, F.lit(0)))
     pairs = F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return out.withColumn("terms", F.concat("terms", pairs))
+    return docs.withColumn("terms", F.concat("terms", pairs))
+
+
+def marked_terms() -> Column:
+    """The sorted terms of a document, the first of equal ones marked with 1."""
+
+    def marked(terms: Column) -> Column:
+        return F.transform(
+            terms, lambda t, i: F.struct(t.alias("term"), F.when(F.get(terms, i - 1) == t, 0).otherwise(1).alias("first"))
+        )
+
+    return let(F.sort_array("terms"), marked)
 
 
 def vocabulary(docs: DataFrame, rule: VectorRule, n: int) -> DataFrame:
@@ -67,12 +74,7 @@ def vocabulary(docs: DataFrame, rule: VectorRule, n: int) -> DataFrame:
     documents of a term.  Equal counts rank in alphabetical order.
     """
 
-    def marked(terms: Column) -> Column:
-        return F.transform(
-            terms, lambda t, i: F.struct(t.alias("term"), F.when(F.get(terms, i - 1) == t, 0).otherwise(1).alias("first"))
-        )
-
-    rows = docs.select(F.explode(let(F.sort_array("terms"), marked)).alias("t"))
+    rows = docs.select(F.explode(marked_terms()).alias("t"))
     counts = rows.groupBy("t.term").agg(F.count("*").alias("total"), F.sum("t.first").alias("doc_count"))
     kept = counts.filter((F.col("doc_count") >= rule.min_docs) & (F.col("doc_count") <= n * rule.max_share))
     return kept.orderBy(F.col("total").desc(), F.col("term").asc()).limit(rule.terms)
@@ -111,117 +113,3 @@ def feature_rows(vectors: Corpus, key: str = "review_id") -> DataFrame:
     terms = F.array(*[F.lit(t) for t in vectors.terms])
     rows = vectors.table.select(key, F.posexplode(vector_to_array("features")).alias("place", "weight"))
     return rows.filter(F.col("weight") != 0).select(key, F.get(terms, F.col("place")).alias("term"), "weight")
-
-
-def fit_clusters(features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """Best of several k-means runs by cost.  The vectors are kept between the runs."""
-    kept = features.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(kept) for i in range(restarts)]
-        return min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        kept.unpersist()
-
-
-def _top_terms(weights: Sequence[float], terms: Sequence[str], n: int) -> list[str]:
-    order = sorted(range(len(terms)), key=lambda i: (-weights[i], -i))
-    return [terms[i] for i in order[:n]]
-
-
-def _named_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def cluster_themes(reviews: DataFrame, restarts: int = RESTARTS) -> DataFrame:
-    """Clusters of the live analysis: name of two top terms, size, mood of the name."""
-    vectors = tfidf_features(reviews, "default")
-    if vectors.docs < CLUSTERS or not vectors.terms:
-        return None
-    model = fit_clusters(vectors.table, min(CLUSTERS, vectors.docs), restarts)
-    rows = []
-    for i, center in enumerate(model.clusterCenters()):
-        name = " ".join(_top_terms(center, vectors.terms, 2)).title()
-        mood = "neutral"
-        for label in ("negative", "positive"):
-            if any(w in name.lower() for w in NAME_WORDS[label]):
-                mood = label
-        rows.append((i, name, mood))
-    names = _named_table(reviews, rows, "prediction int, theme string, sentiment string")
-    sizes = model.transform(vectors.table).groupBy("prediction").agg(F.count("*").alias("mentions"))
-    return sizes.join(F.broadcast(names), "prediction").select("theme", "mentions", "sentiment")  # k rows
-
-
-def cluster_or_keyword_themes(reviews: DataFrame, restarts: int = RESTARTS) -> DataFrame:
-    """Clusters, or the keyword themes of the whole corpus when it has under five reviews."""
-    from reviewloom.operators.themes import theme_aggregates, theme_rows, with_theme_flags
-
-    found = cluster_themes(reviews, restarts)
-    if found is not None:
-        return found
-    sums = with_theme_flags(reviews).agg(*theme_aggregates()).withColumn("__all", F.lit(1))
-    return theme_rows(sums, ["__all"]).select("theme", "mentions", "sentiment")
-
-
-def cluster_name(keywords: Sequence[str]) -> str:
-    """First meaningful keyword in title case, with a suffix from the first matching group."""
-    useful = [w for w in keywords if len(w) > 3 and w not in CLUSTER_GENERIC_WORDS]
-    if not useful:
-        return PATTERN_DEFAULT_THEME
-    base = useful[0].replace("_", " ").title()
-    suffix = next((s for s, group in CLUSTER_SUFFIXES if any(w in group for w in keywords)), None)
-    return f"{base} & {suffix}" if suffix else base
-
-
-def detailed_clusters(reviews: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS) -> tuple[DataFrame, DataFrame]:
-    """Detailed clusters and their members.
-
-    Returns ``(themes, members)``: id, name, five keywords, mean rating and
-    size; and one row per review with its cluster id.
-    """
-    vectors = tfidf_features(reviews, "detailed")
-    if vectors.docs < k:
-        k = max(1, vectors.docs // 2)
-    if k == 1:
-        placed = vectors.table.withColumn("prediction", F.lit(0))
-        rows = [(0, vectors.terms[:10])]
-    else:
-        model = fit_clusters(vectors.table, k, restarts)
-        placed = model.transform(vectors.table)
-        rows = [(i, _top_terms(c, vectors.terms, 10)) for i, c in enumerate(model.clusterCenters())]
-    names = _named_table(
-        reviews, [(i, cluster_name(words), words[:5]) for i, words in rows],
-        "prediction int, theme string, keywords array<string>",
-    )
-    label = F.concat(F.lit("theme_"), F.col("prediction")).alias("id")
-    grouped = placed.groupBy("prediction").agg(
-        F.avg(F.coalesce("rating", F.lit(3.0))).alias("sentiment_score"), F.count("*").alias("size")
-    )
-    themes = grouped.join(F.broadcast(names), "prediction").select(label, "theme", "keywords", "sentiment_score", "size")
-    return themes, placed.select(label, "review_id")
-
-
-def cluster_themes_detailed(reviews: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS) -> DataFrame:
-    return detailed_clusters(reviews, k, restarts)[0]
-
-
-def topic_themes(reviews: DataFrame, topics: int = CLUSTERS, iterations: int = 10) -> DataFrame:
-    """LDA topics: name of three top words, five words, summed and largest weight.
-
-    Under five reviews the counted dictionary themes take their place.
-    """
-    from reviewloom.operators.themes import theme_occurrences
-
-    vectors = tfidf_features(reviews, "topics")
-    if vectors.docs < 5 or not vectors.terms:
-        found = theme_occurrences(reviews.withColumn("__all", F.lit(1)), ["__all"])
-        return found.select("theme", "keywords", "mentions", F.lit(None).cast("double").alias("importance"))
-    model = LDA(k=min(topics, vectors.docs // 2), seed=SEED, maxIter=iterations, featuresCol="features").fit(
-        vectors.table.select("features")
-    )
-    weights = model.topicsMatrix().toArray().T  # topics x terms, at most 5 x 50
-    rows = []
-    for topic in weights:
-        words = _top_terms(topic, vectors.terms, 5)
-        rows.append((" + ".join(words[:3]), words, int(topic.sum()), round(float(topic.max()), 3)))
-    table = _named_table(reviews, rows, "theme string, keywords array<string>, mentions bigint, importance double")
-    return table.orderBy(F.col("importance").desc(), F.col("theme").asc())

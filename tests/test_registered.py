@@ -12,8 +12,6 @@ from checks.queries import QUERIES
 from checks.compare import compare
 from tests.conftest import SMALL
 
-SLOW = {"cluster_themes", "cluster_themes_detailed", "topic_themes"}  # no twin: covered by test_topics
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -25,7 +23,7 @@ def con():
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLE) == SLOW
+    assert set(QUERIES) == set(ORACLE)
 
 
 # A cross-section by default; FULL_TWINS=1 runs all of them.
@@ -33,12 +31,12 @@ SECTION = [
     "read_raw_items", "explode_nested_items", "extract_reviews_from_html", "product_info", "canonicalize_reviews", "sanitize_reviews",
     "extract_asin", "clean_text", "display_formats", "bulk_posting", "bot_statistics", "lexicon_sentiment", "external_label",
     "sentiment_by_day", "emotion_corpus", "emotion_average", "top_keywords", "keyword_share", "keyword_themes", "aspect_themes",
-    "pattern_theme_members", "tfidf_features", "rating_percentages", "analysis_document", "analysis_document_ensemble",
+    "pattern_theme_members", "tfidf_features", "tfidf_features_detailed", "cluster_themes", "cluster_themes_detailed", "topic_themes", "rating_percentages", "analysis_document", "analysis_document_ensemble",
     "analysis_document_free", "analysis_document_api", "country_rollup", "first_available_country",
     "review_context", "growth_series_day", "growth_metrics", "review_samples_best", "parse_model_bullets", "summaries_api",
     "report_pdf_sections", "stream_growth_days", "stream_scored_reviews",
 ]
-NAMES = sorted(set(QUERIES) - SLOW) if os.environ.get("FULL_TWINS") else SECTION
+NAMES = sorted(QUERIES) if os.environ.get("FULL_TWINS") else SECTION
 
 
 @pytest.mark.parametrize("name", NAMES)

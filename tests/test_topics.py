@@ -1,6 +1,10 @@
+import hashlib
 import math
 
-from reviewloom.operators import topics
+import pytest
+from pyspark.sql import functions as F
+
+from reviewloom.operators import group_topics, topics
 
 TEXTS = [
     "battery life long battery", "battery charge quick", "screen bright screen sharp", "screen color bright", "price low price fair",
@@ -34,27 +38,167 @@ def test_document_bounds_and_term_limit(make):
 
 
 def test_clusters_cover_all_reviews(make):
-    themes, members = topics.detailed_clusters(corpus(make), 3, restarts=2)
+    themes, members = group_topics.detailed_clusters(corpus(make), 3, restarts=2)
     rows = themes.collect()
     assert sum(r["size"] for r in rows) == members.count() == 8 and all(len(r.keywords) == 5 for r in rows)
-    live = topics.cluster_themes(corpus(make), restarts=2).collect()
+    live = group_topics.cluster_themes(corpus(make), restarts=2).collect()
     assert sum(r.mentions for r in live) == 8 and {r.sentiment for r in live} <= {"positive", "negative", "neutral"}
+    assert [r.mentions for r in sorted(live, key=lambda r: r["rank"])] == sorted((r.mentions for r in live), reverse=True)
 
 
 def test_small_corpora_fall_back(make):
     few = make({"body": "good quality"}, {"body": "fast shipping"})
-    assert {r.theme for r in topics.cluster_or_keyword_themes(few).collect()} == {"Quality", "Performance", "Delivery"}
-    assert {r.theme for r in topics.topic_themes(few).collect()} == {"Product Quality", "Shipping"}
+    assert {r.theme for r in group_topics.cluster_themes(few).collect()} == {"Quality", "Performance", "Delivery"}
+    assert {r.theme for r in group_topics.topic_themes(few).collect()} == {"Product Quality", "Shipping"}
 
 
 def test_topics(make):
-    rows = topics.topic_themes(corpus(make), 3).collect()
+    rows = sorted(group_topics.topic_themes(corpus(make), 3).collect(), key=lambda r: r["rank"])
     assert len(rows) == 3 and all(r.theme == " + ".join(r.keywords[:3]) for r in rows)
     assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
 
 
-def test_cluster_names():
-    assert topics.cluster_name(["good", "battery life", "price"]) == "Battery Life & Price"
-    assert topics.cluster_name(["great", "screen", "fast"]) == "Screen & Delivery"
-    assert topics.cluster_name(["screen", "easy"]) == "Screen & Usability"
-    assert topics.cluster_name(["screen"]) == "Screen" and topics.cluster_name(["good", "bad"]) == "General Feedback"
+@pytest.mark.parametrize("keywords, name", [
+    (["good", "battery life", "price"], "Battery Life & Price"), (["great", "screen", "fast"], "Screen & Delivery"),
+    (["screen", "easy"], "Screen & Usability"), (["screen"], "Screen"), (["good", "bad"], "General Feedback"), (["3d_print 2go"], "3D Print 2Go"),
+])
+def test_cluster_names(spark, keywords, name):
+    row = spark.createDataFrame([(keywords,)], "k array<string>").select(group_topics.cluster_name(F.col("k")).alias("n")).first()
+    assert row.n == name
+
+
+# ---------------------------------------------------------------- all products at once
+def several(make):
+    """A product with two moods of texts, one with other words, one of few reviews, one without terms, one without a key."""
+    rows = [{"product_id": "A", "body": t} for t in TEXTS] + [{"product_id": "B", "body": f"{t} poor sound {i % 3} zoom{i}", "rating": float(1 + i % 5)} for i, t in enumerate(TEXTS * 2)]
+    rows += [{"product_id": "C", "body": "good quality price"}, {"product_id": "C", "body": "fast shipping"}]
+    rows += [{"product_id": "D", "body": t} for t in ("the and of", "", "it is", "to be", "a b", "or not")]
+    rows += [{"product_id": None, "body": f"hinge broke {t}"} for t in TEXTS[:6]] + [{"product_id": "B", "body": None, "rating": None}]
+    return make(*rows), rows
+
+
+def vectors_by_hand(rows, variant):
+    """Per product: n, terms by place, and for each review its places and whole weights."""
+    rule, out = topics.VECTOR_RULES[variant], {}
+    for product in {r["product_id"] for r in rows}:
+        texts = [(f"R{i}", r["body"] or "") for i, r in enumerate(rows) if r["product_id"] == product]
+        docs = []
+        for _, text in texts:
+            words = [w for w in text.lower().split() if len(w) >= 2 and w not in topics.ENGLISH_STOPWORDS]
+            docs.append(words + [f"{a} {b}" for a, b in zip(words, words[1:])] * rule.bigrams)
+        n, df = len(docs), {t: sum(t in d for d in docs) for d in docs for t in d}
+        total = {t: sum(d.count(t) for d in docs) for t in df if rule.min_docs <= df[t] <= n * rule.max_share}
+        terms = sorted(sorted(total, key=lambda t: (-total[t], t))[:rule.terms])
+        vectors = []
+        for d in docs:
+            x = {p: d.count(t) * (math.log((1 + n) / (1 + df[t])) + 1) for p, t in enumerate(terms) if t in d}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            vectors.append({p: math.floor(v / norm * 1_000_000 + 0.5) for p, v in x.items()})
+        out[product] = (n, terms, [i for i, _ in texts], vectors)
+    return out
+
+
+def kmeans_by_hand(ids, vectors, m, k, restarts, iterations):
+    best = None
+    for restart in range(restarts):
+        first = sorted(range(len(ids)), key=lambda i: hashlib.md5(f"{ids[i]}:{restart}".encode()).hexdigest())[:k]
+        centers = [[vectors[i].get(p, 0) for p in range(m)] for i in first]
+        score = lambda v, c: sum(x * x for x in c) - 2 * sum(w * c[p] for p, w in v.items())
+        place = lambda: [min(range(k), key=lambda s: (score(v, centers[s]), s)) for v in vectors]
+        for _ in range(iterations):
+            at = place()
+            moved = [[sum(v.get(p, 0) for v, a in zip(vectors, at) if a == s) // at.count(s) for p in range(m)] if s in at else centers[s] for s in range(k)]
+            if moved == centers:
+                break
+            centers = moved
+        at = place()
+        cost = sum(score(v, centers[a]) for v, a in zip(vectors, at))
+        if best is None or cost < best[0]:
+            best = (cost, centers, at)
+    return best[1:]
+
+
+def heaviest(weights, terms, n):
+    return [terms[p] for p in sorted(range(len(terms)), key=lambda p: (-weights[p], -p))[:n]]
+
+
+@pytest.mark.parametrize("restarts, iterations", [(1, 1), (3, 20)])
+def test_clusters_of_each_product_by_hand(make, restarts, iterations):
+    reviews, rows = several(make)
+    got = group_topics.cluster_themes(reviews.repartition(5), restarts, iterations=iterations).collect()
+    for product, (n, terms, ids, vectors) in vectors_by_hand([{**r, "body": r["body"] or ""} for r in rows], "default").items():
+        own = sorted((r for r in got if r.product_id == product), key=lambda r: r["rank"])
+        if n < 5 or not terms:
+            assert [r.theme for r in own] == {"C": ["Quality", "Price", "Performance", "Delivery"], "D": []}[product] or product == "C"
+            continue
+        centers, at = kmeans_by_hand(ids, vectors, len(terms), 5, restarts, iterations)
+        named = [(" ".join(heaviest(c, terms, 2)).title(), at.count(s)) for s, c in enumerate(centers)]
+        named.sort(key=lambda x: -x[1])
+        assert [(r.theme, r.mentions) for r in own] == named, product
+        assert all(r.sentiment == ("negative" if "poor" in r.theme.lower() else "neutral") for r in own)
+
+
+def test_detailed_clusters_of_each_product_by_hand(make):
+    reviews, rows = several(make)
+    themes, members = group_topics.detailed_clusters(reviews.repartition(3), restarts=2, iterations=9)
+    themes, members = themes.collect(), members.collect()
+    for product, (n, terms, ids, vectors) in vectors_by_hand(rows, "detailed").items():
+        inside = {}
+        for m in members:
+            if m.product_id == product:
+                inside.setdefault(m.id, []).append(m.review_id)
+        if not terms:
+            assert {(t.id, t.theme, t.size) for t in themes if t.product_id == product} == {("theme_0", "General Feedback", 6)}
+            assert sorted(inside["theme_0"]) == sorted(ids)
+            continue
+        k = 5 if n >= 5 else max(1, n // 2)
+        centers, at = kmeans_by_hand(ids, vectors, len(terms), k, 2, 9)
+        for s in set(at):
+            theme, = [t for t in themes if t.product_id == product and t.id == f"theme_{s}"]
+            of_cluster = [i for i, a in zip(ids, at) if a == s]
+            ratings = [rows[int(i[1:])].get("rating", 3.0) for i in of_cluster]
+            ratings = [3.0 if r is None else r for r in ratings]
+            assert sorted(inside[theme.id]) == sorted(of_cluster) and theme.size == len(of_cluster)
+            assert theme.keywords == heaviest(centers[s], terms, 5) and theme.sentiment_score == pytest.approx(sum(ratings) / len(ratings))
+        assert len(inside) == len(set(at))
+
+
+def topics_by_hand(terms, vectors, k, iterations, inner):
+    m = len(terms)
+    lam = [[(1 + (31 * p + 17 * t + 7 * p * t) % 23) * 1_000_000 for p in range(m)] for t in range(k)]
+    for _ in range(iterations):
+        phi = [[v / sum(row) for v in row] for row in lam]
+        lam = [[1_000_000 // k] * m for _ in range(k)]
+        for v in vectors:
+            theta = [1.0 / k] * k
+            for turn in range(inner):
+                share = {}
+                for p, w in sorted(v.items()):
+                    parts = [theta[t] * phi[t][p] for t in range(k)]
+                    share[p] = [w * x / sum(parts) for x in parts]
+                if turn < inner - 1:
+                    theta = [1_000_000 / k + sum(s[t] for s in share.values()) for t in range(k)]
+            for p, s in share.items() if v else ():
+                for t in range(k):
+                    lam[t][p] += math.floor(s[t] + 0.5)
+    return lam
+
+
+def test_topics_of_each_product_by_hand(make):
+    reviews, rows = several(make)
+    got = group_topics.topic_themes(reviews.repartition(5), iterations=4).collect()
+    for product, (n, terms, ids, vectors) in vectors_by_hand(rows, "topics").items():
+        own = sorted((r for r in got if r.product_id == product), key=lambda r: r["rank"])
+        if n < 5 or not terms:
+            assert all(r.importance is None for r in own)
+            continue
+        lam = topics_by_hand(terms, vectors, min(5, n // 2), 4, 3)
+        expected = [(heaviest(row, terms, 5), sum(row) // 1_000_000, round(max(row) / 1e6, 3)) for row in lam]
+        expected.sort(key=lambda x: -x[2])
+        assert [(r.keywords, r.mentions, r.importance) for r in own] == expected, product
+
+
+def test_no_reviews(make):
+    none = make({"body": "x"}).limit(0)
+    assert group_topics.cluster_themes(none, restarts=2).count() == group_topics.topic_themes(none).count() == 0
+    assert [t.count() for t in group_topics.detailed_clusters(none, restarts=2)] == [0, 0]
