@@ -33,6 +33,7 @@ LEVELS = 4
 BLOCK_BITS = 512
 SEGMENT_IDS = 1 << 21
 READ_IDS = 1 << 20
+DOCS_PER_TASK = 20_000
 NO_ID = -(1 << 63)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
@@ -191,8 +192,24 @@ def write_token_files(
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
-def read_documents(files: DataFrame, docs_per_task: int = 20_000) -> DataFrame:
+def read_documents(files: DataFrame, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
     """Columns ``doc_id, start, n_tokens, ids``: every document of the files."""
+    as_lists = lambda offsets, ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+    return _documents(files, docs_per_task, "ids array<int>", as_lists)
+
+
+def read_checksums(files: DataFrame, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+    """As ``read_documents``, with ``ids_crc32`` (of the ids as little-endian 32-bit integers) in place of the ids."""
+
+    def sums(offsets, ids):
+        plain = ids.astype("<u4")
+        return pa.array([zlib.crc32(plain[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64())
+
+    return _documents(files, docs_per_task, "ids_crc32 long", sums)
+
+
+def _documents(files: DataFrame, docs_per_task: int, field: str, column) -> DataFrame:
+    """Every document with ``column(offsets, ids)``; a task reads one range of a file."""
     ranges = files.select(
         "path", "start", "n_docs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(docs_per_task).cast("long"))).alias("first")
     )
@@ -212,26 +229,13 @@ def read_documents(files: DataFrame, docs_per_task: int = 20_000) -> DataFrame:
                                 pa.array(docs[:, 0], pa.int64(), mask=docs[:, 0] == NO_ID),
                                 pa.array(docs[:, 1] + row["start"], pa.int64()),
                                 pa.array(docs[:, 2], pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))),
+                                column(offsets, ids),
                             ],
-                            ["doc_id", "start", "n_tokens", "ids"],
+                            ["doc_id", "start", "n_tokens", field.split()[0]],
                         )
 
-    return ranges.repartition("path", "first").mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def checksums(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``ids_crc32`` in place of the ids."""
-
-    def crc(batches):
-        for batch in batches:
-            values = batch.column("ids")
-            offsets = values.offsets.to_numpy()
-            flat = values.values.to_numpy().astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n_ranges = ranges.agg(F.count(F.lit(1))).first()[0]  # a number of its own, which adaptive execution keeps
+    return ranges.repartition(max(1, n_ranges), "path", "first").mapInArrow(read, f"doc_id long, start long, n_tokens long, {field}")
 
 
 def _bounded(docs: np.ndarray) -> Iterator[np.ndarray]:

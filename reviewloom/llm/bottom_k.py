@@ -137,7 +137,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         return values.__class__([[(int(p), False)] + ([(follows[v], True)] if v in follows else []) for p, v in zip(own, values)])
 
     dealt = rows.withColumn("place", F.explode(places("id"))).select("place.part", "place.ghost", "id", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "ghost", F.desc("id"), "text")
+    # By ranges of the run numbers: a hash would put several runs into some tasks and none into others.
+    return dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "ghost", F.desc("id"), "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, words: int = WORDS) -> DataFrame:

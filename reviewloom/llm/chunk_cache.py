@@ -4,8 +4,9 @@ A byte-level pre-tokenizer always breaks before white space that follows
 something else, and what comes after such a break depends on later characters
 only. So a text may be cut before every single space that stands between two
 other characters, and the ids of the pieces, put together, are the ids of the
-text. The library encodes each piece once as long as the table holds it; texts
-with rarer white space go to the library whole.
+text. The distinct pieces of a group of texts are looked up once and their ids
+gathered by number. The library encodes each piece once as long as the table holds
+it; texts with rarer white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides the space, as the tokenizer or Python knows it.
 _OTHER_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,7 +28,7 @@ _LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 _PLAIN = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\\n)({_LETTERS})([.,;:!?]*))?")
 TABLE_PIECES = 900_000
 LONG_PIECE = 256
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 21
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -73,50 +76,57 @@ class PieceEncoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _fill(self, table: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
-        """Put the missing pieces into a table; returns the long ones, which are not to stay."""
-        missing = wanted.difference(table)
+    def _ids(self, table: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
+        """The ids of distinct pieces; those the table misses are encoded, and all but long ones stay in it."""
+        missing = [p for p in pieces if p not in table]
         if len(table) + len(missing) > self.limit:
             table.clear()
-            missing = wanted
-        split, parts = {}, set()
-        for piece in missing:
-            found = None if piece.isalpha() else _PLAIN.fullmatch(lead + piece)
-            split[piece] = own = [x for x in found.groups() if x] if found else [lead + piece]
-            parts.update(own)
+            missing = pieces
+        whole = [p for p in missing if p.isalpha()]
+        split = {p: [x for x in found.groups() if x] for p in missing if not p.isalpha() and (found := _PLAIN.fullmatch(lead + p))}
+        whole += [p for p in missing if p not in split and not p.isalpha()]
+        parts = {lead + p for p in whole}
+        parts.update(*split.values())
         new = parts.difference(self.parts)
         if len(self.parts) + len(new) > self.limit:
             self.parts.clear()
             new = parts
         new = list(new)
-        self.parts.update(zip(new, self._whole(new)))
         known = self.parts
-        for piece, own in split.items():
-            table[piece] = known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own])
+        known.update(zip(new, self._whole(new)))
+        table.update(zip(whole, [known[lead + p] for p in whole]))
+        table.update((p, b"".join([known[x] for x in own])) for p, own in split.items())
+        out = list(map(table.__getitem__, pieces))
         for part in new:
             if len(part) > LONG_PIECE:
                 del known[part]
-        return [piece for piece in missing if len(piece) > LONG_PIECE]
+        for piece in missing:
+            if len(piece) > LONG_PIECE:
+                del table[piece]
+        return out
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         # Pieces after the first one of a text stand for themselves and the space before them.
-        pieces = [None if _UNSAFE.search(text) else text.split(" ") for text in texts]
-        firsts = {p[0] for p in pieces if p is not None}
-        laters: set[str] = set()
-        for own in pieces:
-            if own is not None:
-                first, own[0] = own[0], ""
-                laters.update(own)
-                own[0] = first
-        long_first, long_later = self._fill(self.first, firsts, ""), self._fill(self.later, laters, " ")
-        for text, own in zip(texts, pieces):
-            if own is None:
-                ids = self._whole([text])[0]
+        unsafe = [_UNSAFE.search(text) is not None for text in texts]
+        lists = pc.split_pattern(pa.array([t for t, u in zip(texts, unsafe) if not u], pa.large_string()), " ")
+        offsets, flat = lists.offsets.to_numpy(), lists.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        codes, known = np.zeros(len(flat), np.int64), []
+        for table, lead, places in ((self.later, " ", ~first), (self.first, "", first)):
+            named = flat.filter(pa.array(places)).dictionary_encode()
+            codes[places] = named.indices.to_numpy() + len(known)
+            known += self._ids(table, named.dictionary.to_pylist(), lead)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.frombuffer(b"".join(known), "<u4")
+        own = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = ids[np.arange(ends[-1], dtype=np.int32) + np.repeat((starts[codes] - ends[:-1]).astype(np.int32), own)]
+        bounds, at = ends[offsets], 0
+        for text, whole in zip(texts, unsafe):
+            if whole:
+                yield np.frombuffer(self._whole([text])[0], "<u4")
             else:
-                found = map(self.later.__getitem__, own[1:])
-                ids = self.first[own[0]] + b"".join(found)
-            yield np.frombuffer(ids, "<u4")
-        for piece in long_first:
-            del self.first[piece]
-        for piece in long_later:
-            del self.later[piece]
+                yield ids[bounds[at]:bounds[at + 1]]
+                at += 1

@@ -20,10 +20,17 @@ are enough for nearly every prefix) come first, by document frequency; other
 tokens follow by hash. Any order is right, as long as it is the same for all;
 this one needs the frequencies of a fifth of the tokens only.
 
-Equal sets are one node. An index entry with few nodes gives all its pairs. In
-an entry with many nodes, nodes are first compared with one leader for each
-round, which joins groups of near copies with as many comparisons as they have
-members; then only pairs from different components are compared.
+Equal sets are one node. An index entry with few nodes gives all its pairs. The
+nodes of a crowded entry are compared with one leader only, which joins a group
+of near copies with as many comparisons as it has members. A node x that does
+not link with the leader L may still link with another member y, and is looked
+for by what sets it apart: the difference D(x) of x and L, all tokens that
+one of the two has and the other lacks. If x and y link, D(x) and D(y) have a token
+in common, for else x would be at least as far from y as from L. And x and y differ
+in at most ``spread(n)`` tokens, and so do D(x) and D(y), so that their smallest
+common token is among the first ``spread(n) + 1`` of each. These tokens are the
+entries of the next level. What a crowd has in common is in no difference, so
+its next entries are small; crowded ones among them get a leader in turn.
 """
 
 from __future__ import annotations
@@ -37,17 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.bit_table import bit_table, told
 from reviewloom.llm.components import connected_components
+from reviewloom.llm.memory import released
 from reviewloom.llm.shingles import shingle_hashes, word_hashes
 from reviewloom.sources.shared import materialize
 
 SAMPLED = np.uint64(int(0.2 * 2**64))
 FREQUENT = 16
 FEW_NODES = 16
+LEVELS = 12
 SMALL_BAND = 6
 CLASS_TOKENS = 3
-STAR_ROUNDS = 2
-FEW_IDS = 1_000_000  # rows of about 50 bytes that may be broadcast
 SETS_KEPT_BYTES = 32 << 20
 
 
@@ -56,6 +64,11 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def spread(n: int, percent: int) -> int:
+    """Tokens in which a set of n and a similar one may differ, both ways together."""
+    return (100 - percent) * n // percent
+
+
 def classes(band: int, percent: int) -> int:
     """Classes of frequent tokens for sets of 2**band tokens and more; none for small sets."""
     return 0 if band < SMALL_BAND else max(1, (2**band * (100 - percent)) // (100 * CLASS_TOKENS))
@@ -108,9 +121,14 @@ def _key(kind: int, one: int, other: int) -> int:
     return (h * 0xBF58476D1CE4E5B9) % 2**64 - 2**63
 
 
+def _signature(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Columns id, n, sampled, low, sig (of the whole set): one row for each document, written before it is returned."""
 
+    @released
     def tokens(batches):
         for batch in batches:
             n, sampled, low, sig = [], [], [], []
@@ -120,7 +138,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
                 n.append(len(own))
                 sampled.append(k)
                 low.append(first.view(np.int64))
-                sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                sig.append(_signature(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                 ["id", "n", "sampled", "low", "sig"],
@@ -145,6 +163,7 @@ def _index(nodes: DataFrame, percent: int) -> DataFrame:
     listed = postings.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("listed"))
     rows = listed.join(nodes.select("node", "n", "sampled", F.size("low").alias("n_low")), "node")
 
+    @released
     def keys(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -175,6 +194,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
+    @released
     def verify(batches):
         kept: dict[int, np.ndarray] = {}
         room = SETS_KEPT_BYTES
@@ -204,6 +224,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return materialize(joined.mapInArrow(verify, "a long, b long, link boolean, distance double"), "verified")
 
 
+def _led(many: DataFrame) -> DataFrame:
+    """Columns leader, node, n: crowded entries (key, node, n) with one leader are one crowd; written.
+
+    The node with most crowded entries leads: copies close to the original
+    share more than distant ones.
+    """
+    many = materialize(many.select("key", "node", "n"), "crowded")
+    weight = materialize(many.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    first = many.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
+    return materialize(many.join(materialize(first, "leaders"), "key").where("node <> leader").select("leader", "node", "n").distinct(), "crowds")
+
+
+def _stars(crowds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Columns leader, node, n, link, low (the first tokens of the difference from the leader) for every member of a crowd; written."""
+    joined = crowds.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_a")), "leader")
+    joined = joined.join(texts.select("node", F.col("text").alias("text_b")), "node")
+
+    @released
+    def compare(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            links, low = [], []
+            for leader, text_a, text_b in zip(batch.column("leader").to_pylist(), batch.column("text_a"), batch.column("text_b")):
+                if leader not in known:
+                    if sum(own.nbytes for own in known.values()) > SETS_KEPT_BYTES:
+                        known.clear()
+                    known[leader] = shingle_hashes(word_hashes(zlib.decompress(text_a.as_buffer())), words)
+                x, y = known[leader], shingle_hashes(word_hashes(zlib.decompress(text_b.as_buffer())), words)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                either = (len(x) + len(y) + len(apart)) // 2
+                links.append(100 * (either - len(apart)) >= percent * either)
+                low.append(apart[:spread(len(y), percent) + 1].view(np.int64))
+            columns = [batch.column("leader"), batch.column("node"), batch.column("n"), pa.array(links, pa.bool_()), pa.array(low, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["leader", "node", "n", "link", "low"])
+
+    return materialize(joined.mapInArrow(compare, "leader long, node long, n long, link boolean, low array<long>"), "stars")
+
+
+def _with_component(rows: DataFrame, component: DataFrame, node: str, name: str) -> DataFrame:
+    named = component.select(F.col("node").alias(node), F.col("component").alias("__component"))
+    return rows.join(named, node, "left").withColumn(name, F.coalesce("__component", node)).drop("__component")
+
+
+def _next_entries(stars: DataFrame, component: DataFrame) -> DataFrame:
+    """Columns key, node, n, component, nodes: entries of the crowds' differences that hold nodes of two components; written."""
+    named = _with_component(_with_component(stars, component, "leader", "main"), component, "node", "component")
+    named = materialize(named.select("leader", "node", "n", "low", "component", (F.col("component") != F.col("main")).alias("outside")), "named")
+    still = materialize(named.where("outside").select("leader").distinct(), "open")
+    token = named.join(still, "leader", "left_semi").select("leader", "node", "n", "component", "outside", F.explode("low").alias("token"))
+    entries = materialize(token.select(F.xxhash64("leader", "token").alias("key"), "node", "n", "component", "outside"), "entries")
+    counted = entries.groupBy("key").agg(
+        F.count(F.lit(1)).alias("nodes"), F.max("outside").alias("open"), F.min("component").alias("one"), F.max("component").alias("other")
+    )
+    counted = materialize(counted.where("open AND nodes > 1 AND one <> other").select("key", "nodes"), "counted")
+    return materialize(entries.drop("outside").join(counted, "key"), "entries")
+
+
 def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: the links between components are joined, and their members renamed."""
     if component is None:
@@ -225,8 +302,6 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     # Texts of the nodes that have candidates; a document is known by its id and its set.
     wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("sig").alias("node_sig"))
     wanted = materialize(wanted, "candidates")
-    if wanted.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
     return sets, nodes, index, materialize(_texts(docs, wanted, id_col, text_col, words), "candidate-texts")
 
 
@@ -260,66 +335,56 @@ def near_duplicate_components(
     like others, but gives it no name; its component is NULL if no member has
     an id. Rows with equal ids stay apart, each with its own text.
     """
-    sets, nodes, index, texts = _prepared(docs, id_col, text_col, words, percent)
-    few, many = index.where(F.col("nodes") <= FEW_NODES).select("key", "node", "n"), index.where(F.col("nodes") > FEW_NODES).select("key", "node", "n")
-
-    pairs = _pairs(few, few, F.col("node_a") < F.col("node_b"), percent)
-    # The node with most crowded entries leads: copies close to the original share more than distant ones.
-    weight = many.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    first = many.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("x"))
-    leader = materialize(first.select("key", "x.node", "x.n"), "leaders")
-    stars = _pairs(leader, many, F.col("node_a") != F.col("node_b"), percent)
-    tested = materialize(pairs.unionByName(stars).distinct(), "tested")
-    verified = _verify(tested, texts, words, percent)
-    component = _joined(None, verified.where("link").select("a", "b"))
-    # Distances to an entry's leader: by the triangle inequality, nodes whose distances differ too much cannot link.
-    led = many.join(leader.select("key", F.col("node").alias("leader")), "key")
-    led = led.select("key", "node", "n", "leader", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    led = led.join(verified.select("a", "b", "distance"), ["a", "b"], "left")
-    many = materialize(led.select("key", "node", "n", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("distance")).alias("distance")), "led")
-    near = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    for step in range(STAR_ROUNDS + 1):
-        named = many.join(component, "node", "left").select("key", "node", "n", "distance", F.coalesce("component", "node").alias("component"))
-        sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        open_rows = materialize(named.join(main.where("parts > 1"), "key").drop("parts"), "open-entries")
-        if open_rows.isEmpty():
-            break
-        # Only nodes outside the main component of an entry have partners to look for.
-        outside = open_rows.where("component <> main").drop("main")
-        inside = open_rows.drop("main")
-        apart = F.col("component_a") != F.col("component_b")
-        if step < STAR_ROUNDS:
-            by = F.xxhash64("node", F.lit(step))
-            leader = open_rows.where("component = main").groupBy("key").agg(F.min_by(F.struct("node", "n", "distance", "component"), by).alias("x"))
-            fresh = _pairs(leader.select("key", "x.*"), outside, apart & near, percent)
-        else:
-            fresh = _pairs(outside, inside, apart & near, percent)
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "tested")
+    sets, nodes, entries, texts = _prepared(docs, id_col, text_col, words, percent)
+    apart, component, tested = F.col("node_a") < F.col("node_b"), None, None
+    for level in range(LEVELS + 1):
+        crowded = F.col("nodes") > (FEW_NODES if level < LEVELS else 2**62)  # at last all pairs of what is left
+        few = entries.where(~crowded).drop("nodes")
+        fresh = _pairs(few, few, apart, percent)
+        if tested is not None:
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = materialize(fresh, "tested")
+        tested = fresh if tested is None else tested.unionByName(fresh)
         links = _verify(fresh, texts, words, percent).where("link").select("a", "b")
+        many = entries.where(crowded)
+        stars = None if many.isEmpty() else _stars(_led(many), texts, words, percent)
+        if stars is not None:
+            links = links.unionByName(stars.where("link").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
         component = _joined(component, links)
-        tested = tested.unionByName(fresh)
+        if stars is None:
+            break
+        entries = _next_entries(stars, component)
+        if entries.isEmpty():
+            break
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
     return _named(sets, nodes, component).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Columns node, text (deflated, as it travels with every pair)."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    joined = rows.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "node_sig", "text")
+    """Columns node, text (deflated, as it travels with every pair).
+
+    The scan passes by documents that are not wanted, as far as a table of bits
+    tells; only deflated texts of the others are shuffled to the join.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("id"))))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
 
-    def own(batches):
-        # Several rows may have the id of a node; the one with its set is kept.
+    @released
+    def packed(batches):
         for batch in batches:
-            keep, packed = [], []
-            for sig, text in zip(batch.column("node_sig").to_pylist(), batch.column("text")):
+            some = batch.filter(pa.array(told(table.value, batch.column("hash").to_numpy().view(np.uint64))))
+            sigs, texts = [], []
+            for text in some.column("text"):
                 plain = text.as_buffer().to_pybytes() if text.is_valid else b""
-                found = shingle_hashes(word_hashes(plain), words)
-                packed.append(zlib.compress(plain, 4))
-                keep.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() == sig)
-            rows = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "text"])
-            yield rows.filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(own, "node long, text binary").dropDuplicates(["node"])
+                sigs.append(_signature(shingle_hashes(word_hashes(plain), words)))
+                texts.append(zlib.compress(plain, 4))
+            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(sigs, pa.binary()), pa.array(texts, pa.binary())], ["doc", "doc_sig", "text"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    deflated = rows.mapInArrow(packed, f"doc {kind}, doc_sig binary, text binary")
+    # Several rows may have the id of a node; one with its set is kept.
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("doc_sig") == F.col("node_sig"))
+    return deflated.join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
 
 def _named(sets: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:

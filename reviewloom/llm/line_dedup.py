@@ -6,8 +6,9 @@ The kept lines are put together again by position.
 
 Shuffles: (hash, id) pairs with partial aggregation, the (hash, id, position)
 rows of one join, the dropped positions, and the texts once. Lines themselves
-never travel; a line that stands in every document is one aggregated key, and
-its rows in the join can be split by adaptive execution.
+never travel. A line that stands in every document is one aggregated key; the
+keys found in several documents are written before the join, so that its sides are
+plain exchanges and adaptive execution can split the rows of such a line.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.sources.shared import materialize
+
 #: The white space that is stripped from a line.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -55,7 +58,7 @@ def _repeated(rows: DataFrame, min_docs: int) -> DataFrame:
     else:
         sums = rows.select("hash", "id").distinct().groupBy("hash").agg(lowest.alias("keeper"), F.count(F.lit(1)).alias("docs"))
         docs = F.col("docs")
-    return sums.where(docs >= min_docs).select("hash", "keeper")
+    return materialize(sums.where(docs >= min_docs).select("hash", "keeper"), "repeated-lines")
 
 
 def drop_repeated_lines(

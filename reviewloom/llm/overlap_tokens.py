@@ -6,7 +6,9 @@ proven stable: a single space between two characters that are no white space.
 The pre-tokenizer always breaks there, and its breaks after it depend on later
 text only, so from there on a chunk has the tokens of the whole text wherever
 it began. Where an overlap holds no common stable boundary, the document is
-encoded again with overlaps twice as wide; in the end one chunk is the whole text.
+encoded again with chunks and overlaps four times as long; in the end one chunk is
+the whole text. A round costs little more than the text once, however rare
+boundaries are, and the number of rounds is the logarithm of the length.
 """
 
 from __future__ import annotations
@@ -140,4 +142,4 @@ def _totals(long_docs: DataFrame, tokenizer: str, chunk: int, overlap: int) -> D
         failed = found.where("n_tokens IS NULL").select("tag")
         if failed.isEmpty():
             return done
-        open_docs, overlap = long_docs.join(failed, "tag", "left_semi"), 2 * overlap
+        open_docs, chunk, overlap = long_docs.join(failed, "tag", "left_semi"), 4 * chunk, 4 * overlap

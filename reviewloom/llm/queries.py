@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.addressable_codes import checksums, read_documents, write_token_files
+from reviewloom.llm.addressable_codes import read_checksums, write_token_files
 from reviewloom.llm.bottom_k import edited_fingerprints
 from reviewloom.llm.collocations import collocations
 from reviewloom.llm.combination_join import near_duplicate_components
@@ -138,7 +138,7 @@ def op7_bottom_k_fingerprints(spark, sf_dir):
 @register
 def op8_addressable_token_files(spark, sf_dir):
     files = write_token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
-    return checksums(read_documents(files))
+    return read_checksums(files)
 
 
 @register

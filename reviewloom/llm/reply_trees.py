@@ -41,10 +41,12 @@ def unescape(text: str) -> str:
 def _numbered(messages: DataFrame, tree: str, node: str) -> DataFrame:
     """Messages with ``__unnamed``: a key for those without an id, equal rows apart; NULL for others, of which one row for each id stays.
 
-    The key depends on all columns, so that the same table gets the same keys again.
+    Of different rows with one id the one whose content comes first stays. Key
+    and choice depend on all columns, so that the same table gets the same again.
     """
-    named = messages.where(F.col(node).isNotNull()).dropDuplicates([tree, node]).withColumn("__unnamed", F.lit(None).cast("string"))
     content = F.sha2(F.to_json(F.struct(*messages.columns), {"ignoreNullFields": "false"}), 256)
+    first = messages.where(F.col(node).isNotNull()).groupBy(tree, node).agg(F.min_by(F.struct(*messages.columns), content).alias("__row"))
+    named = first.select("__row.*").withColumn("__unnamed", F.lit(None).cast("string"))
     unnamed = messages.where(F.col(node).isNull()).withColumn("__content", content)
     copy = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
     return named.unionByName(unnamed.withColumn("__unnamed", F.concat_ws("-", "__content", copy)).drop("__content"))

@@ -10,7 +10,8 @@ import numpy as np
 #: A-Z to a-z, white space to a space.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 PIECE_BYTES = 1 << 20
-LONGEST = 1 << 12
+#: Words of so many bytes and more get a keyed hash; sums of powers modulo 2^64 cannot tell some long words apart.
+LONGEST = 1 << 8
 _BASE, _SHINGLE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 

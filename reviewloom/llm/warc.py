@@ -24,7 +24,7 @@ from reviewloom.sources.shared import materialize, new_path
 
 CHUNK = 1 << 18
 RECORD_ID = "urn:x-page:"
-ROLL_BYTES = 256 << 20
+ROLL_BYTES = 64 << 20
 GZIP = 16 + zlib.MAX_WBITS
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -40,8 +40,14 @@ def record_decisions(pages: DataFrame, id_col: str = "page_id", body_col: str =
 
     Of equal payloads of ``least_bytes`` or more, the smallest id is the
     response and the others refer to it. Only (digest, id) pairs are grouped,
-    with partial sums; a digest that a third of all pages share is one row of
-    the join, whose other side can be split.
+    with partial sums. The digests found more than once are written before the
+    join: its sides are then plain exchanges, and adaptive execution can split
+    the rows of a digest that a third of all pages share.
+
+    A NULL body is empty. Rows of one id are pages of their own; equal ones with
+    large payloads are all responses if that id is the smallest, and a row
+    without an id refers to the smallest id that has its payload, if any. Other
+    columns of ``pages`` are ignored, and an empty table gives no rows.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(
@@ -53,6 +59,7 @@ def record_decisions(pages: DataFrame, id_col: str = "page_id", body_col: str =
     )
     large = F.col("payload_bytes") >= least_bytes
     repeated = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = materialize(repeated, "repeated-payloads")
     joined = rows.join(repeated, "digest", "left")
     return joined.select("page_id", "url", "html", "payload_bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -185,7 +192,7 @@ def normalise(archives: DataFrame, folder: str | None = None, level: int = 6) ->
     """Rewrite archives so that each record is a gzip member; returns the offset index, one row for each record.
 
     ``archives`` has a column ``path``. Each file is inflated once, by one
-    task, as gzip allows no other way. Beside each new file lies its own index
+    task, as gzip allows no other way; the tasks are as many as the files. Beside each new file lies its own index
     (``.idx``, tab-separated), so the archive can be used without Spark; the
     same rows are written as a table and returned.
     """
@@ -196,7 +203,8 @@ def normalise(archives: DataFrame, folder: str | None = None, level: int = 6) ->
             for path in batch.column("path").to_pylist():
                 yield from _rewrite(path, folder, level)
 
-    return materialize(archives.select("path").repartition("path").mapInArrow(rewrite, INDEX), "warc-index")
+    dealt = archives.select("path").repartition(max(1, archives.count()), "path")  # a number of its own, which adaptive execution keeps
+    return materialize(dealt.mapInArrow(rewrite, INDEX), "warc-index")
 
 
 def _rewrite(source_path: str, folder: str, level: int) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.chunk_cache import load_tokenizer
+from reviewloom.llm.memory import released
 from reviewloom.sources.shared import materialize
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
+BATCH_BYTES = 2 << 20
 _SPACES = str.maketrans("\t\n\r", "   ")
 #: Letters up to U+024F, then at most one run of marks: two words for the tokenizer, and case does not matter.
 _LETTERS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,;:!?]*)")
@@ -89,13 +92,23 @@ class _Block:
                     "lengths": [len(c) for c in self.codes],
                     "n_words": len(words),
                     "codes": shrink(rank[flat] if len(flat) else flat),
-                    "words": [{"bucket": b, "words": w, "places": shrink(np.diff(np.array(p, "<u4"), prepend=np.uint32(0)))} for b, (w, p) in by_bucket.items()],
+                    "words": [{"bucket": b, "words": packed(w), "places": shrink(np.diff(np.array(p, "<u4"), prepend=np.uint32(0)))} for b, (w, p) in by_bucket.items()],
                 }
             ],
             schema,
         )
 
 
+def packed(words: list[str]) -> bytes:
+    """Words, none of which has a line end, as one compressed text."""
+    plain = "\n".join(words).encode()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def unpacked(words: bytes) -> list[str]:
+    return pa.decompress(words[8:], decompressed_size=int.from_bytes(words[:8], "little"), codec="zstd", asbytes=True).decode().split("\n")
+
+
 def shrink(numbers: np.ndarray) -> bytes:
     """Numbers as byte planes, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -112,13 +125,14 @@ def word_blocks(docs: DataFrame, text_col: str, keep: list[str], buckets: int) -
     """Blocks of documents with numbered words, written before they are returned."""
     kept = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     row = kept.schema["row"].dataType.simpleString()
-    fields = f"block long, rows array<{row}>, lengths array<int>, n_words long, codes binary, words array<struct<bucket:int,words:array<string>,places:binary>>"
+    fields = f"block long, rows array<{row}>, lengths array<int>, n_words long, codes binary, words array<struct<bucket:int,words:binary,places:binary>>"
 
+    @released
     def split(batches):
         block, schema = _Block(), None
         for batch in batches:
             if schema is None:
-                word = pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("places", pa.binary())])
+                word = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("places", pa.binary())])
                 schema = pa.schema(
                     [("block", pa.int64()), ("rows", pa.list_(batch.schema.field("row").type)), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(word))]
                 )
@@ -137,16 +151,18 @@ def encode_words(blocks: DataFrame, tokenizer: str) -> DataFrame:
     """Columns block, lengths, ids (packed, for the words of one bucket of a block), distinct: each distinct word is encoded once."""
     rows = blocks.select("block", F.explode("words").alias("w")).select(F.col("w.bucket").alias("bucket"), "block", F.col("w.words").alias("words"), F.col("w.places").alias("places"))
 
+    @released
     def encode(batches):
         tool, table, at = _tokenizer(tokenizer), {}, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != at:
                     at, table = row["bucket"], {}
-                new = [w for w in row["words"] if w not in table]
-                table.update(zip(new, (x.ids for x in tool.encode_batch_fast(new, add_special_tokens=False))))
-                ids = [table[w] for w in row["words"]]
-                flat = np.array([i for x in ids for i in x], "<u4")
+                words = unpacked(row["words"])
+                new = [w for w in words if w not in table]
+                table.update(zip(new, (array("I", x.ids) for x in tool.encode_batch_fast(new, add_special_tokens=False))))
+                ids = [table[w] for w in words]
+                flat = np.frombuffer(b"".join(ids), "<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["block"]], pa.int64()),
@@ -198,6 +214,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
     kept = docs.select(F.struct(*keep).alias("row")).schema["row"].dataType.simpleString()
     results = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
+    @released
     def assemble(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -222,7 +239,7 @@ def _assembled(block: pa.RecordBatch, digests: bool) -> Iterator[pa.RecordBatch]
     text_of: list[str] = [""] * n_words
     for p, a, b in zip(place.tolist(), starts[:-1].tolist(), starts[1:].tolist()):
         text_of[p] = " ".join(spelled[a:b])
-    rows, at, out = block.column("rows").flatten(), 0, []
+    rows, at, size_now, out = block.column("rows").flatten(), 0, 0, []
     for n in get("lengths"):
         own = codes[at:at + n]
         at += n
@@ -237,9 +254,10 @@ def _assembled(block: pa.RecordBatch, digests: bool) -> Iterator[pa.RecordBatch]
             out.append((total, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         else:
             out.append((total, ids.astype(np.int32), decoded))
-        if len(out) == 500:
-            yield _documents(rows[:500], out, digests)
-            rows, out = rows[500:], []
+            size_now += 4 * total + len(decoded)
+        if len(out) == 500 or size_now > BATCH_BYTES:
+            yield _documents(rows[:len(out)], out, digests)
+            rows, out, size_now = rows[len(out):], [], 0
     if out:
         yield _documents(rows, out, digests)
 

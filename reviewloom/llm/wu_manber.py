@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.memory import released
 from reviewloom.sources.shared import materialize
 
 #: Bytes of words, [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z became a-z.
@@ -130,6 +131,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _item_parts(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """Test strings as plain words, long ones in parts that overlap by a window less one word."""
 
+    @released
     def split(batches):
         for batch in batches:
             out = []
@@ -216,6 +218,7 @@ def _scan(docs: DataFrame, text_col: str, items: list, words: int, keep: list[st
     at = docs.columns.index(text_col)
     span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
+    @released
     def scan(batches):
         patterns = Patterns(broadcast.value, words)
         for batch in batches:

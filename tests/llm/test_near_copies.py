@@ -52,7 +52,10 @@ def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
     near = [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(12)]
     chain = [(200 + i, edited(base, range(0, 12 * i, 2), "c")) for i in range(9)]
     shared = [(300 + i, prose(400 + i, 90, marks=False) + " " + base[:300]) for i in range(10)]
-    rows = cases + near + chain + shared
+    # Copies near the original and not near each other, and families of copies with edits in common.
+    wide = [(400 + i, edited(base, range(i % 5, 380, 37 + i), f"w{i}")) for i in range(14)]
+    family = [(500 + i, edited(edited(base, range(i % 3, 390, 28), f"f{i % 3}"), [5 + 9 * i], "g")) for i in range(15)]
+    rows = cases + near + chain + shared + wide + family
     got = [repr(tuple(r)) for r in near_duplicate_components(docs_of(rows), percent=percent).collect()]
     assert sorted(got) == components_by_hand(rows, 4, percent)
 

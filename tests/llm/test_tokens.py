@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from reviewloom.llm.addressable_codes import NO_ID, Reader, checksums, read_documents, write_token_files
+from reviewloom.llm.addressable_codes import NO_ID, Reader, read_checksums, read_documents, write_token_files
 from reviewloom.llm.files import open_file
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.queries import tokenizer_file
@@ -54,7 +54,7 @@ def test_token_files(docs_of, cases, byte_ids):
         ids = byte_ids(text) + [0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = [tuple(r) for r in checksums(read_documents(files, docs_per_task=3)).collect()]
+    got = [tuple(r) for r in read_checksums(files, docs_per_task=3).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
