@@ -311,16 +311,16 @@ def group_vector_parts(v: str, body: str, terms: int, bigrams: bool, bounds: str
     part(f"gx{v}", [f"gw{v}"], f"SELECT g, d, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM gw{v}")
     pairs = f"UNION ALL SELECT g, d, word || ' ' || nxt FROM (SELECT g, d, word, lead(word) OVER (PARTITION BY d ORDER BY i) AS nxt FROM gx{v}) WHERE nxt IS NOT NULL" if bigrams else ""
     part(f"gt{v}", [f"gx{v}"], f"SELECT g, d, term, count(*) AS tf FROM (SELECT g, d, word AS term FROM gx{v} {pairs}) GROUP BY ALL")
-    part("gn", ["rv"], "SELECT product_id AS g, count(*) AS n FROM rv GROUP BY 1")
-    part(f"gv{v}", [f"gt{v}", "gn"], f"""
+    part("gsize", ["rv"], "SELECT product_id AS g, count(*) AS n FROM rv GROUP BY 1")
+    part(f"gv{v}", [f"gt{v}", "gsize"], f"""
 SELECT g, term, idf, row_number() OVER (PARTITION BY g ORDER BY term) - 1 AS place FROM (
   SELECT g, term, ln((1 + n)::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf
-  FROM (SELECT g, term, sum(tf) AS total, count(*) AS df FROM gt{v} GROUP BY ALL) JOIN gn USING (g) WHERE {bounds}
+  FROM (SELECT g, term, sum(tf) AS total, count(*) AS df FROM gt{v} GROUP BY ALL) JOIN gsize USING (g) WHERE {bounds}
   QUALIFY row_number() OVER (PARTITION BY g ORDER BY total DESC, term) <= {terms})""")
     part(f"gd{v}", [f"gt{v}", f"gv{v}"], f"""
 SELECT g, d, term, place, floor(x / sqrt(sum(x * x) OVER (PARTITION BY d)) * 1000000 + 0.5)::BIGINT AS w
 FROM (SELECT g, d, term, place, tf * idf AS x FROM gt{v} JOIN gv{v} USING (g, term))""")
-    part(f"gk{v}", [f"gv{v}", "gn"], f"SELECT g, n, m FROM gn JOIN (SELECT g, count(*) AS m FROM gv{v} GROUP BY g) USING (g)")
+    part(f"gk{v}", [f"gv{v}", "gsize"], f"SELECT g, n, m FROM gsize JOIN (SELECT g, count(*) AS m FROM gv{v} GROUP BY g) USING (g)")
 
 
 def titled(x: str) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from reviewloom import dictionaries as d
 from reviewloom import lexicon as lx
 from reviewloom.functions.text import SPACE_CHARS, SPACE_CLASS, WORD_BREAK
+from reviewloom.operators.sentiment import HAS_EMOTICON, SPACE
 from reviewloom.sources.driver_tables import COUNTRIES, PHRASES, SHORT_SEQ, TITLES
 
 # Restarts and steps that the twins of the fitted themes state step by step; the operators' defaults go on until nothing moves.
@@ -74,6 +75,8 @@ PARTS: dict[str, tuple[list[str], str]] = {}
 
 
 def part(name: str, needs: list[str], body: str) -> None:
+    if PARTS.setdefault(name, (needs, body)) != (needs, body):
+        raise ValueError(f"two parts {name}")
     PARTS[name] = (needs, body)
 
 
@@ -139,24 +142,48 @@ _lex = ", ".join(f"({text(e.token)}, {e.valence}, {e.polarity}, {e.subjectivity}
 part("lex", [], f"SELECT * FROM (VALUES {_lex}) AS x(token, v, p, s)")
 
 
+_emoticons = words(lx.EMOTICONS)
+part("emo", [], "SELECT * FROM (VALUES " + ", ".join(f"({text(m)}, {v})" for m, v in lx.EMOTICONS.items()) + ") AS x(token, v)")
+part("idi", [], "SELECT * FROM (VALUES " + ", ".join(f"({text(m)}, {len(m.split())}, {v})" for m, v in lx.IDIOMS.items()) + ") AS x(phrase, n, v)")
+
+
 def sentiment_parts(suffix: str, source: str, body: str) -> None:
     """Scores of the texts ``body`` of a part: ``se<suffix>``."""
     before = {k: f"(CASE WHEN i > {k} THEN w[i - {k}] END)" for k in (1, 2, 3)}
     up, down = words(lx.BOOST_UP), words(lx.BOOST_DOWN)
     boost = " + ".join(
-        f"CASE WHEN {before[k]} IN {up} THEN {b} WHEN {before[k]} IN {down} THEN -{b} ELSE 0 END"
-        for k, b in ((1, 2930000), (2, 2783500), (3, 2637000))
+        f"CASE WHEN {before[k]} IN {up} THEN {b} + {loud} * (mixed AND raw[i - {k}] = upper({before[k]}))::INT"
+        f" WHEN {before[k]} IN {down} THEN -{b} + {loud} * (mixed AND raw[i - {k}] = upper({before[k]}))::INT ELSE 0 END"
+        for k, b, loud in ((1, 2930000, 7330000), (2, 2783500, 6963500), (3, 2637000, 6597000))
     )
     negated = " OR ".join(f"coalesce({before[k]} IN {words(lx.NEGATIONS)}, false)" for k in (1, 2, 3))
-    part(f"tl{suffix}", [source], f"SELECT review_id, {body} AS txt, string_split_regex(lower({body}), '{WORD_BREAK}') AS w FROM {source}")
-    part(f"te{suffix}", [f"tl{suffix}"], f"SELECT review_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tl{suffix}")
-    part(f"th{suffix}", [f"te{suffix}", "lex"], f"""
-SELECT review_id, p, s, CASE WHEN neg THEN (base + CASE WHEN base < 0 THEN -boost ELSE boost END) // 100 * -74
-  ELSE base + CASE WHEN base < 0 THEN -boost ELSE boost END END AS v
-FROM (SELECT review_id, p, s, v::BIGINT * 1000000 AS base, {boost} AS boost, {negated} AS neg
-  FROM te{suffix} JOIN lex ON word = token JOIN tl{suffix} USING (review_id))""")
+    part(f"tl{suffix}", [source], f"""
+SELECT *, CASE WHEN regexp_matches(txt, '\\p{{Lu}}\\p{{Lu}}') THEN len(list_filter(raw, lambda x: x <> '' AND NOT (x = upper(x) AND x <> lower(x)))) > 0 ELSE false END AS mixed,
+  coalesce(list_position(w, 'but'), 0) AS contrast
+FROM (SELECT *, list_transform(raw, lambda x: lower(x)) AS w FROM (
+  SELECT review_id, txt, CASE WHEN regexp_matches(txt, {text(HAS_EMOTICON)}) THEN
+      list_filter(flatten(list_transform(string_split_regex(txt, {text(SPACE)}), lambda x: CASE WHEN x IN {_emoticons} THEN [x] ELSE string_split_regex(x, '{WORD_BREAK}') END)), lambda x: x <> '')
+    ELSE string_split_regex(txt, '{WORD_BREAK}') END AS raw FROM (SELECT review_id, {body} AS txt FROM {source})))""")
+    part(f"te{suffix}", [f"tl{suffix}"], f"SELECT review_id, unnest(w) AS word, unnest(raw) AS own, generate_subscripts(w, 1) AS i FROM tl{suffix}")
+    part(f"ti{suffix}", [f"te{suffix}", "idi"], f"""
+SELECT review_id, i, n, v FROM te{suffix} JOIN tl{suffix} USING (review_id) JOIN idi ON split_part(phrase, ' ', 1) = word AND array_to_string(w[i:i + n - 1], ' ') = phrase
+QUALIFY row_number() OVER (PARTITION BY review_id, i ORDER BY n DESC) = 1""")
+    part(f"tj{suffix}", [f"ti{suffix}"], f"""
+SELECT * FROM ti{suffix} x WHERE NOT EXISTS (SELECT 1 FROM ti{suffix} y WHERE y.review_id = x.review_id AND y.i < x.i AND x.i < y.i + y.n)""")
+    part(f"tg{suffix}", [f"te{suffix}", f"tj{suffix}", "lex", "emo"], f"""
+SELECT review_id, i, v * 1000000 + CASE WHEN mixed AND own = upper(word) THEN CASE WHEN v < 0 THEN -7330000 ELSE 7330000 END ELSE 0 END AS base, p, s, true AS word,
+  EXISTS (SELECT 1 FROM tj{suffix} j WHERE j.review_id = te{suffix}.review_id AND j.i <= te{suffix}.i AND te{suffix}.i < j.i + j.n) AS inside
+FROM te{suffix} JOIN lex ON word = token JOIN tl{suffix} USING (review_id)
+UNION ALL SELECT review_id, i, v * 1000000, 0, 0, false, false FROM te{suffix} JOIN emo ON own = token
+UNION ALL SELECT review_id, i, v * 1000000, 0, 0, false, false FROM tj{suffix}""")
+    part(f"th{suffix}", [f"tg{suffix}"], f"""
+SELECT review_id, p, s, word, CASE WHEN inside THEN 0 WHEN contrast = 0 OR i = contrast THEN u WHEN i < contrast THEN u // 2 ELSE u * 3 // 2 END AS v FROM (
+  SELECT review_id, i, p, s, word, inside, contrast, CASE WHEN neg THEN (base + CASE WHEN base < 0 THEN -boost ELSE boost END) // 100 * -74
+    ELSE base + CASE WHEN base < 0 THEN -boost ELSE boost END END AS u
+  FROM (SELECT review_id, i, p, s, word, inside, contrast, base::BIGINT AS base, {boost} AS boost, {negated} AS neg
+    FROM tg{suffix} JOIN tl{suffix} USING (review_id)))""")
     part(f"ts{suffix}", [f"th{suffix}"], f"""
-SELECT l.review_id, len(list_filter(any_value(w), lambda x: x <> '')) AS n, count(v) AS k,
+SELECT l.review_id, len(list_filter(any_value(w), lambda x: x <> '')) AS n, count(v) FILTER (WHERE word) AS k,
   coalesce(sum(v), 0)::BIGINT AS valence, coalesce(sum(p), 0)::BIGINT AS sp, coalesce(sum(s), 0)::BIGINT AS ss,
   coalesce(sum(v) FILTER (WHERE v > 0), 0)::BIGINT AS pos, coalesce(-sum(v) FILTER (WHERE v < 0), 0)::BIGINT AS neg,
   count(v) FILTER (WHERE v > 0) AS np, count(v) FILTER (WHERE v < 0) AS nn,

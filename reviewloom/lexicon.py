@@ -200,6 +200,45 @@ not no never none nobody nothing neither nor nowhere cannot without rarely
 seldom despite t aint arent cant couldnt didnt doesnt dont hadnt hasnt havent
 isnt shouldnt wasnt werent wont wouldnt
 """.split()
+# Phrases that mean something else than their words, and emoticons; valences in tenths.
+IDIOMS = dict(
+    (words.strip(), int(tenths)) for words, tenths in (line.rsplit(None, 1) for line in """
+bad ass 15
+beating heart 31
+blow smoke -20
+break a leg 20
+broken heart -29
+cooking with gas 20
+cut the mustard 20
+hand to mouth -20
+in the black 20
+in the red -20
+kiss of death -15
+on the ball 20
+the bomb 30
+to die for 30
+under the weather -20
+upper hand 10
+yeah right -20
+""".strip().splitlines())
+)
+EMOTICONS = dict(
+    (mark, int(tenths)) for mark, tenths in (line.split() for line in """
+:) 20
+:-) 13
+:( -19
+:-( -15
+:D 23
+:-D 23
+;) 9
+;-) 10
+:'( -22
+:/ -14
+:P 14
+<3 19
+""".strip().splitlines())
+)
+CONTRAST = "but"
 
 
 @dataclass(frozen=True)

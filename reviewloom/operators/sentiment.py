@@ -6,6 +6,7 @@ on the order of rows or on the partitioning.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
@@ -16,7 +17,7 @@ from reviewloom.functions.binding import let
 from reviewloom.functions.rounding import percent, round_exact
 from reviewloom.functions.ratings import rating_sentiment
 from reviewloom.functions.text import WORD_BREAK, analysis_text, sql_words, strip
-from reviewloom.lexicon import BOOST_DOWN, BOOST_UP, NEGATIONS, SEED_LEXICON, Entry
+from reviewloom.lexicon import BOOST_DOWN, BOOST_UP, CONTRAST, EMOTICONS, IDIOMS, NEGATIONS, SEED_LEXICON, Entry
 from reviewloom.operators.ranking import PRODUCT, first_rows
 
 # Published constants of the valence rule, in units of 1e-7.
@@ -24,10 +25,15 @@ UNIT = 10_000_000
 TENTH = UNIT // 10
 BOOST = (2_930_000, 2_783_500, 2_637_000)  # 0.293, damped by 5 % and 10 %
 NEGATION_PERCENT = -74
+CAPITALS = 7_330_000  # for a word in capitals among others that are not
+BOOST_CAPITALS = (7_330_000, 6_963_500, 6_597_000)  # the same for a word that boosts, damped
 MARK_BOOST = 2_920_000  # per exclamation mark, at most four
 QUESTION_BOOST = (1_800_000, 9_600_000)  # each of two or three, all beyond
 NORMALIZER = 15.0
 WORD_BREAK_SQL = WORD_BREAK.replace("\\", "\\\\")
+SPACE = "[ \\t\\n\\r]"
+#: Texts with an emoticon between white space; only these are split at white space first.
+HAS_EMOTICON = f"(?:^|{SPACE})(?:" + "|".join(re.escape(e) for e in EMOTICONS) + f")(?:{SPACE}|$)"
 LABELS = ("positive", "neutral", "negative")
 SCORES = ["compound", "pos_share", "neu_share", "neg_share", "polarity", "subjectivity"]
 
@@ -45,40 +51,86 @@ def _lookup_sql(word: str, groups: dict[int, list[str]], unit: int = 1) -> str:
     return f"CASE {cases} ELSE 0L END"
 
 
-def _hit_sql(lexicon: Sequence[Entry]) -> str:
-    """Struct for the lexicon word at place ``i`` of ``w``: valence, polarity, subjectivity.
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _context_sql(place: str, base: str, lexicon: Sequence[Entry]) -> str:
+    """Valence at a place from its own one: words before it boost, damp or negate, and it counts by its side of the contrast.
 
-    The three words before it may boost, damp or negate the valence; a word of
-    the lexicon itself does not boost.  Written as SQL text because a lexicon
-    holds many literals.
+    The three words before it may boost, damp or negate; a word of the lexicon
+    itself does not boost. Before the first contrast word valences count half,
+    after it one and a half times.
     """
     tokens = {e.token for e in lexicon}
     up = sql_words([w for w in BOOST_UP if w not in tokens])
     down = sql_words([w for w in BOOST_DOWN if w not in tokens])
+    near = [f"get(t.w, {place} - {d})" for d in (1, 2, 3)]
     boosts = " + ".join(
-        f"CASE WHEN get(w, i - {d}) IN {up} THEN {BOOST[d - 1]}L WHEN get(w, i - {d}) IN {down} THEN -{BOOST[d - 1]}L ELSE 0L END"
-        for d in (1, 2, 3)
+        f"CASE WHEN {word} IN {up} OR {word} IN {down} THEN CASE WHEN {word} IN {up} THEN {size}L ELSE -{size}L END"
+        f" + CASE WHEN t.mixed AND get(t.raw, {place} - {d}) = upper({word}) THEN {capitals}L ELSE 0L END ELSE 0L END"
+        for d, word, size, capitals in zip((1, 2, 3), near, BOOST, BOOST_CAPITALS)
     )
-    negated = " OR ".join(f"get(w, i - {d}) IN {sql_words(NEGATIONS)}" for d in (1, 2, 3))
-    parts = f"""named_struct(
-        'base', {_lookup_sql("get(w, i)", _by_value(lexicon, "valence"), TENTH)},
-        'boost', {boosts},
-        'negated', coalesce({negated}, false))"""
+    negated = " OR ".join(f"{word} IN {sql_words(NEGATIONS)}" for word in near)
+    parts = f"named_struct('base', {base}, 'boost', {boosts}, 'negated', coalesce({negated}, false))"
     boosted = "(h.base + CASE WHEN h.base < 0 THEN -h.boost ELSE h.boost END)"
     valence = f"CASE WHEN h.negated THEN ({boosted} div 100) * {NEGATION_PERCENT}L ELSE {boosted} END"
+    return f"""get(transform(transform(array({parts}), h -> {valence}), v ->
+        CASE WHEN t.contrast = 0 OR {place} + 1 = t.contrast THEN v WHEN {place} + 1 < t.contrast THEN v div 2 ELSE v * 3 div 2 END), 0)"""
+
+
+def _hit_sql(lexicon: Sequence[Entry]) -> str:
+    """Struct for the lexicon word or emoticon at place ``i``: valence, polarity, subjectivity, whether it is a word.
+
+    Written as SQL text because a lexicon holds many literals. A word within an
+    idiom has no valence of its own.
+    """
+    word = _lookup_sql("get(t.w, i)", _by_value(lexicon, "valence"), TENTH)
+    marks = defaultdict(list)
+    for mark, tenths in EMOTICONS.items():
+        marks[tenths].append(mark)
+    base = f"CASE WHEN get(t.raw, i) IN {sql_words(EMOTICONS)} THEN {_lookup_sql('get(t.raw, i)', marks, TENTH)} ELSE {word} END"
+    loud = f"t.mixed AND get(t.raw, i) = upper(get(t.w, i)) AND get(t.raw, i) NOT IN {sql_words(EMOTICONS)}"
+    capitals = f"get(transform(array({base}), b -> b + CASE WHEN {loud} THEN CASE WHEN b < 0 THEN -{CAPITALS}L ELSE {CAPITALS}L END ELSE 0L END), 0)"
     return f"""named_struct(
-        'v', get(transform(array({parts}), h -> {valence}), 0),
-        'p', {_lookup_sql("get(w, i)", _by_value(lexicon, "polarity"))},
-        's', {_lookup_sql("get(w, i)", _by_value(lexicon, "subjectivity"))})"""
+        'v', CASE WHEN exists(t.idioms, x -> x.i <= i AND i < x.i + x.n) THEN 0L ELSE {_context_sql('i', capitals, lexicon)} END,
+        'p', {_lookup_sql("get(t.w, i)", _by_value(lexicon, "polarity"))},
+        's', {_lookup_sql("get(t.w, i)", _by_value(lexicon, "subjectivity"))},
+        'word', get(t.raw, i) NOT IN {sql_words(EMOTICONS)})"""
+
+
+def _idiom_sql() -> str:
+    """Idioms of ``w`` as (i, n, tenths): at each place the longest, and none that begins inside an earlier one."""
+    by_length: dict[int, list[str]] = defaultdict(list)
+    for phrase in IDIOMS:
+        by_length[len(phrase.split())].append(phrase)
+    joined = {n: f"concat_ws(' ', slice(w, i + 1, {n}))" for n in by_length}
+    cases = " ".join(f"WHEN {joined[n]} IN {sql_words(by_length[n])} THEN {n}" for n in sorted(by_length, reverse=True))
+    first = sql_words(sorted({p.split()[0] for p in IDIOMS}))
+    values = " ".join(f"WHEN {_sql_text(p)} THEN {v}L" for p, v in IDIOMS.items())
+    met = f"filter(transform(filter(sequence(0, size(w) - 1), i -> get(w, i) IN {first}), i -> named_struct('i', i, 'n', CASE {cases} ELSE 0 END)), x -> x.n > 0)"
+    free = "filter(m, x -> NOT exists(m, y -> y.i < x.i AND x.i < y.i + y.n))"
+    return f"get(transform(array({met}), m -> transform({free}, x -> named_struct('i', x.i, 'n', x.n, 'v', CASE concat_ws(' ', slice(w, x.i + 1, x.n)) {values} ELSE 0L END))), 0)"
 
 
 def _hits(text: str, lexicon: Sequence[Entry]) -> Column:
-    """Scored lexicon words of a text column, and its number of words."""
-    found = f"filter(sequence(0, size(w) - 1), i -> get(w, i) IN {sql_words([e.token for e in lexicon])})"
+    """Scored words, emoticons and idioms of a text column, and its number of words.
+
+    Words keep their case beside the lower one. ``mixed``: some word is not in
+    capitals, so that those which are stand out.
+    """
+    words = f"split({text}, '{WORD_BREAK_SQL}')"
+    marked = f"filter(flatten(transform(split({text}, {_sql_text(SPACE)}), x -> CASE WHEN x IN {sql_words(EMOTICONS)} THEN array(x) ELSE split(x, '{WORD_BREAK_SQL}') END)), x -> x <> '')"
+    raw = f"CASE WHEN {text} RLIKE {_sql_text(HAS_EMOTICON)} THEN {marked} ELSE {words} END"
+    mixed = f"CASE WHEN {text} RLIKE '\\\\p{{Lu}}\\\\p{{Lu}}' THEN exists(raw, x -> x <> '' AND NOT (x = upper(x) AND x <> lower(x))) ELSE false END"
+    bound = f"""named_struct('raw', raw, 'w', w, 'mixed', {mixed}, 'contrast', array_position(w, '{CONTRAST}'), 'idioms', {_idiom_sql()})"""
+    found = f"filter(sequence(0, size(t.w) - 1), i -> get(t.w, i) IN {sql_words([e.token for e in lexicon])} OR get(t.raw, i) IN {sql_words(EMOTICONS)})"
+    idioms = f"transform(t.idioms, x -> named_struct('v', {_context_sql('x.i', f'x.v * {TENTH}L', lexicon)}, 'p', 0L, 's', 0L, 'word', false))"
     scored = f"""named_struct(
-        'hits', transform({found}, i -> {_hit_sql(lexicon)}),
-        'words', size(filter(w, x -> x <> '')))"""
-    return F.expr(f"get(transform(array(split(lower({text}), '{WORD_BREAK_SQL}')), w -> {scored}), 0)")
+        'hits', concat(transform({found}, i -> {_hit_sql(lexicon)}), {idioms}),
+        'words', size(filter(t.w, x -> x <> '')))"""
+    lowered = f"transform(array(transform(raw, x -> lower(x))), w -> {bound})"
+    return F.expr(f"get(transform(flatten(transform(array({raw}), raw -> {lowered})), t -> {scored}), 0)")
 
 
 def _mark_emphasis(text: Column) -> Column:
@@ -104,7 +156,9 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """Add compound, positive/neutral/negative shares, polarity and subjectivity.
 
-    Everything is computed inside the row: no explode and no shuffle.
+    Everything is computed inside the row: no explode and no shuffle. Words
+    are looked up in lower case; capitals among other words, boosting and negating
+    words before, the side of a contrast, idioms and emoticons change a valence.
     ``valence`` keeps the exact sum before emphasis for group scores.
     """
     source = analysis_text(form) if text is None else text
@@ -122,7 +176,7 @@ def lexicon_sentiment(
 
     sums = base.select(
         *reviews.columns, "__e",
-        F.col("__h.words").alias("__n"), F.size("__h.hits").alias("__k"),
+        F.col("__h.words").alias("__n"), F.size(F.filter(F.col("__h.hits"), lambda h: h["word"])).alias("__k"),
         total("v").alias("valence"), total("p").alias("__p"), total("s").alias("__s"),
         total("v", lambda v: v > 0).alias("__pos"), total("v", lambda v: v < 0).alias("__neg"),
         count(lambda v: v > 0).alias("__npos"), count(lambda v: v < 0).alias("__nneg"),

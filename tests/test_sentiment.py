@@ -10,25 +10,52 @@ from reviewloom.operators import emotions, sentiment
 LEX = {e.token: e for e in lx.SEED_LEXICON}
 
 
+def tokens(text):
+    """Words as they are written, emoticons between white space whole."""
+    out = []
+    for chunk in re.split(r"[ \t\n\r]", text):
+        out += [chunk] if chunk in lx.EMOTICONS else re.split(r"[\W]+", chunk)
+    return [x for x in out if x]
+
+
 def brute(text):
     """The valence rule, word by word."""
-    words = re.split(r"[\W]+", text.lower())
-    total, hits = 0, []
-    for i, w in enumerate(words):
-        if w not in LEX:
-            continue
-        v = LEX[w].valence * 1_000_000
+    raw = tokens(text)
+    words = [w.lower() for w in raw]
+    capital = [w == w.upper() and w != w.lower() for w in raw]
+    mixed = not all(capital)
+    contrast = words.index("but") if "but" in words else None
+    idioms, total, hits = [], 0, []
+    for i in range(len(words)):
+        fit = [p for p in lx.IDIOMS if words[i:i + len(p.split())] == p.split()]
+        if fit:
+            best = max(fit, key=len)
+            idioms.append((i, len(best.split()), lx.IDIOMS[best]))
+    idioms = [x for x in idioms if not any(y[0] < x[0] < y[0] + y[1] for y in idioms)]
+
+    def context(i, v):
         boost, negated = 0, False
-        for d, size in ((1, 2_930_000), (2, 2_783_500), (3, 2_637_000)):
+        for d, size, loud in ((1, 2_930_000, 7_330_000), (2, 2_783_500, 6_963_500), (3, 2_637_000, 6_597_000)):
             if i - d >= 0:
                 before = words[i - d]
-                boost += size if before in lx.BOOST_UP else -size if before in lx.BOOST_DOWN else 0
+                if before in lx.BOOST_UP or before in lx.BOOST_DOWN:
+                    boost += (size if before in lx.BOOST_UP else -size) + (loud if capital[i - d] and mixed else 0)
                 negated |= before in lx.NEGATIONS
         v += boost if v >= 0 else -boost
         if negated:
             v = v // 100 * -74
-        hits.append((v, LEX[w].polarity, LEX[w].subjectivity))
-        total += v
+        return v if contrast is None or i == contrast else v // 2 if i < contrast else v * 3 // 2
+
+    for i, w in enumerate(words):
+        if raw[i] in lx.EMOTICONS or w in LEX:
+            v = (lx.EMOTICONS[raw[i]] if raw[i] in lx.EMOTICONS else LEX[w].valence) * 1_000_000
+            if raw[i] not in lx.EMOTICONS and capital[i] and mixed:
+                v += 7_330_000 if v >= 0 else -7_330_000
+            v = 0 if any(x <= i < x + n for x, n, _ in idioms) else context(i, v)
+            total += v
+            if raw[i] not in lx.EMOTICONS:
+                hits.append((v, LEX[w].polarity, LEX[w].subjectivity))
+    total += sum(context(i, v * 1_000_000) for i, _, v in idioms)
     marks, asks = min(text.count("!"), 4) * 2_920_000, text.count("?")
     extra = marks + (0 if asks <= 1 else asks * 1_800_000 if asks <= 3 else 9_600_000)
     full = total + (extra if total > 0 else -extra if total < 0 else 0)
@@ -40,7 +67,19 @@ def brute(text):
 TEXTS = [
     "Good", "not good", "very good!", "It is not a very good thing, really terrible!!!", "slightly bad, isn't great", "",
     "No love. no hate? why??? what", "absolutely love love love!!!!!!", "plain text without any marks", "¡très good! 数据 awful",
+    "great but terrible", "I love it, but it broke. But good", "this is GREAT", "GREAT STUFF", "VERY good and SLIGHTLY bad", "NOT good", "É GOOD é",
+    "the food is to die for", "not the bomb", "he is bad ass, in the red", "under the weather :( but on the ball :)", "nice :D", ":) :) fine", "a :/b <3", "12 GOOD 3",
 ]
+#: Valence in units of 1e-7 by hand: contrast, capitals, boosting capitals, idiom, negated idiom, emoticon.
+GOLDEN = {
+    "but awful": -37_500_000, "good but nice": 9_500_000 + 27_000_000, "GOOD one": 26_330_000, "GOOD": 19_000_000,
+    "VERY good": 19_000_000 + 10_260_000, "to die for": 30_000_000, "never to die for": -22_200_000, "shelf :)": 20_000_000, "shelf:)": 0,
+}
+
+
+def test_each_rule_of_the_valence(make):
+    out = sentiment.lexicon_sentiment(make(*[{"body": t} for t in GOLDEN]), "body").orderBy("seq").collect()
+    assert [r.valence for r in out] == list(GOLDEN.values())
 
 
 def test_scores_agree_with_brute_force(make):
