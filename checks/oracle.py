@@ -473,14 +473,22 @@ _blame = (
 )
 _none = lambda i, expr: f"CASE WHEN analyzed = 0 THEN {text(_dt['empty'][i])} ELSE {expr} END"
 _an_emotions = ", ".join(corpus_emotion(e, mean_nano("sp", "analyzed"), "analyzed") + f" AS {e}" for e in _default)
-twin("analysis_document", f"""
+_document = f"""
 SELECT product_id, total_reviews, average_rating, stars_5, stars_1, positive, neutral, negative, bot_count, bot_percentage, suspicious_count,
   {_an_emotions}, k.keywords,
   coalesce(array_to_string(list_transform(th, lambda t: t.theme || '/' || t.mentions || '/' || t.sentiment), ','), '') AS themes,
   {', '.join(f"coalesce((SELECT ids FROM smp WHERE smp.product_id = an.product_id AND sentiment = '{x}'), '') AS {x}_samples" for x in LABELS)},
   array_to_string({_default_lines}, ' | ') AS insights, {_none(0, _overall)} AS overall
-FROM an LEFT JOIN (SELECT product_id, string_agg(word || ':' || frequency, ',' ORDER BY rank) AS keywords FROM kr_ok GROUP BY 1) k USING (product_id)""",
-     "an", "kr_ok", "smp")
+FROM an LEFT JOIN (SELECT product_id, string_agg(word || ':' || frequency, ',' ORDER BY rank) AS keywords FROM kr_ok GROUP BY 1) k USING (product_id)"""
+twin("analysis_document", _document, "an", "kr_ok", "smp")
+part("prod", ["rv"], f"""
+SELECT {_item}, 'Product ' || product_id || ' ' || seq AS product_title FROM rv WHERE seq % 3 = 1 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq) = 1""")
+part("smpt", ["ok"], """
+SELECT product_id, string_agg(title || ': ' || body, '|' ORDER BY seq) AS texts FROM (
+  SELECT * FROM ok WHERE sentiment = 'positive' QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq) <= 3) GROUP BY ALL""")
+twin("analysis_document_products", f"""
+SELECT d.*, product_title, brand, price, image, md5(coalesce(texts, '')) AS sample_texts FROM ({_document}) d LEFT JOIN prod USING (product_id) LEFT JOIN smpt USING (product_id)""",
+     "an", "kr_ok", "smp", "prod", "smpt")
 # the capped form scores only the first thirty reviews of a product
 part("rv30", ["rv"], "SELECT * FROM rv QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY seq) <= 30")
 part("bd30", ["bs", "rv30"], """
@@ -691,18 +699,21 @@ LEFT JOIN (SELECT product_id, string_agg(theme, ',' ORDER BY rank) AS themes FRO
 
 # ------------------------------------------------------------------ report
 _rows = [
-    ("ASIN", "product_id"), ("Product Title", "'N/A'"), ("Brand", "'N/A'"), ("Total Reviews", "total_reviews"), ("Average Rating", "average_rating"),
+    ("ASIN", "product_id"), ("Product Title", "coalesce(product_title, 'N/A')"), ("Brand", "coalesce(brand, 'N/A')"), ("Total Reviews", "total_reviews"), ("Average Rating", "average_rating"),
     ("Country", "'US'"), ("Data Source", "'unknown'"), ("AI Provider", "'N/A'"), ("", "''"), ("Sentiment Analysis", "''"), ("Positive Reviews", "positive"),
     ("Neutral Reviews", "neutral"), ("Negative Reviews", "negative"), ("Positive %", f"{fixed(SPOS)} || '%'"), ("", "''"), ("Bot Detection", "''"),
     ("Total Reviews Analyzed", "total_reviews"), ("Genuine Reviews", "total_reviews - bot_count"), ("Bot Reviews Filtered", "bot_count"),
     ("Bot Percentage", "bot_percentage::VARCHAR || '%'"),
 ]
-twin("report_summary_section", " UNION ALL ".join(
-    f"SELECT product_id, {i} AS ordinal, {text(m)} AS metric, ({v})::VARCHAR AS value FROM an" + (f" WHERE {_all} > 0" if m == "Positive %" else "") for i, (m, v) in enumerate(_rows)
-), "an")
+_summary_rows = " UNION ALL ".join(
+    f"SELECT product_id, {i} AS ordinal, {text(m)} AS metric, ({v})::VARCHAR AS value FROM an LEFT JOIN prod USING (product_id)" + (f" WHERE {_all} > 0" if m == "Positive %" else "")
+    for i, (m, v) in enumerate(_rows)
+)
+twin("report_summary_section", _summary_rows, "an", "prod")
 twin("report_keywords", "SELECT product_id, rank::INT AS rank, word, frequency FROM kr_ok", "kr_ok")
 twin("report_themes", "SELECT product_id, rank::INT AS rank, theme, mentions, sentiment FROM tr_ok", "tr_ok")
-twin("report_insights", f"SELECT product_id, unnest(l) AS insight, (generate_subscripts(l, 1) - 1)::INT AS position FROM (SELECT product_id, {_default_lines} AS l FROM an)", "an")
+_insight_rows = f"SELECT product_id, unnest(l) AS insight, (generate_subscripts(l, 1) - 1)::INT AS position FROM (SELECT product_id, {_default_lines} AS l FROM an)"
+twin("report_insights", _insight_rows, "an")
 twin("report_rating_section", " UNION ALL ".join(f"SELECT product_id, '{s} Star' AS rating, stars_{s} AS count FROM rc" for s in STARS), "rc")
 twin("report_reviews_section", """
 SELECT product_id, title, body AS text, rating, author, review_date AS date, sentiment, verified, bot_score FROM sl
@@ -711,9 +722,18 @@ _pdf = [f"SELECT product_id, 'sentiment' AS section, '{x.title()}' AS name, {x}
 _pdf += [f"SELECT product_id, 'bots', {text(m)}, ({v})::VARCHAR FROM an WHERE bot_count > 0" for m, v in _rows[16:]]
 _pdf += ["SELECT product_id, 'themes', theme, mentions || ' ' || upper(sentiment[1]) || sentiment[2:] FROM tr_ok"]
 _pdf += [f"SELECT product_id, 'ratings', '{s} Star', stars_{s}::VARCHAR FROM an" for s in STARS]
-twin("report_pdf_sections", " UNION ALL ".join(_pdf), "an", "tr_ok")
-twin("write_report", """
-SELECT product_id, keyword_total, total_reviews AS rating_total FROM an JOIN (SELECT product_id, sum(frequency)::BIGINT AS keyword_total FROM kr_ok GROUP BY 1) USING (product_id)""", "an", "kr_ok")
+_pdf += ["SELECT product_id, 'keywords', word, rank || ' ' || frequency FROM kr_ok WHERE rank <= 15", f"SELECT product_id, 'insights', position::VARCHAR, insight FROM ({_insight_rows})"]
+twin("report_pdf_sections", " UNION ALL ".join(_pdf), "an", "tr_ok", "kr_ok")
+_star_rows = " UNION ALL ".join(f"SELECT product_id, '{s} Star' AS rating, stars_{s} AS count FROM an" for s in STARS)
+_read_back = [
+    ("summary", "metric || ':' || coalesce(value, '')", "ordinal", _summary_rows), ("keywords", "word || ':' || frequency", "rank", "SELECT * FROM kr_ok"),
+    ("themes", "theme || ':' || mentions || ':' || sentiment", "rank", "SELECT * FROM tr_ok"), ("insights", "insight", "position", _insight_rows),
+    ("ratings", "rating || ':' || count", "rating", _star_rows),
+]
+twin("write_report", " UNION ALL ".join(
+    f"SELECT product_id, '{section}' AS section, count(*) AS n, md5(string_agg({line}, '|' ORDER BY {order})) AS digest FROM ({rows}) GROUP BY product_id"
+    for section, line, order, rows in _read_back
+) + " UNION ALL SELECT product_id, 'reviews', count(*), md5('') FROM rv GROUP BY product_id", "an", "prod", "kr_ok", "tr_ok")
 
 # ------------------------------------------------------------------ streams
 # a day is closed once the latest snapshot is a day past its end

@@ -674,6 +674,17 @@ def analysis_document(spark, sf):
     return flat_document(document(spark, sf))
 
 
+def products(spark, sf):
+    return items.product_info(dt.raw_items_from_documents(spark, sf), "live")
+
+
+@register
+def analysis_document_products(spark, sf):
+    doc = document(spark, sf, products=products(spark, sf))
+    texts = F.transform("review_samples.positive", lambda r: F.concat_ws(": ", r["title"], r["body"]))
+    return flat_document(doc).join(doc.select(P, "product_title", "brand", "price", "image", F.md5(F.array_join(texts, "|").cast("binary")).alias("sample_texts")), P)
+
+
 @register
 def analysis_document_capped(spark, sf):
     doc = document(spark, sf, limit=30, with_samples=False)
@@ -912,7 +923,7 @@ def summary_dashboard(spark, sf):
 # ---------------------------------------------------------------- report
 @register
 def report_summary_section(spark, sf):
-    return report.report_summary_section(analyzed(spark, sf))
+    return report.report_summary_section(document(spark, sf, with_samples=False, products=products(spark, sf)))
 
 
 @register
@@ -949,6 +960,8 @@ def report_pdf_sections(spark, sf):
         tables["bots"].select(P, F.lit("bots").alias("section"), F.col("metric").alias("name"), "value"),
         tables["themes"].select(P, F.lit("themes").alias("section"), F.col("theme").alias("name"), F.concat_ws(" ", F.col("mentions").cast("string"), "sentiment").alias("value")),
         tables["ratings"].select(P, F.lit("ratings").alias("section"), F.col("rating").alias("name"), F.col("count").cast("string").alias("value")),
+        tables["keywords"].select(P, F.lit("keywords").alias("section"), F.col("word").alias("name"), F.concat_ws(" ", F.col("rank").cast("string"), F.col("frequency").cast("string")).alias("value")),
+        tables["insights"].select(P, F.lit("insights").alias("section"), F.col("position").cast("string").alias("name"), F.col("insight").alias("value")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -958,16 +971,18 @@ def report_pdf_sections(spark, sf):
 
 @register
 def write_report(spark, sf):
-    """Write the sections and read two of them back."""
-    doc = analyzed(spark, sf)
-    paths = report.write_report(
-        {"keywords": report.report_keywords(doc), "ratings": report.report_rating_section(doc)}, new_path(spark, "report"), AS_OF, "csv"
-    )
-    words = spark.read.schema("product_id string, rank int, word string, frequency bigint").option("header", True).csv(paths["keywords"])
-    stars = spark.read.schema("product_id string, rating string, count bigint").option("header", True).csv(paths["ratings"])
-    return words.groupBy(P).agg(F.sum("frequency").alias("keyword_total")).join(
-        stars.groupBy(P).agg(F.sum("count").alias("rating_total")), P
-    )
+    """Write all six sections and read them back: rows, and a digest of each small section's content by product."""
+    rows = bots.bot_score(scored(spark, sf))
+    paths = report.write_whole_report(document(spark, sf, with_samples=False, products=products(spark, sf)), rows, new_path(spark, "report"), AS_OF, "parquet")
+    out = None
+    for section, order in (("summary", "ordinal"), ("keywords", "rank"), ("themes", "rank"), ("insights", "position"), ("ratings", "rating"), ("reviews", None)):
+        table = spark.read.parquet(paths[section])
+        columns = [c for c in ("metric", "value", "word", "frequency", "theme", "mentions", "sentiment", "insight", "rating", "count") if c in table.columns]
+        line = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"]), "|") if order else F.lit("")
+        read = table.groupBy(P).agg(F.lit(section).alias("section"), F.count("*").alias("n"), F.md5(lines.cast("binary")).alias("digest"))
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 # ---------------------------------------------------------------- streams

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.ratings import STARS
 from reviewloom.functions.rounding import fixed, percent, plain
 from reviewloom.operators.ranking import PRODUCT
+from reviewloom.sources.shared import materialize
 
 # Columns of the review sheet and size of the tables.
 REVIEW_COLUMNS = ["title", "text", "rating", "author", "date", "sentiment", "verified", "bot_score"]
@@ -137,19 +138,27 @@ def report_name(product: str, at: datetime) -> str:
 
 
 def write_report(
-    sections: Mapping[str, DataFrame], folder: str, at: datetime, kind: str = "csv", product: str = "all",
+    sections: Mapping[str, DataFrame], folder: str, at: datetime, kind: str = "csv", product: str = "all", keys: Sequence[str] = PRODUCT,
 ) -> dict[str, str]:
     """One table per section below ``<folder>/<name>``; rows of a product stay together.
 
-    The small sections are clustered by product, the review section keeps its
+    The small sections are clustered by ``keys``, the review section keeps its
     own partitioning.
     """
     base = f"{folder.rstrip('/')}/{report_name(product, at)}"
     paths = {}
     for name, table in sections.items():
         path = f"{base}/{name}"
-        writer = table if name == "reviews" else table.repartition("product_id").sortWithinPartitions("product_id")
+        writer = table if name == "reviews" else table.repartition(*keys).sortWithinPartitions(*keys)
         target = writer.write.mode("overwrite")
         (target.option("header", True) if kind == "csv" else target).format(kind).save(path)
         paths[name] = path
     return paths
+
+
+def write_whole_report(
+    analysis: DataFrame, reviews: DataFrame, folder: str, at: datetime, kind: str = "csv", product: str = "all", keys: Sequence[str] = PRODUCT,
+) -> dict[str, str]:
+    """All six sections of one analysis, which is computed and written once; the sections are read from it."""
+    document = materialize(analysis, "document")
+    return write_report(report_sections(document, reviews, keys), folder, at, kind, product, keys)

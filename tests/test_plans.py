@@ -120,3 +120,35 @@ def test_a_missing_product_is_a_group(make):
 
     df = make({"product_id": None, "body": "nothing here"}, {"product_id": None, "body": "nor here"})
     assert themes.pattern_theme_members(df).count() == 2
+
+
+def test_written_scores_have_no_texts(small_reviews):
+    from reviewloom.plans.analysis import score_table
+
+    table = score_table(small_reviews)
+    assert not {"title", "body", "author", "images", "variant", "__low", "__t"} & set(table.columns)
+    assert {"review_id", "rating", "sentiment", "compound", "is_bot_likely", "theme_0"} <= set(table.columns)
+
+
+def test_samples_have_the_texts_of_their_reviews(make):
+    from reviewloom.plans.analysis import sample_texts, score_table
+
+    rows = [{"body": f"good thing {i}", "title": f"t{i}", "verified": True} for i in range(9)] + [{"body": "awful thing", "title": "bad", "product_id": None}]
+    reviews = make(*rows)
+    got = sample_texts(reviews, score_table(reviews, filter_bots=False)).orderBy("seq").collect()
+    assert [(r.product_id, r.sentiment, r.title, r.body) for r in got] == [("P", "positive", f"t{i}", f"good thing {i}") for i in range(3)] + [(None, "negative", "bad", "awful thing")]
+
+
+def test_report_reads_one_document(spark, make, tmp_path):
+    from datetime import datetime
+
+    from reviewloom.operators import report
+    from reviewloom.plans.analysis import analysis_document
+    from reviewloom.operators.sentiment import score_sentiment
+
+    reviews = make(*[{"body": f"great price {i}", "product_id": "AB"[i % 2], "author": f"Person {i}"} for i in range(8)])
+    doc = analysis_document(reviews, with_samples=False)
+    paths = report.write_whole_report(doc, score_sentiment(reviews), str(tmp_path), datetime(2024, 1, 2), "parquet", keys=("product_id",))
+    assert list(paths) == ["summary", "keywords", "themes", "insights", "ratings", "reviews"]
+    for path in paths.values():
+        assert {r.product_id for r in spark.read.parquet(path).select("product_id").collect()} == {"A", "B"}
