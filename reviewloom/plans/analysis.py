@@ -78,6 +78,7 @@ def analysis_document(
     filter_bots: bool = True,
     top_n: int = 15,
     with_samples: bool = True,
+    write_once: bool = True,
     lexicon: Sequence[Entry] = SEED_LEXICON,
     keys: Sequence[str] = PRODUCT,
     products: DataFrame | None = None,
@@ -90,7 +91,9 @@ def analysis_document(
     product_title, brand, price and image; a product that it lacks has none.
     """
     chosen = reviews if limit is None else max_reviews(reviews, limit, keys)
-    scores = materialize(score_table(chosen, filter_bots, lexicon, keys), "scores")
+    scores = score_table(chosen, filter_bots, lexicon, keys)
+    if write_once:
+        scores = materialize(scores, "scores")
     sums = product_aggregates(scores, keys)
     if limit is not None:
         stars = [c for c in ("total_reviews", "average_rating", *[f"stars_{s}" for s in ratings.STARS])]
