@@ -21,16 +21,21 @@ tokens follow by hash. Any order is right, as long as it is the same for all;
 this one needs the frequencies of a fifth of the tokens only.
 
 Equal sets are one node. An index entry with few nodes gives all its pairs. The
-nodes of a crowded entry are compared with one leader only, which joins a group
-of near copies with as many comparisons as it has members. A node x that does
-not link with the leader L may still link with another member y, and is looked
-for by what sets it apart: the difference D(x) of x and L, all tokens that
-one of the two has and the other lacks. If x and y link, D(x) and D(y) have a token
-in common, for else x would be at least as far from y as from L. And x and y differ
-in at most ``spread(n)`` tokens, and so do D(x) and D(y), so that their smallest
-common token is among the first ``spread(n) + 1`` of each. These tokens are the
-entries of the next level. What a crowd has in common is in no difference, so
-its next entries are small; crowded ones among them get a leader in turn.
+nodes of crowded entries are looked at from a center M, a set of tokens that
+most of some of them have. D(x) is the difference of x and M: B(x) of its tokens
+M lacks, A(x) of M's tokens it lacks. For two linked nodes there are two cases.
+
+Their differences have no token in common. Then their similarity follows from
+their A and B alone, and it only grows if one of them is replaced by a node with
+no larger A and B. So both link with nodes of the front (those that no other node
+of the crowd undercuts in A and B), and these link with each other: comparing all
+nodes with the front, as far as A and B allow a link, joins their component.
+
+Their differences have a token in common. They differ in at most ``spread(n)``
+tokens, so their first common one is among the first ``spread(n) + 1`` of each
+difference, in any order that all share. These tokens are the entries of the next
+level. What most of a crowd has or lacks is in few differences, so an entry has
+about half of the crowd at most; crowded ones become crowds in turn.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.bit_table import bit_table, told
@@ -53,7 +58,8 @@ from reviewloom.sources.shared import materialize
 SAMPLED = np.uint64(int(0.2 * 2**64))
 FREQUENT = 16
 FEW_NODES = 16
-LEVELS = 12
+LEVELS = 24
+CENTER_NODES = 49
 SMALL_BAND = 6
 CLASS_TOKENS = 3
 SETS_KEPT_BYTES = 32 << 20
@@ -224,61 +230,100 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return materialize(joined.mapInArrow(verify, "a long, b long, link boolean, distance double"), "verified")
 
 
-def _led(many: DataFrame) -> DataFrame:
-    """Columns leader, node, n: crowded entries (key, node, n) with one leader are one crowd; written.
+def _crowds(many: DataFrame, before: int | None) -> DataFrame:
+    """Columns crowd, node, n: crowded entries (key, node, n) whose node with most such entries is the same are one crowd; written.
 
-    The node with most crowded entries leads: copies close to the original
-    share more than distant ones.
+    Where that gives hardly fewer rows than the level before, which had
+    ``before``, the same crowds have come together again: every entry is then a
+    crowd of its own, and has about half of the nodes in the next level.
     """
     many = materialize(many.select("key", "node", "n"), "crowded")
     weight = materialize(many.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "weights")
-    first = many.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
-    return materialize(many.join(materialize(first, "leaders"), "key").where("node <> leader").select("leader", "node", "n").distinct(), "crowds")
+    first = many.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("crowd"))
+    crowds = materialize(many.join(materialize(first, "crowd-names"), "key").select("crowd", "node", "n").distinct(), "crowds")
+    if before is not None and crowds.count() * 4 > before * 3:
+        return many.select(F.col("key").alias("crowd"), "node", "n")
+    return crowds
 
 
-def _stars(crowds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Columns leader, node, n, link, low (the first tokens of the difference from the leader) for every member of a crowd; written."""
-    joined = crowds.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_a")), "leader")
-    joined = joined.join(texts.select("node", F.col("text").alias("text_b")), "node")
+def _centers(crowds: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Columns crowd, center: the sorted tokens that most of ``CENTER_NODES`` nodes of each crowd have; written.
+
+    Any center gives right results; a good one makes small differences.
+    """
+    order = Window.partitionBy("crowd").orderBy(F.xxhash64("node", "crowd"))
+    some = crowds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTER_NODES).select("crowd", "node")
+    rows = materialize(some, "center-nodes").join(texts.select("node", "text"), "node").repartition("crowd").sortWithinPartitions("crowd", "node")
+
+    def center(held: list[np.ndarray]) -> bytes:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        return tokens[2 * counts > len(held)].tobytes()
 
     @released
-    def compare(batches):
-        known: dict[int, np.ndarray] = {}
+    def vote(batches):
+        at, held, size = None, [], 0
         for batch in batches:
-            links, low = [], []
-            for leader, text_a, text_b in zip(batch.column("leader").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if leader not in known:
-                    if sum(own.nbytes for own in known.values()) > SETS_KEPT_BYTES:
-                        known.clear()
-                    known[leader] = shingle_hashes(word_hashes(zlib.decompress(text_a.as_buffer())), words)
-                x, y = known[leader], shingle_hashes(word_hashes(zlib.decompress(text_b.as_buffer())), words)
-                apart = np.setxor1d(x, y, assume_unique=True)
-                either = (len(x) + len(y) + len(apart)) // 2
-                links.append(100 * (either - len(apart)) >= percent * either)
-                low.append(apart[:spread(len(y), percent) + 1].view(np.int64))
-            columns = [batch.column("leader"), batch.column("node"), batch.column("n"), pa.array(links, pa.bool_()), pa.array(low, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["leader", "node", "n", "link", "low"])
+            done = []
+            for crowd, text in zip(batch.column("crowd").to_pylist(), batch.column("text")):
+                if crowd != at:
+                    if held:
+                        done.append((at, center(held)))
+                    at, held, size = crowd, [], 0
+                if size < SETS_KEPT_BYTES:
+                    held.append(shingle_hashes(word_hashes(zlib.decompress(text.as_buffer())), words))
+                    size += held[-1].nbytes
+            yield _named_centers(done)
+        if held:
+            yield _named_centers([(at, center(held))])
 
-    return materialize(joined.mapInArrow(compare, "leader long, node long, n long, link boolean, low array<long>"), "stars")
+    return materialize(rows.select("crowd", "text").mapInArrow(vote, "crowd long, center binary"), "centers")
 
 
-def _with_component(rows: DataFrame, component: DataFrame, node: str, name: str) -> DataFrame:
-    named = component.select(F.col("node").alias(node), F.col("component").alias("__component"))
-    return rows.join(named, node, "left").withColumn(name, F.coalesce("__component", node)).drop("__component")
+def _named_centers(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["crowd", "center"])
 
 
-def _next_entries(stars: DataFrame, component: DataFrame) -> DataFrame:
+def _differences(crowds: DataFrame, centers: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Columns crowd, node, n, m (tokens of the center), lacks, adds, low (the first tokens of the difference) of every node of a crowd; written."""
+    joined = crowds.join(centers, "crowd").join(texts.select("node", "text"), "node")
+
+    @released
+    def compare(batches):
+        for batch in batches:
+            out = []
+            for center, text in zip(batch.column("center"), batch.column("text")):
+                m, x = np.frombuffer(center.as_buffer(), np.uint64), shingle_hashes(word_hashes(zlib.decompress(text.as_buffer())), words)
+                adds, lacks = np.setdiff1d(x, m, assume_unique=True), np.setdiff1d(m, x, assume_unique=True)
+                low = np.concatenate([adds, lacks])[:spread(len(x), percent) + 1].view(np.int64)
+                out.append((len(m), len(lacks), len(adds), low))
+            columns = [batch.column("crowd"), batch.column("node"), batch.column("n")]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            found = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(columns + found, ["crowd", "node", "n", "m", "lacks", "adds", "low"])
+
+    return materialize(joined.mapInArrow(compare, "crowd long, node long, n long, m long, lacks long, adds long, low array<long>"), "differences")
+
+
+def _front_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of the nodes of each crowd with those of its front whose similarity allows a link if their differences are apart."""
+    least = rows.groupBy("crowd", "lacks").agg(F.min(F.struct("adds", "node")).alias("x"))
+    before = F.min("x.adds").over(Window.partitionBy("crowd").orderBy("lacks").rowsBetween(Window.unboundedPreceding, -1))
+    front = least.withColumn("before", before).where("before IS NULL OR x.adds < before")
+    front = materialize(front.select("crowd", F.col("lacks").alias("l"), F.col("x.adds").alias("d"), F.col("x.node").alias("f")), "front")
+    near = (F.lit(100) * (F.col("m") - F.col("lacks") - F.col("l")) >= F.lit(percent) * (F.col("m") + F.col("adds") + F.col("d"))) & (F.col("node") != F.col("f"))
+    joined = rows.select("crowd", "node", "m", "lacks", "adds").join(front, "crowd").where(near)
+    return joined.select(F.least("node", "f").alias("a"), F.greatest("node", "f").alias("b")).distinct()
+
+
+def _next_entries(rows: DataFrame, component: DataFrame) -> DataFrame:
     """Columns key, node, n, component, nodes: entries of the crowds' differences that hold nodes of two components; written."""
-    named = _with_component(_with_component(stars, component, "leader", "main"), component, "node", "component")
-    named = materialize(named.select("leader", "node", "n", "low", "component", (F.col("component") != F.col("main")).alias("outside")), "named")
-    still = materialize(named.where("outside").select("leader").distinct(), "open")
-    token = named.join(still, "leader", "left_semi").select("leader", "node", "n", "component", "outside", F.explode("low").alias("token"))
-    entries = materialize(token.select(F.xxhash64("leader", "token").alias("key"), "node", "n", "component", "outside"), "entries")
-    counted = entries.groupBy("key").agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("outside").alias("open"), F.min("component").alias("one"), F.max("component").alias("other")
-    )
-    counted = materialize(counted.where("open AND nodes > 1 AND one <> other").select("key", "nodes"), "counted")
-    return materialize(entries.drop("outside").join(counted, "key"), "entries")
+    named = component.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    rows = rows.join(named, F.col("node") == F.col("__node"), "left")
+    rows = rows.select("crowd", "node", "n", F.coalesce("__component", "node").alias("component"), F.explode("low").alias("token"))
+    entries = materialize(rows.select(F.xxhash64("crowd", "token").alias("key"), "node", "n", "component"), "entries")
+    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("component").alias("one"), F.max("component").alias("other"))
+    counted = materialize(counted.where("one <> other").select("key", "nodes"), "counted")
+    return materialize(entries.join(counted, "key"), "entries")
 
 
 def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -336,24 +381,25 @@ def near_duplicate_components(
     an id. Rows with equal ids stay apart, each with its own text.
     """
     sets, nodes, entries, texts = _prepared(docs, id_col, text_col, words, percent)
-    apart, component, tested = F.col("node_a") < F.col("node_b"), None, None
+    apart, component, tested, before = F.col("node_a") < F.col("node_b"), None, None, None
     for level in range(LEVELS + 1):
         crowded = F.col("nodes") > (FEW_NODES if level < LEVELS else 2**62)  # at last all pairs of what is left
-        few = entries.where(~crowded).drop("nodes")
+        few, many = entries.where(~crowded).drop("nodes"), entries.where(crowded)
         fresh = _pairs(few, few, apart, percent)
+        rows = None
+        if not many.isEmpty():
+            crowds = _crowds(many, before)
+            before = crowds.count()
+            rows = _differences(crowds, _centers(crowds, texts, words), texts, words, percent)
+            fresh = fresh.unionByName(_front_pairs(rows, percent)).distinct()
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = materialize(fresh, "tested")
         tested = fresh if tested is None else tested.unionByName(fresh)
-        links = _verify(fresh, texts, words, percent).where("link").select("a", "b")
-        many = entries.where(crowded)
-        stars = None if many.isEmpty() else _stars(_led(many), texts, words, percent)
-        if stars is not None:
-            links = links.unionByName(stars.where("link").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
-        component = _joined(component, links)
-        if stars is None:
+        component = _joined(component, _verify(fresh, texts, words, percent).where("link").select("a", "b"))
+        if rows is None:
             break
-        entries = _next_entries(stars, component)
+        entries = _next_entries(rows, component)
         if entries.isEmpty():
             break
         apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))

@@ -48,6 +48,7 @@ def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
     # Small bounds let small tables use classes of frequent tokens and entries of many nodes.
     monkeypatch.setattr(combination_join, "FREQUENT", frequent)
     monkeypatch.setattr(combination_join, "FEW_NODES", few)
+    monkeypatch.setattr(combination_join, "LEVELS", 2)
     base = prose(99, 400, marks=False)
     near = [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(12)]
     chain = [(200 + i, edited(base, range(0, 12 * i, 2), "c")) for i in range(9)]
