@@ -15,6 +15,10 @@ then a phrase is cut out of the text, once for a pointer, and sent with its
 number. Final counts are sums over phrases, so that no result rests on a
 fingerprint: one can only bring a phrase too many, whose true count then fails
 the threshold. Texts of rare phrases never leave a task.
+
+What a group of texts sends is packed, one row for each bucket of fingerprints:
+sorted fingerprints as steps, phrases as one text, numbers as byte planes. A task
+sums one bucket at a time.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewloom.llm.bit_table import bit_table, told
+from reviewloom.llm.memory import released
 from reviewloom.llm.shingles import mix
 from reviewloom.sources.shared import materialize
 
 LONGEST = 5
 GROUP_BYTES = 8 << 20
 FILTER_BYTES = 16 << 20
-BLOCK_BITS = 1 << 19
+HELD_PRINTS = 4 << 20
 TOP_SALTS = 64
 #: A byte that no UTF-8 text has ends a piece.
 MARK = b"\xff"
@@ -79,20 +85,23 @@ class Words:
         if size > 1:
             shorter = np.flatnonzero(self.room >= size - 1)
             frequent = np.zeros(len(self.ids) + 1, bool)
-            frequent[shorter] = _told(tables[size - 1], self.fingerprints(size - 1, shorter))
+            frequent[shorter] = told(tables[size - 1], self.fingerprints(size - 1, shorter))
             at = at[frequent[at] & frequent[at + 1]]
         return at
 
-    def phrases(self, size: int, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[bytes, int]]:
-        """Each phrase at ``places`` with its number; words are compared, fingerprints only bring them together."""
+    def phrases(self, size: int, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], list[int]]]:
+        """Sorted fingerprints with their phrases and numbers; words are compared, fingerprints only bring them together.
+
+        Phrases that share a fingerprint come in turns, one of them in each.
+        """
         while len(places):
-            _, pointer, owner = np.unique(prints, return_index=True, return_inverse=True)
+            found, pointer, owner = np.unique(prints, return_index=True, return_inverse=True)
             pointer = places[pointer]
             equal = np.ones(len(places), bool)
             for j in range(size):
                 equal &= self.ids[places + j] == self.ids[pointer[owner] + j]
-            for at, number in zip(pointer.tolist(), np.bincount(owner[equal], minlength=len(pointer)).tolist()):
-                yield b" ".join(self.tokens[at:at + size]), number
+            texts = [b" ".join(self.tokens[at:at + size]) for at in pointer.tolist()]
+            yield found, texts, np.bincount(owner[equal], minlength=len(pointer)).tolist()
             places, prints = places[~equal], prints[~equal]
 
 
@@ -113,58 +122,77 @@ def _groups(batches) -> Iterator[Words]:
     yield from (Words(*one) for one in held.items())
 
 
-def _probes(bits: int, prints):
-    """Two places of a fingerprint in a table of ``bits`` (a power of two)."""
-    mask = np.uint64(bits - 1)
-    return prints & mask, (prints >> np.uint64(32)) & mask
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes; sorted ones are given as steps and become small."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _told(table: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    one, two = _probes(8 * len(table), prints)
-    bit = lambda p: (table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-    return (bit(one) & bit(two)).astype(bool)
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
-def _table(prints: DataFrame) -> np.ndarray:
-    """Bit table of a column ``print``: sixteen bits a fingerprint, FILTER_BYTES at most."""
-    bits = BLOCK_BITS
-    for _ in range(64):
-        if bits >= 8 * FILTER_BYTES or bits >= 16 * prints.count():
-            break
-        bits *= 2
+def _slices(prints: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted fingerprints, dealt to buckets by their high bits."""
+    own = ((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else [0]
+    for start, end in zip(starts[:-1], starts[1:]):
+        yield int(own[start]), int(start), int(end)
 
-    def blocks(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            for block in np.unique(place // BLOCK_BITS).tolist():
-                own = place[place // BLOCK_BITS == block] % BLOCK_BITS
-                table = held.setdefault(block, np.zeros(BLOCK_BITS, bool))
-                table[own] = True
-        for block, table in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    low = F.col("print").bitwiseAND(F.lit(bits - 1))
-    high = F.shiftrightunsigned("print", 32).bitwiseAND(F.lit(bits - 1))
-    places = prints.select(F.explode(F.array(low, high)).alias("place"))
-    n_blocks = bits // BLOCK_BITS
-    dealt = places.repartition(n_blocks, F.floor(F.col("place") / BLOCK_BITS))
-    out = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-    for row in dealt.mapInArrow(blocks, "block long, bits binary").collect():
-        out[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def _counted(rows: DataFrame, size: int, known, least: int) -> DataFrame:
-    """Fingerprints (``print``) of n-grams of ``size`` words that are met at least ``least`` times, written."""
 
+def _summed(prints: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, count = np.concatenate(prints), np.concatenate(numbers)
+    order = np.argsort(every)
+    every, count = every[order], count[order]
+    first = np.concatenate([[0], np.flatnonzero(every[1:] != every[:-1]) + 1]) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _counted(rows: DataFrame, size: int, known, least: int, buckets: int) -> DataFrame:
+    """Fingerprints (``print``) of n-grams of ``size`` words that are met at least ``least`` times, written.
+
+    A group of texts sends its distinct fingerprints and their numbers packed,
+    one row for a bucket; a task sums the buckets it gets, one after another.
+    """
+
+    @released
     def counts(batches):
         for words in _groups(batches):
             prints, numbers = np.unique(words.fingerprints(size, words.places(size, known.value)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(numbers)], ["print", "n"])
+            cut = list(_slices(prints, buckets))
+            columns = [
+                pa.array([b for b, _, _ in cut], pa.int32()),
+                pa.array([y - x for _, x, y in cut], pa.int64()),
+                pa.array([_packed(np.diff(prints[x:y], prepend=np.uint64(0))) for _, x, y in cut], pa.binary()),
+                pa.array([_packed(numbers[x:y]) for _, x, y in cut], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "size", "steps", "numbers"])
+
+    @released
+    def sums(batches):
+        held, at = ([], []), None
+
+        def frequent():
+            prints, numbers = _summed(*held)
+            return pa.RecordBatch.from_arrays([pa.array(prints[numbers >= least].view(np.int64))], ["print"])
 
-    met = rows.mapInArrow(counts, "print long, n long")
-    return materialize(met.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("print"), "fingerprints")
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != at and at is not None:
+                    yield frequent()
+                    held = ([], [])
+                at = row["bucket"]
+                held[0].append(np.cumsum(_unpacked(row["steps"], row["size"]), dtype=np.uint64))
+                held[1].append(_unpacked(row["numbers"], row["size"]))
+                if sum(map(len, held[0][1:])) > HELD_PRINTS:
+                    held = tuple([x] for x in _summed(*held))
+        if at is not None:
+            yield frequent()
+
+    met = rows.mapInArrow(counts, "bucket int, size long, steps binary, numbers binary")
+    dealt = met.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return materialize(dealt.mapInArrow(sums, "print long"), "fingerprints")
 
 
 def frequent_phrases(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST) -> DataFrame:
@@ -172,32 +200,63 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, text_col: str = "text
 
     A row of size 0 has the number of all words of a language. Words keep A-Z
     lower-cased; phrases join them by one space and stay within a piece (texts
-    are cut at ``[.,;:!?\\x0A-\\x0D]``, pieces into words ``[^\\x20\\x09]+``).
+    are cut at ``[.,;:!?\x0A-\x0D]``, pieces into words ``[^\x20\x09]+``).
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables: list = [None] * (longest + 1)
     for size in range(1, longest + 1):
         known = spark.sparkContext.broadcast(tables)
-        tables[size] = _table(_counted(rows, size, known, least))
+        tables[size] = bit_table(_counted(rows, size, known, least, buckets), FILTER_BYTES)
         known.destroy()
     known = spark.sparkContext.broadcast(tables)
 
+    @released
     def phrases(batches):
-        told = known.value
         for words in _groups(batches):
-            found = [(0, b"", int(np.count_nonzero(words.ids)))]
+            # The number of all words goes with an empty phrase.
+            out = [(int((words.seed >> 32) * buckets >> 32), words.lang, [b""], [np.count_nonzero(words.ids)])]
             for size in range(1, longest + 1):
-                places = words.places(size, told)
+                places = words.places(size, known.value)
                 prints = words.fingerprints(size, places)
-                hit = _told(told[size], prints)
-                found += [(size, *one) for one in words.phrases(size, places[hit], prints[hit])]
-            size, phrase, n = zip(*found)
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
-            columns = ([words.lang] * len(found), size, phrase, n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "size", "phrase", "n"])
-
-    met = rows.mapInArrow(phrases, "lang string, size int, phrase binary, n long")
-    summed = met.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= least))
+                hit = told(known.value[size], prints)
+                for found, texts, numbers in words.phrases(size, places[hit], prints[hit]):
+                    out += [(b, words.lang, texts[x:y], numbers[x:y]) for b, x, y in _slices(found, buckets)]
+            columns = [
+                pa.array([b for b, *_ in out], pa.int32()),
+                pa.array([lang for _, lang, *_ in out], pa.string()),
+                pa.array([pa.compress(b"\n".join(texts), codec="zstd", asbytes=True) for _, _, texts, _ in out], pa.binary()),
+                pa.array([sum(map(len, texts)) + len(texts) - 1 for _, _, texts, _ in out], pa.int64()),
+                pa.array([_packed(np.array(numbers)) for *_, numbers in out], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "phrases", "bytes", "numbers"])
+
+    @released
+    def sums(batches):
+        held, at = {}, None
+
+        def frequent():
+            kept = [(*key, n) for key, n in held.items() if n >= least or not key[1]]
+            langs, texts, numbers = zip(*kept) if kept else ((), (), ())
+            sizes = [t.count(b" ") + 1 if t else 0 for t in texts]
+            columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(numbers, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != at and at is not None:
+                    yield frequent()
+                    held = {}
+                at, lang = row["bucket"], row["lang"]
+                texts = pa.decompress(row["phrases"], decompressed_size=row["bytes"], codec="zstd", asbytes=True).split(b"\n")
+                for text, n in zip(texts, _unpacked(row["numbers"], len(texts)).tolist()):
+                    held[lang, text] = held.get((lang, text), 0) + n
+        if at is not None:
+            yield frequent()
+
+    met = rows.mapInArrow(phrases, "bucket int, lang string, phrases binary, bytes long, numbers binary")
+    dealt = met.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    summed = dealt.mapInArrow(sums, "lang string, size int, phrase binary, n long")
     return materialize(summed.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 
