@@ -29,6 +29,9 @@ _PLAIN = re.compile(f"( ?{_LETTERS})([.,;:!?]*)(?:(\\n)({_LETTERS})([.,;:!?]*))?
 TABLE_PIECES = 900_000
 LONG_PIECE = 256
 GROUP_CHARS = 1 << 21
+JOINED_WORDS = 500
+#: Fixed value: the letter that stands for a space in pieces of the vocabulary.
+SPACE = "\u0120"
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -53,6 +56,10 @@ class PieceEncoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        #: Which ids begin with a space.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for piece, i in vocabulary.items() if piece.startswith(SPACE)]] = True
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -65,6 +72,19 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words that each begin with their only space: the library breaks there, so many go to it as one text."""
+        joined = ["".join(words[i:i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        for at, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            own = words[at * JOINED_WORDS:(at + 1) * JOINED_WORDS]
+            ids = np.array(found.ids, "<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(own):
+                yield from self._whole(own)
+                continue
+            plain, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            yield from [plain[a:b] for a, b in zip(ends, ends[1:])]
+
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         group, size = [], 0
@@ -91,9 +111,11 @@ class PieceEncoder:
         if len(self.parts) + len(new) > self.limit:
             self.parts.clear()
             new = parts
-        new = list(new)
         known = self.parts
-        known.update(zip(new, self._whole(new)))
+        words = [x for x in new if x[:1] == " " and x[1:].isalpha()]
+        known.update(zip(words, self._words(words)))
+        others = [x for x in new if x not in known]
+        known.update(zip(others, self._whole(others)))
         table.update(zip(whole, [known[lead + p] for p in whole]))
         table.update((p, b"".join([known[x] for x in own])) for p, own in split.items())
         out = list(map(table.__getitem__, pieces))
