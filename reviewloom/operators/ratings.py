@@ -12,13 +12,19 @@ from reviewloom.functions.rounding import percent
 from reviewloom.operators.ranking import PRODUCT
 
 
+def exact_mean(rating: Column) -> Column:
+    """Mean of the ratings that are not NULL, 0 without any; summed as decimals, so that the order of rows does not matter."""
+    n = F.count(rating)
+    return F.when(n > 0, F.sum(rating.cast("decimal(18,6)")).cast("double") / n).otherwise(0.0)
+
+
 def rating_aggregates(where: Column | None = None) -> list[Column]:
     """Count, mean and bucketed star counts for use in any ``agg``."""
     keep = F.lit(True) if where is None else where
     rating = F.coalesce(F.col("rating"), F.lit(0.0))
     return [
         F.count_if(keep).alias("total_reviews"),
-        F.coalesce(F.avg(F.when(keep, rating)), F.lit(0.0)).alias("average_rating"),
+        exact_mean(F.when(keep, rating)).alias("average_rating"),
         *[F.count_if(keep & (star_bucket(rating) == s)).alias(f"stars_{s}") for s in STARS],
     ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.rounding import fixed
 from reviewloom.operators.ranking import PRODUCT, first_rows
+from reviewloom.operators.ratings import exact_mean
 
 
 def review_samples(scored: DataFrame, mode: str = "first", size: int = 3, keys: Sequence[str] = PRODUCT) -> DataFrame:
@@ -50,7 +51,7 @@ def review_context(scored: DataFrame, first: int = 10, length: int = 100, keys:
     top = first_rows(scored.select(*keys, "seq", line.alias("line")), keys, [F.col("seq").asc()], first, "__rank")
     blocks = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rank", "line"))).alias("__lines"))
     counts = scored.groupBy(*keys).agg(
-        F.count("*").alias("total_reviews"), F.avg(F.coalesce("rating", F.lit(0.0))).alias("__mean"),
+        F.count("*").alias("total_reviews"), exact_mean(F.coalesce("rating", F.lit(0.0))).alias("__mean"),
         *[F.count_if(F.col("sentiment") == n).alias(n) for n in ("positive", "neutral", "negative")],
     )
     return counts.join(blocks, list(keys)).select(
