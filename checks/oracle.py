@@ -749,3 +749,10 @@ twin("stream_bulk_posting_days", """
 SELECT product_id, day::VARCHAR AS date, count(*) AS reviews, min(rating) AS rating FROM (SELECT product_id, rating, substr(review_date, 1, 10)::DATE AS day FROM rv)
 WHERE day + INTERVAL 1 DAY <= (SELECT max(substr(review_date, 1, 10)::TIMESTAMP) FROM rv) - INTERVAL 1 DAY
 GROUP BY ALL HAVING count(*) >= 5 AND min(rating) = max(rating)""", "rv")
+twin("stream_growth_all_days", f"""
+SELECT product_id, ts::DATE::VARCHAR AS date, count(*) AS snapshots, sum(estimated_buyers)::DOUBLE / count(*) AS mean_buyers,
+  {rounded('sum(rating::DECIMAL(18, 6))::DOUBLE / count(*)', 4)} AS mean_rating
+FROM sn GROUP BY ALL""", "sn")
+twin("stream_bulk_posting_all", """
+SELECT product_id, day, count(*) AS reviews, min(rating) AS rating FROM (SELECT product_id, rating, CASE WHEN seq % 7 = 0 THEN '' ELSE split_part(review_date, 'T', 1) END AS day FROM rv)
+GROUP BY ALL HAVING count(*) >= 5 AND min(rating) = max(rating)""", "rv")

@@ -19,8 +19,8 @@ from reviewloom.plans import analysis, variants
 from reviewloom.sources import driver_tables as dt, items, pages
 from reviewloom.sources.shared import new_path
 from reviewloom.streaming.growth import stream_growth
-from reviewloom.streaming.run import run_available
-from reviewloom.streaming.scoring import stream_bulk_days, stream_score_reviews
+from reviewloom.streaming.run import run_available, run_latest
+from reviewloom.streaming.scoring import stream_bulk_days, stream_bulk_state, stream_score_reviews
 
 AS_OF = datetime(2024, 1, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1012,3 +1012,24 @@ def stream_bulk_posting_days(spark, sf):
     stream = spark.readStream.schema(reviews(spark, sf).schema).parquet(path)
     out = run_available(stream_bulk_days(stream), "bulk-stream")
     return out.withColumn("date", F.col("date").cast("string"))
+
+
+@register
+def stream_growth_all_days(spark, sf):
+    """Open days too: a day's row is replaced for as long as snapshots arrive."""
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = run_latest(stream_growth(dt.snapshot_columns(events)), [P, "date"], "growth-all")
+    return out.select(
+        P, F.col("date").cast("string").alias("date"), "snapshots", "mean_buyers", rounding.round_exact(F.col("mean_rating"), 4).alias("mean_rating")
+    )
+
+
+@register
+def stream_bulk_posting_all(spark, sf):
+    """The bulk rule on a stream, undated reviews included: every seventh review has no date here."""
+    path = new_path(spark, "landed")
+    rows = reviews(spark, sf).withColumn("review_date", F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("review_date")))
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return run_latest(stream_bulk_state(stream), [P, "day"], "bulk-all").where("bulk").drop("bulk")

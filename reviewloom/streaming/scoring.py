@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.lexicon import SEED_LEXICON, Entry
-from reviewloom.operators.bots import BULK_MIN_REVIEWS, bot_score
+from reviewloom.operators.bots import BULK_MIN_REVIEWS, bot_score, date_part
 from reviewloom.operators.emotions import emotion_review
 from reviewloom.operators.ranking import PRODUCT
 from reviewloom.operators.sentiment import score_sentiment
@@ -25,7 +25,10 @@ def stream_score_reviews(
 
 
 def stream_bulk_days(reviews: DataFrame, delay: str = "1 day", keys: Sequence[str] = PRODUCT) -> DataFrame:
-    """Product-days with five reviews of one rating, emitted when the day has closed."""
+    """Product-days with five reviews of one rating, emitted when the day has closed.
+
+    Reviews whose date is no timestamp are left out; ``stream_bulk_state`` has them.
+    """
     days = reviews.withColumn("ts", wall_clock(F.col("review_date").try_cast("timestamp"))).withWatermark("ts", delay)
     rating = F.coalesce(F.col("rating"), F.lit(0.0))
     sums = days.groupBy(*keys, F.window("ts", "1 day").alias("window")).agg(
@@ -34,3 +37,16 @@ def stream_bulk_days(reviews: DataFrame, delay: str = "1 day", keys: Sequence[st
     return sums.filter((F.col("reviews") >= BULK_MIN_REVIEWS) & (F.col("low") == F.col("high"))).select(
         *keys, day_of().alias("date"), "reviews", F.col("low").alias("rating")
     )
+
+
+def stream_bulk_state(reviews: DataFrame, keys: Sequence[str] = PRODUCT) -> DataFrame:
+    """Groups (keys, day) of five reviews and more, and whether they carry one rating so far (``bulk``), as the batch rule has them.
+
+    A day is the text before ``T``, so undated reviews form the day ``''``. The
+    state has no event time: one small row for each product and day, kept for good,
+    and a group changes whenever a review of it arrives. For ``run_latest``.
+    """
+    rating = F.coalesce(F.col("rating"), F.lit(0.0))
+    days = reviews.select(*keys, date_part().alias("day"), rating.alias("rating")).where(F.col("day").isNotNull())
+    sums = days.groupBy(*keys, "day").agg(F.count("*").alias("reviews"), F.min("rating").alias("low"), F.max("rating").alias("high"))
+    return sums.where(F.col("reviews") >= BULK_MIN_REVIEWS).select(*keys, "day", "reviews", F.col("low").alias("rating"), (F.col("low") == F.col("high")).alias("bulk"))
