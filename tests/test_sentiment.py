@@ -133,3 +133,9 @@ def test_emotions_match_substrings_and_cap(make):
     assert up.trust == 0.15 and up.joy == 1.0
     plain = emotions.emotion_review(make({"body": "zzz"})).first()
     assert plain.neutral == 1.0 and plain.joy == 0.0
+
+
+@pytest.mark.parametrize("word, sides", [("good", (1.0, 0.0)), ("bad", (0.0, 1.0))])
+def test_shares_of_a_text_with_hundreds_of_scored_words(make, word, sides):
+    row = sentiment.lexicon_sentiment(make({"body": f"{word} " * 300})).first()
+    assert (row["pos_share"], row["neg_share"], row["neu_share"]) == (*sides, 0.0)
