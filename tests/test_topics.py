@@ -202,3 +202,22 @@ def test_no_reviews(make):
     none = make({"body": "x"}).limit(0)
     assert group_topics.cluster_themes(none, restarts=2).count() == group_topics.topic_themes(none).count() == 0
     assert [t.count() for t in group_topics.detailed_clusters(none, restarts=2)] == [0, 0]
+
+
+def test_vocabulary_with_ties_at_its_end(spark, make):
+    # Many words and pairs as frequent as the last term; pairs across a rarer word do not exist.
+    texts = [" ".join(f"w{(7 * i + j * (1 + i % 3)) % 83:02d}" for j in range(40)) + (" solo alone" if i == 3 else "") for i in range(30)]
+    texts += ["solo rare alone rare solo alone", "", "solo"]
+    pairs = lambda words: [f"{a} {b}" for a, b in zip(words, words[1:])]
+    docs = [t.split() + pairs(t.split()) for t in texts]
+    total = {}
+    for t in (t for d in docs for t in d):
+        total[t] = total.get(t, 0) + 1
+    kept = sorted(sorted(total, key=lambda t: (-total[t], t))[:50])
+    reviews = make(*[{"body": t} for t in texts])
+    assert topics.tfidf_features(reviews).terms == kept
+    assert group_topics.group_vectors(reviews).groups.first()["terms"] == kept
+    words = spark.createDataFrame([("", i, t.split()) for i, t in enumerate(texts)], "__g string, __doc long, terms array<string>")
+    made = {t for r in topics.with_candidates(words, topics.VECTOR_RULES["default"]).collect() for t in r.terms}
+    least = min(total[t] for t in kept)
+    assert set(kept) <= made and all(total[w] >= least for t in made for w in t.split()) and len(made) < len(total)
