@@ -6,10 +6,10 @@ tasks; numbers, dates and filters are column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +26,12 @@ REVIEW_PARTS = {
     ("span", "helpful-vote-statement"): "helpful",
 }
 VOID_TAGS = {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
-RAW_SCHEMA = "page_id bigint, asin string, page int, idx int, block_id string, " + ", ".join(
-    f"{name} string" for name in ("rating", "title", "body", "date", "badge", "helpful")
-)
+#: HTML whose rows leave a task together; a batch of Spark may hold ten thousand pages.
+PART_CHARS = 1 << 20
+_TEXTS = ("block_id", "rating", "title", "body", "date", "badge", "helpful")
+RAW_FIELDS = pa.schema([("page_id", pa.int64()), ("asin", pa.string()), ("page", pa.int32()), ("idx", pa.int32()), *((n, pa.string()) for n in _TEXTS)])
+RAW_SCHEMA = "page_id bigint, asin string, page int, idx int, " + ", ".join(f"{name} string" for name in _TEXTS)
+PRODUCT_FIELDS = pa.schema([("page_id", pa.int64()), ("asin", pa.string()), ("title", pa.string()), ("rating", pa.string())])
 
 
 class PageReader(HTMLParser):
@@ -102,27 +105,28 @@ def read_page(html: str | None) -> PageReader:
     return reader
 
 
-def _review_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["page_id", "asin", "page", "idx", "block_id", "rating", "title", "body", "date", "badge", "helpful"]
+def _in_parts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows_of: Callable[[PageReader], list[dict]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the pages, with the page's own columns, in batches of about ``PART_CHARS`` of HTML; one page is read at a time."""
     for batch in batches:
-        rows = []
-        for page_id, asin, page, html in zip(batch["page_id"], batch["asin"], batch["page"], batch["html"]):
-            for idx, block in enumerate(read_page(html).blocks):
-                rows.append((page_id, asin, page, idx, *[block.get(n) for n in names[4:]]))
-        yield pd.DataFrame(rows, columns=names)
+        rows, chars = [], 0
+        for i, html in enumerate(batch.column("html")):
+            text = html.as_py() or ""
+            own = {name: batch.column(name)[i].as_py() for name in batch.schema.names if name != "html"}
+            rows += [own | row for row in rows_of(read_page(text))]
+            chars += len(text)
+            if chars >= PART_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _product_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [read_page(html).product for html in batch["html"]]
-        yield pd.DataFrame(
-            {
-                "page_id": batch["page_id"],
-                "asin": batch["asin"],
-                "title": [f.get("title") for f in found],
-                "rating": [f.get("rating") for f in found],
-            }
-        )
+def _review_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _in_parts(batches, RAW_FIELDS, lambda reader: [{"idx": i, **block} for i, block in enumerate(reader.blocks)])
+
+
+def _product_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _in_parts(batches, PRODUCT_FIELDS, lambda reader: [reader.product])
 
 
 def _text(name: str):
@@ -138,7 +142,7 @@ def _first_number(name: str, pattern: str):
 
 def extract_reviews_from_html(pages: DataFrame) -> DataFrame:
     """Pages ``(page_id, asin, page, html)`` to reviews with a rating and a text."""
-    blocks = pages.select("page_id", "asin", F.col("page").cast("int").alias("page"), "html").mapInPandas(
+    blocks = pages.select("page_id", "asin", F.col("page").cast("int").alias("page"), "html").mapInArrow(
         _review_rows, RAW_SCHEMA
     )
     rating = _first_number("rating", r"([\d.]+)")
@@ -161,7 +165,7 @@ def extract_reviews_from_html(pages: DataFrame) -> DataFrame:
 
 def extract_product_from_html(pages: DataFrame) -> DataFrame:
     """Pages ``(page_id, asin, html)`` to title and rating with their defaults."""
-    found = pages.select("page_id", "asin", "html").mapInPandas(
+    found = pages.select("page_id", "asin", "html").mapInArrow(
         _product_rows, "page_id bigint, asin string, title string, rating string"
     )
     title = _text("title")

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,12 @@ def test_whole_texts_reach_the_reviews(spark, small_reviews):
     given = spark.read.parquet(f"{SMALL}/documents.parquet")
     whole = small_reviews.join(given, F.col("review_id") == F.concat(F.lit("R"), "doc_id"))
     assert whole.where(F.expr("endswith(body, text)")).count() == given.count()
+
+
+def test_rows_of_many_pages_leave_in_parts(monkeypatch):
+    html = '<div data-hook="review" id="R%d"><span data-hook="review-body">' + "x" * 900 + "</span></div>"
+    rows = [{"page_id": i, "asin": "B", "page": 1, "html": html % i if i % 3 else None} for i in range(300)]
+    monkeypatch.setattr(pages, "PART_CHARS", 10_000)
+    found = list(pages._review_rows(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert [r["block_id"] for b in found for r in b.to_pylist()] == [f"R{i}" for i in range(300) if i % 3]
+    assert len(found) > 10 and max(b.nbytes for b in found) < 20_000
