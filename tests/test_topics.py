@@ -221,3 +221,14 @@ def test_vocabulary_with_ties_at_its_end(spark, make):
     made = {t for r in topics.with_candidates(words, topics.VECTOR_RULES["default"]).collect() for t in r.terms}
     least = min(total[t] for t in kept)
     assert set(kept) <= made and all(total[w] >= least for t in made for w in t.split()) and len(made) < len(total)
+
+
+def test_steps_read_blocks_of_documents(make):
+    reviews, _ = several(make)
+    vectors = group_topics.group_vectors(reviews, "topics")
+    able = vectors.groups.where(F.size("terms") > 0)
+    blocks = group_topics.vector_blocks(vectors.docs.coalesce(1), able).collect()
+    docs = {r["__g"]: r["n"] for r in vectors.docs.join(able.select("__g"), "__g").groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(blocks) == len(docs) and {b["__g"]: len(b["size"]) for b in blocks} == docs
+    entries = vectors.docs.select("__g", F.explode("entries").alias("e")).groupBy("__g").agg(F.sum("e.w").alias("w")).collect()
+    assert {r["__g"]: r["w"] for r in entries} == {b["__g"]: int(group_topics._weights(b.asDict()).sum()) for b in blocks if b["size"] and sum(b["size"])}
