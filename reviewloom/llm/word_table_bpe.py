@@ -10,8 +10,9 @@ with the table of pieces, and puts the pieces together by position.
 Cutting at spaces, tabs and line ends is safe for a tokenizer that drops white
 space: no normalisation, special token or word reaches across it.
 
-What is shuffled: each distinct word once for each block, its ids back, and the
-word numbers. A word that stands everywhere adds one entry for each block.
+What is shuffled: each distinct word once for each block, and its ids back. A word
+that stands everywhere adds one entry for each block. The word numbers of the texts
+are written once, to files of the shared folder, and read where a block is put together.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.chunk_cache import load_tokenizer
+from reviewloom.llm.files import new_file, open_file
 from reviewloom.llm.memory import released
-from reviewloom.sources.shared import materialize
+from reviewloom.sources.shared import materialize, new_path
 
 BLOCK_CHARS = 8 << 20
 BATCH_BYTES = 2 << 20
@@ -70,8 +73,8 @@ class _Block:
         self.rows.append(row)
         self.chars += len(text)
 
-    def batch(self, schema: pa.Schema, buckets: int) -> pa.RecordBatch:
-        """One row; words ordered by bucket and frequency, their places as steps, so that both compress well."""
+    def batch(self, schema: pa.Schema, buckets: int, path: str, stream: pa.NativeFile) -> pa.RecordBatch:
+        """One row, its codes added to a file; words ordered by bucket and frequency, their places as steps, so that both compress well."""
         flat = np.concatenate(self.codes) if self.codes else np.zeros(0, "<u4")
         counts = np.bincount(flat, minlength=len(self.words))
         order = np.argsort(-counts, kind="stable")
@@ -84,6 +87,8 @@ class _Block:
             own = by_bucket.setdefault(int(bucket[number]), ([], []))
             own[0].append(words[number])
             own[1].append(int(rank[number]))
+        start, codes = stream.tell(), shrink(rank[flat] if len(flat) else flat)
+        stream.write(codes)
         return pa.RecordBatch.from_pylist(
             [
                 {
@@ -91,7 +96,9 @@ class _Block:
                     "rows": self.rows,
                     "lengths": [len(c) for c in self.codes],
                     "n_words": len(words),
-                    "codes": shrink(rank[flat] if len(flat) else flat),
+                    "path": path,
+                    "start": start,
+                    "size": len(codes),
                     "words": [{"bucket": b, "words": packed(w), "places": shrink(np.diff(np.array(p, "<u4"), prepend=np.uint32(0)))} for b, (w, p) in by_bucket.items()],
                 }
             ],
@@ -122,27 +129,34 @@ def expand(packed: bytes) -> np.ndarray:
 
 
 def word_blocks(docs: DataFrame, text_col: str, keep: list[str], buckets: int) -> DataFrame:
-    """Blocks of documents with numbered words, written before they are returned."""
+    """Blocks of documents with numbered words, written before they are returned.
+
+    The numbers stand in a file for each task, at ``size`` bytes from ``start`` on in ``path``.
+    """
+    folder = new_path(docs.sparkSession, "word-codes")
     kept = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     row = kept.schema["row"].dataType.simpleString()
-    fields = f"block long, rows array<{row}>, lengths array<int>, n_words long, codes binary, words array<struct<bucket:int,words:binary,places:binary>>"
+    fields = f"block long, rows array<{row}>, lengths array<int>, n_words long, path string, start long, size long, words array<struct<bucket:int,words:binary,places:binary>>"
 
     @released
     def split(batches):
-        block, schema = _Block(), None
-        for batch in batches:
-            if schema is None:
-                word = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("places", pa.binary())])
-                schema = pa.schema(
-                    [("block", pa.int64()), ("rows", pa.list_(batch.schema.field("row").type)), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(word))]
-                )
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-                block.add(row, text.as_py())
-                if block.chars >= BLOCK_CHARS:
-                    yield block.batch(schema, buckets)
-                    block = _Block()
-        if block.rows:
-            yield block.batch(schema, buckets)
+        block, schema, file = _Block(), None, None
+        with ExitStack() as opened:
+            for batch in batches:
+                if schema is None:
+                    word = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("places", pa.binary())])
+                    schema = pa.schema(
+                        [("block", pa.int64()), ("rows", pa.list_(batch.schema.field("row").type)), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("words", pa.list_(word))]
+                    )
+                for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                    block.add(row, text.as_py())
+                    if block.chars >= BLOCK_CHARS:
+                        file = file or opened.enter_context(new_file(folder, ".codes"))
+                        yield block.batch(schema, buckets, *file)
+                        block = _Block()
+            if block.rows:
+                file = file or opened.enter_context(new_file(folder, ".codes"))
+                yield block.batch(schema, buckets, *file)
 
     return materialize(kept.mapInArrow(split, fields), "word-blocks")
 
@@ -228,7 +242,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep:
 def _assembled(block: pa.RecordBatch, digests: bool) -> Iterator[pa.RecordBatch]:
     """The documents of a block from its word numbers, the ids of its words and the pieces of its ids."""
     get = lambda name: block.column(name)[0].as_py()
-    n_words, codes = get("n_words"), expand(get("codes"))
+    with open_file(get("path")) as file:
+        file.seek(get("start"))
+        codes = expand(file.read(get("size")))
+    n_words = get("n_words")
     tables = [(np.cumsum(expand(t["places"]), dtype=np.uint32), expand(t["lengths"]), expand(t["ids"])) for t in get("tables") or []]
     place, size, flat = (np.concatenate([t[k] for t in tables]) if tables else np.zeros(0, "<u4") for k in range(3))
     starts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])

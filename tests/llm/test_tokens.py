@@ -9,7 +9,7 @@ from reviewloom.llm.addressable_codes import NO_ID, Reader, read_checksums, read
 from reviewloom.llm.files import open_file
 from reviewloom.llm.overlap_tokens import count_tokens
 from reviewloom.llm.queries import tokenizer_file
-from reviewloom.llm.word_table_bpe import encode_decode
+from reviewloom.llm.word_table_bpe import encode_decode, expand, word_blocks
 
 BYTES, WORDS = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
 
@@ -74,3 +74,14 @@ def test_empty_tables(docs_of):
     assert count_tokens(none, BYTES).count() == 0
     assert encode_decode(none, WORDS).count() == 0
     assert read_documents(write_token_files(none, BYTES)).count() == 0
+
+
+def test_word_numbers_stand_in_files_and_are_not_joined(docs_of):
+    texts = [(i, f"alpha beta word{i} gamma, {i}") for i in range(300)]
+    blocks = word_blocks(docs_of(texts).repartition(3), "text", ["doc_id"], 4)
+    assert "codes" not in blocks.columns
+    for row in blocks.collect():
+        with open_file(row.path) as file:
+            file.seek(row.start)
+            codes = expand(file.read(row.size))
+        assert len(codes) == sum(row.lengths) and set(codes.tolist()) == set(range(row.n_words))
