@@ -139,3 +139,15 @@ def test_emotions_match_substrings_and_cap(make):
 def test_shares_of_a_text_with_hundreds_of_scored_words(make, word, sides):
     row = sentiment.lexicon_sentiment(make({"body": f"{word} " * 300})).first()
     assert (row["pos_share"], row["neg_share"], row["neu_share"]) == (*sides, 0.0)
+
+
+def test_queries_score_reviews_of_many_scored_words(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    texts = [("great love good excellent " * 100,), ("terrible bad hate awful " * 100,)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, (t,) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.review_id: r for r in QUERIES["lexicon_sentiment"](spark, str(tmp_path)).collect()}
+    assert rows["R0"].pos_share > 0.9 and rows["R1"].neg_share > 0.9
+    free = {r.review_id: r for r in QUERIES["lexicon_sentiment_free"](spark, str(tmp_path)).collect()}
+    assert free["R0"].sentiment == "positive" and free["R1"].sentiment == "negative"
