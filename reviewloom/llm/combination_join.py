@@ -20,7 +20,12 @@ are enough for nearly every prefix) come first, by document frequency; other
 tokens follow by hash. Any order is right, as long as it is the same for all;
 this one needs the frequencies of a fifth of the tokens only.
 
-Equal sets are one node. An index entry with few nodes gives all its pairs. The
+Equal sets are one node, and of the entries with the same nodes one is kept. An
+index entry with few nodes gives all its pairs. A block (some hundred nodes) is
+compared by bit rows: every token flips one of a row's bits, so two rows differ in
+no more bits than the sets in tokens, and a pair that differs too much is left out
+before its texts are read. First the closest pairs that would join the block are
+verified, in the next round all others between the components that are left. The
 nodes of crowded entries are looked at from a center M, a set of tokens that
 most of some of them have. D(x) is the difference of x and M: B(x) of its tokens
 M lacks, A(x) of M's tokens it lacks. For two linked nodes there are two cases.
@@ -42,6 +47,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -58,6 +64,8 @@ from reviewloom.sources.shared import materialize
 SAMPLED = np.uint64(int(0.2 * 2**64))
 FREQUENT = 16
 FEW_NODES = 16
+BLOCK_NODES = 512
+LONGEST_ROW = 1 << 16
 LEVELS = 24
 CENTER_NODES = 49
 SMALL_BAND = 6
@@ -179,8 +187,18 @@ def _index(nodes: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([row["node"]] * k, pa.int64()), pa.array([row["n"]] * k, pa.int64())], ["key", "node", "n"])
 
     entries = materialize(rows.mapInArrow(keys, "key long, node long, n long"), "index")
-    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    return materialize(entries.join(counted, "key"), "index")
+    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), *_same_nodes()).where("nodes > 1")
+    return materialize(entries.join(_one_of_equal(counted), "key"), "index")
+
+
+def _same_nodes() -> list:
+    """Two 64-bit sums that entries with the same nodes have in common."""
+    return [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum_{k}") for k in (1, 2)]
+
+
+def _one_of_equal(counted: DataFrame) -> DataFrame:
+    """Columns key, nodes: of the entries with the same nodes, which give the same pairs, one."""
+    return counted.groupBy("nodes", "sum_1", "sum_2").agg(F.min("key").alias("key")).select("key", "nodes")
 
 
 def _similar_size(percent: int):
@@ -195,6 +213,104 @@ def _pairs(left: DataFrame, right: DataFrame, condition, percent: int) -> DataFr
     return joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def bit_row(tokens: np.ndarray) -> bytes:
+    """Bits of which each token flips one; two to four for each token, up to ``LONGEST_ROW``."""
+    width = min(LONGEST_ROW, 1 << max(6, (2 * len(tokens)).bit_length()))
+    flips = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Block:
+    """The nodes of an entry with their bit rows, grouped by the length of the rows."""
+
+    def __init__(self, sizes: list[int], rows: list[bytes], percent: int):
+        self.n, self.percent = np.array(sizes), percent
+        held = [np.frombuffer(r, np.uint64) for r in rows]
+        widths = np.array([len(r) for r in held])
+        self.own = held
+        self.groups = [(w, np.flatnonzero(widths == w)) for w in sorted(set(widths.tolist()))]
+        self.folded = {(w, w): np.stack([held[k] for k in at]) for w, at in self.groups}
+
+    def _at(self, w: int, to: int) -> np.ndarray:
+        """Rows of one length in a shorter one: bits whose places become equal flip each other."""
+        if (w, to) not in self.folded:
+            longer = self._at(w, 2 * to)
+            self.folded[w, to] = longer[:, :to] ^ longer[:, to:]
+        return self.folded[w, to]
+
+    def apart(self, k: int) -> np.ndarray:
+        """For each node the least share of tokens in which it and node k may differ, infinite if that is too much for a link."""
+        out = np.full(len(self.n), np.inf)
+        whole = self.n + self.n[k]
+        alike = 100 * np.minimum(self.n, self.n[k]) >= self.percent * np.maximum(self.n, self.n[k])
+        for w, at in self.groups:
+            at_k = at[alike[at]]
+            if not len(at_k):
+                continue
+            mine = self.own[k]
+            while len(mine) > w:
+                mine = mine[:len(mine) // 2] ^ mine[len(mine) // 2:]
+            bits = np.bitwise_count(self._at(w, len(mine))[alike[at]] ^ mine).sum(axis=1, dtype=np.int64)
+            near = bits * (100 + self.percent) <= (100 - self.percent) * whole[at_k]
+            out[at_k[near]] = bits[near] / whole[at_k[near]]
+        return out
+
+    def all_pairs(self, component: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of nodes of different components that may link."""
+        return [(k, int(j)) for k in range(len(self.n)) for j in np.flatnonzero(np.isfinite(self.apart(k)) & (component != component[k])) if j > k]
+
+    def closest_pairs(self, component: np.ndarray) -> list[tuple[int, int]]:
+        """Of these a spanning forest, closest pairs first."""
+        best, by, out = np.full(len(self.n), np.inf), np.full(len(self.n), -1), []
+        open_ = np.ones(len(self.n), bool)
+        for _ in range(len(self.n)):
+            k = int(np.argmin(np.where(open_, best, np.inf))) if np.isfinite(best[open_]).any() else int(np.flatnonzero(open_)[0])
+            if by[k] >= 0:
+                out.append((int(by[k]), k))
+            open_[k] = False
+            near = self.apart(k)
+            closer = open_ & (near < best)
+            best[closer], by[closer] = near[closer], k
+            mates = open_ & (component == component[k])  # joined already
+            best[mates], by[mates] = -1.0, -1
+        return out
+
+
+def _block_pairs(blocks: DataFrame, component: DataFrame | None, texts: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Distinct pairs (a < b) within blocks (key, node, n) of nodes of different components that may link, or a spanning forest of them."""
+    rows = blocks.select("key", "node", "n")
+    if component is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        named = component.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+        rows = rows.join(named, F.col("node") == F.col("__node"), "left").select("key", "node", "n", F.coalesce("__component", "node").alias("component"))
+        rows = rows.join(rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("key"), "key")
+    rows = rows.join(texts.select("node", "bits"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "component", "bits")
+
+    def pairs_of(held: list[tuple]) -> pa.RecordBatch:
+        nodes, sizes, components, bits = zip(*held)
+        block = _Block(sizes, bits, percent)
+        found = (block.closest_pairs if closest else block.all_pairs)(np.array(components))
+        ends = [sorted((nodes[i], nodes[j])) for i, j in found]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    @released
+    def compare(batches):
+        at, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "node", "n", "component", "bits")]
+            for key, *row in zip(*columns):
+                if key != at:
+                    if held:
+                        yield pairs_of(held)
+                    at, held = key, []
+                held.append(row)
+        if held:
+            yield pairs_of(held)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with their Jaccard distance over whole sets and whether they link, written before they are returned."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -321,8 +437,8 @@ def _next_entries(rows: DataFrame, component: DataFrame) -> DataFrame:
     rows = rows.join(named, F.col("node") == F.col("__node"), "left")
     rows = rows.select("crowd", "node", "n", F.coalesce("__component", "node").alias("component"), F.explode("low").alias("token"))
     entries = materialize(rows.select(F.xxhash64("crowd", "token").alias("key"), "node", "n", "component"), "entries")
-    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("component").alias("one"), F.max("component").alias("other"))
-    counted = materialize(counted.where("one <> other").select("key", "nodes"), "counted")
+    counted = entries.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("component").alias("one"), F.max("component").alias("other"), *_same_nodes())
+    counted = materialize(_one_of_equal(counted.where("one <> other")), "counted")
     return materialize(entries.join(counted, "key"), "entries")
 
 
@@ -381,33 +497,42 @@ def near_duplicate_components(
     an id. Rows with equal ids stay apart, each with its own text.
     """
     sets, nodes, entries, texts = _prepared(docs, id_col, text_col, words, percent)
-    apart, component, tested, before = F.col("node_a") < F.col("node_b"), None, None, None
-    for level in range(LEVELS + 1):
-        crowded = F.col("nodes") > (FEW_NODES if level < LEVELS else 2**62)  # at last all pairs of what is left
-        few, many = entries.where(~crowded).drop("nodes"), entries.where(crowded)
-        fresh = _pairs(few, few, apart, percent)
-        rows = None
-        if not many.isEmpty():
-            crowds = _crowds(many, before)
-            before = crowds.count()
-            rows = _differences(crowds, _centers(crowds, texts, words), texts, words, percent)
-            fresh = fresh.unionByName(_front_pairs(rows, percent)).distinct()
+    apart, component, tested, before, blocks = F.col("node_a") < F.col("node_b"), None, None, None, None
+    level = 0
+    while entries is not None or blocks is not None:
+        parts = [] if blocks is None else [_block_pairs(blocks, component, texts, percent, closest=False)]
+        rows = blocks = None
+        if entries is not None:
+            few = FEW_NODES if level < LEVELS else 2**62  # at last all pairs of what is left
+            some = max(few, BLOCK_NODES)
+            small = entries.where(F.col("nodes") <= few).drop("nodes")
+            parts.append(_pairs(small, small, apart, percent))
+            in_blocks, crowded = entries.agg(F.count_if((F.col("nodes") > few) & (F.col("nodes") <= some)), F.count_if(F.col("nodes") > some)).first()
+            if in_blocks:
+                blocks = entries.where((F.col("nodes") > few) & (F.col("nodes") <= some))
+                parts.append(_block_pairs(blocks, component, texts, percent, closest=True))
+            if crowded:
+                crowds = _crowds(entries.where(F.col("nodes") > some), before)
+                before = crowds.count()
+                rows = _differences(crowds, _centers(crowds, texts, words), texts, words, percent)
+                parts.append(_front_pairs(rows, percent))
+        fresh = reduce(DataFrame.unionByName, parts)
+        fresh = fresh.distinct() if len(parts) > 1 else fresh
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = materialize(fresh, "tested")
         tested = fresh if tested is None else tested.unionByName(fresh)
         component = _joined(component, _verify(fresh, texts, words, percent).where("link").select("a", "b"))
-        if rows is None:
-            break
-        entries = _next_entries(rows, component)
-        if entries.isEmpty():
-            break
+        entries = None if rows is None else _next_entries(rows, component)
+        if entries is not None and entries.isEmpty():
+            entries = None
         apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        level += 1
     return _named(sets, nodes, component).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Columns node, text (deflated, as it travels with every pair).
+    """Columns node, text (deflated, as it travels with every pair), bits (its bit row).
 
     The scan passes by documents that are not wanted, as far as a table of bits
     tells; only deflated texts of the others are shuffled to the join.
@@ -419,18 +544,21 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words
     def packed(batches):
         for batch in batches:
             some = batch.filter(pa.array(told(table.value, batch.column("hash").to_numpy().view(np.uint64))))
-            sigs, texts = [], []
+            sigs, texts, bits = [], [], []
             for text in some.column("text"):
                 plain = text.as_buffer().to_pybytes() if text.is_valid else b""
-                sigs.append(_signature(shingle_hashes(word_hashes(plain), words)))
+                own = shingle_hashes(word_hashes(plain), words)
+                sigs.append(_signature(own))
                 texts.append(zlib.compress(plain, 4))
-            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(sigs, pa.binary()), pa.array(texts, pa.binary())], ["doc", "doc_sig", "text"])
+                bits.append(bit_row(own))
+            kinds = [pa.array(c, pa.binary()) for c in (sigs, texts, bits)]
+            yield pa.RecordBatch.from_arrays([some.column("doc"), *kinds], ["doc", "doc_sig", "text", "bits"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    deflated = rows.mapInArrow(packed, f"doc {kind}, doc_sig binary, text binary")
+    deflated = rows.mapInArrow(packed, f"doc {kind}, doc_sig binary, text binary, bits binary")
     # Several rows may have the id of a node; one with its set is kept.
     same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("doc_sig") == F.col("node_sig"))
-    return deflated.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    return deflated.join(wanted, same).select("node", "text", "bits").dropDuplicates(["node"])
 
 
 def _named(sets: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:

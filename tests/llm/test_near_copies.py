@@ -61,6 +61,70 @@ def test_components(docs_of, cases, prose, monkeypatch, percent, frequent, few):
     assert sorted(got) == components_by_hand(rows, 4, percent)
 
 
+def families(prose):
+    """Copies near an original, chains, shared passages and families with edits in common, of several sizes."""
+    base, other = prose(99, 400, marks=False), prose(98, 330, marks=False)
+    near = [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(12)]
+    chain = [(200 + i, edited(base, range(0, 12 * i, 2), "c")) for i in range(9)]
+    shared = [(300 + i, prose(400 + i, 60 + 9 * i, marks=False) + " " + base[:300]) for i in range(10)]
+    wide = [(400 + i, edited(other, range(i % 5, 320, 30 + i), f"w{i}")) for i in range(14)]
+    family = [(500 + i, edited(edited(base, range(i % 3, 390, 28), f"f{i % 3}"), [5 + 9 * i], "g")) for i in range(15)]
+    cut = [(600 + i, " ".join(other.split(" ")[:330 - 8 * i])) for i in range(9)]
+    return near + chain + shared + wide + family + cut
+
+
+@pytest.mark.parametrize("percent, few, block, levels", [(85, 2, 512, 24), (80, 2, 6, 24), (85, 3, 3, 2), (80, 1, 1, 2)])
+def test_components_of_blocks_and_crowds(docs_of, cases, prose, monkeypatch, percent, few, block, levels):
+    monkeypatch.setattr(combination_join, "FREQUENT", 2)
+    monkeypatch.setattr(combination_join, "FEW_NODES", few)
+    monkeypatch.setattr(combination_join, "BLOCK_NODES", block)
+    monkeypatch.setattr(combination_join, "LEVELS", levels)
+    rows = cases + families(prose)
+    got = [repr(tuple(r)) for r in near_duplicate_components(docs_of(rows), percent=percent).collect()]
+    assert sorted(got) == components_by_hand(rows, 4, percent)
+
+
+@pytest.mark.parametrize("longest", [1 << 16, 256])
+def test_bit_rows_leave_out_no_link(prose, monkeypatch, longest):
+    monkeypatch.setattr(combination_join, "LONGEST_ROW", longest)
+    texts = [t for _, t in families(prose)]
+    sets = [combination_join.shingle_hashes(word_hashes(t.encode()), 4) for t in texts]
+    block = combination_join._Block([len(s) for s in sets], [combination_join.bit_row(s) for s in sets], 80)
+    links = {(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    every = np.arange(len(sets))
+    kept, forest = block.all_pairs(every), block.closest_pairs(every)
+    assert len(links) > 100 and links <= set(kept) and {tuple(sorted(p)) for p in forest} <= set(kept)
+    if longest > 256:
+        assert len(kept) < 1.5 * len(links)
+    reached = connected(len(sets), kept)
+    assert connected(len(sets), forest) == reached and len(forest) == len(sets) - len(set(reached))
+    assert not block.all_pairs(every * 0) and not block.closest_pairs(every * 0)
+
+
+def connected(n, pairs):
+    part = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    return part
+
+
+def test_copies_too_far_from_each_other_end_after_a_round(docs_of, prose, monkeypatch):
+    base, written = prose(97, 400, marks=False), []
+    rows = [(i, edited(base, range(i % 11, 400, 29 + i % 9), f"u{i % 70}x")) for i in range(140)]
+    mat = combination_join.materialize
+
+    def counted(df, name):
+        out = mat(df, name)
+        written.extend([out.count()] if name == "verified" else [])
+        return out
+
+    monkeypatch.setattr(combination_join, "materialize", counted)
+    got = [repr(tuple(r)) for r in near_duplicate_components(docs_of(rows)).collect()]
+    assert sorted(got) == components_by_hand(rows, 4, 85)
+    assert len(written) <= 2 and sum(written) < 1000
+
+
 def test_all_pairs_of_crowded_entries(docs_of, cases, prose):
     base = prose(99, 400, marks=False)
     rows = [r for r in cases if r[0] is not None and r[0] != 9] + [(100 + i, edited(base, [10 + 7 * i, 200 + 5 * i], f"m{i}")) for i in range(20)] + [(200, base), (201, base)]
