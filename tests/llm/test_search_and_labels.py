@@ -1,9 +1,12 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark import TaskContext
 
+from reviewloom.llm import mil_toxicity
 from reviewloom.llm.mil_toxicity import offending_sentences, score_documents, sentences, train
 from reviewloom.llm.reply_trees import as_chain, format_paths, parse_conversation, reply_paths
 from reviewloom.llm.wu_manber import find_test_strings
@@ -161,6 +164,53 @@ def test_sentences_of_other_scripts():
     assert [(text[a:b], sorted(w)) for a, b, w in sentences(text)] == [("\u4e00\u4e01\u3001\u4e02", ["\u4e00\u4e01", "\u4e02"]), ("\u4e03", ["\u4e03"]), ("\u4e04", ["\u4e04"])]
 
 
+def copied_rows(docs_of, spark):
+    rows = toxic_rows(60, 3)
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    return rows, docs_of([(i, t) for i, t, _ in rows for _ in range(1 + i % 3)]), labels
+
+
+def test_copies_of_a_row_are_fitted_with_their_number(spark, docs_of):
+    """A row that is there three times counts three times, but reaches the fit once."""
+    rows, docs, labels = copied_rows(docs_of, spark)
+    once = [(mil_toxicity.word_lines(t), y, 1 + i % 3) for i, t, y in rows]
+    each = [(lines, y) for lines, y, n in once for _ in range(n)]
+    share = sum(y for _, _, y in rows) / len(rows)
+    expected = mil_toxicity.fit(each, share)
+    assert np.allclose(mil_toxicity.fit(once, share), expected, rtol=1e-6, atol=1e-9)
+    assert np.allclose(train(docs, labels), expected, rtol=1e-4, atol=1e-6)
+
+
+def test_work_in_parts_changes_nothing(spark, docs_of, monkeypatch):
+    rows = [*toxic_rows(60, 4), (60, "Shaus \u03a3\u0391\u03a3 rETing\u3000oner\x1fthan " * 40, 0)]
+    words = [(mil_toxicity.word_lines(t), y) for _, t, y in rows]
+    table = mil_toxicity.fit(words, 0.5)
+    whole = [mil_toxicity.Scorer(table).read(t) for _, t, _ in rows]
+    for name, value in (("STRETCH", 7), ("FEATURE_WORDS", 5), ("TEXT_WORDS", 9), ("PASS_WORDS", 40)):
+        monkeypatch.setattr(mil_toxicity, name, value)
+    assert [(mil_toxicity.word_lines(t), y) for _, t, y in rows] == words
+    assert np.allclose(mil_toxicity.fit(words, 0.5), table, rtol=1e-6, atol=1e-9)
+    for (_, text, _), (starts, ends, logits) in zip(rows, whole):
+        again = mil_toxicity.Scorer(table).read(text)
+        assert again[:2] == (starts, ends) and np.allclose(again[2], logits)
+        assert [(a, b) for a, b, _ in sentences(text)] == list(zip(starts, ends))
+
+
+@pytest.mark.parametrize("mark", [".", ""])
+def test_scoring_a_long_text_takes_little_memory(mark):
+    """The words of a text are not all held at once, whether it has many sentences or one."""
+    words = [f"w{i * i % 997}x" for i in range(997)]
+    text = " ".join(words[i * 31 % 997] + (mark if i % 12 == 11 else "") for i in range(800_000))
+    scorer = mil_toxicity.Scorer(np.zeros(2**mil_toxicity.TABLE_BITS + 1))
+    tracemalloc.start()
+    try:
+        _, _, logits = scorer.read(text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(logits) == (-(-800_000 // 12) if mark else 1) and peak < 30_000_000, peak
+
+
 MESSAGES = "tree_id long, message_id long, parent_id long, role string, text string, score double, place string"
 
 
