@@ -1,9 +1,12 @@
 import hashlib
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from reviewloom.operators import group_topics, topics
 
 TEXTS = [
@@ -138,6 +141,24 @@ def test_clusters_of_each_product_by_hand(make, restarts, iterations):
         assert all(r.sentiment == ("negative" if "poor" in r.theme.lower() else "neutral") for r in own)
 
 
+def test_registered_clusters_go_on_until_they_rest(spark, tmp_path):
+    """The query takes all ten restarts to their end; two restarts of six steps find other clusters here."""
+    draw = random.Random(8)
+    words = "battery screen price sound hinge cable motor fabric lens button strap filter handle speaker charger".split()
+    docs = [(20 * i, " ".join(draw.choices(words[i % 4:i % 4 + 12], k=draw.randint(3, 9)))) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = sorted((r.review_id, f"{r.title} {r.body}") for r in queries.reviews(spark, str(tmp_path)).collect())
+    rows = [{"product_id": "P", "body": " ".join(re.findall(r"\w+", text))} for _, text in own]
+    ((_, terms, _, vectors),) = vectors_by_hand(rows, "default").values()
+    themes = {}
+    for restarts, steps in ((10, 1000), (2, 6)):
+        centers, at = kmeans_by_hand([i for i, _ in own], vectors, len(terms), 5, restarts, steps)
+        themes[restarts] = sorted((-at.count(s), s, " ".join(heaviest(c, terms, 2)).title()) for s, c in enumerate(centers))
+    got = sorted(queries.QUERIES["cluster_themes"](spark, str(tmp_path)).collect(), key=lambda r: r["rank"])
+    assert [(r.theme, r.mentions) for r in got] == [(name, -n) for n, _, name in themes[10]]
+    assert [x[0] for x in themes[2]] != [x[0] for x in themes[10]]
+
+
 def test_detailed_clusters_of_each_product_by_hand(make):
     reviews, rows = several(make)
     themes, members = group_topics.detailed_clusters(reviews.repartition(3), restarts=2, iterations=9)
